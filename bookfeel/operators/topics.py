@@ -52,7 +52,7 @@ def _fold_model(grams: DataFrame, docs: DataFrame):
     sizes = docs.groupBy("fold").agg(
         F.count_if(neg).alias("d0"), F.count_if(pos).alias("d1")
     ).join(tokens, "fold", "left")
-    totals = sizes.agg(*[F.sum(c).alias(f"all_{c}") for c in ("d0", "d1", "k0", "k1")])
+    totals = sizes.agg(F.struct(*[F.sum(c).alias(c) for c in ("d0", "d1", "k0", "k1")]).alias("t")).scalar()
     vocabulary = terms.agg(F.count("*")).scalar()
     return terms, sizes, totals, vocabulary
 
@@ -69,9 +69,9 @@ def polarity_scores(df: DataFrame, n: int, folds: Column, held: Column | None =
     grams = term_counts(placed, "text", n, ("target", "fold", "held"))
     terms, sizes, totals, vocabulary = _fold_model(grams, docs)
     # One row per fold.
-    outside = sizes.join(F.broadcast(totals)).select(
+    outside = sizes.select(
         F.col("fold").alias("held"),
-        *[(F.col(f"all_{c}") - F.coalesce(F.col(c), F.lit(0))).alias(c) for c in ("d0", "d1", "k0", "k1")],
+        *[(totals[c] - F.coalesce(F.col(c), F.lit(0))).alias(c) for c in ("d0", "d1", "k0", "k1")],
     )
     weighed = skew_join(grams, terms, "term", "inner", ["id"]).join(F.broadcast(outside), "held")
 
@@ -119,17 +119,16 @@ def predict_polarity(train: DataFrame, texts: DataFrame, n: int = 1) -> DataFram
     docs = train.select("id", "target", F.lit(0).cast("long").alias("fold"))
     terms, _, totals, vocabulary = _fold_model(grams, docs)
     known = skew_join(term_counts(texts, "text", n), terms, "term", "inner", ["id"])
-    totals = F.broadcast(totals)  # one row
 
     def logp(i: int) -> Column:
-        return F.log((F.col(f"t{i}") + 1) / (F.col(f"all_k{i}") + vocabulary))
+        return F.log((F.col(f"t{i}") + 1) / (totals[f"k{i}"] + vocabulary))
 
-    evidence = known.join(totals).groupBy("id").agg(
+    evidence = known.groupBy("id").agg(
         F.sum(F.col("tf") * (logp(1) - logp(0))).alias("evidence")
     )
-    return texts.select("id").join(evidence, "id", "left").join(totals).select(
+    return texts.select("id").join(evidence, "id", "left").select(
         "id",
-        (F.coalesce("evidence", F.lit(0.0)) + F.log(F.col("all_d1") / F.col("all_d0")) > 0)
+        (F.coalesce("evidence", F.lit(0.0)) + F.log(totals["d1"] / totals["d0"]) > 0)
         .cast("int").alias("predicted"),
     )
 
