@@ -60,7 +60,7 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; it only ever errs on the large side for
     the plans used here (joins multiply, aggregates keep their input size)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_limit(spark: SparkSession) -> int:

@@ -26,7 +26,7 @@ def skew_join(
     the matching right rows are repeated once per salt. Nothing is dropped.
     """
     if plan_bytes(right) <= broadcast_limit(left.sparkSession):
-        return left.join(right, key, how)
+        return _in_order(left, left.join(right, key, how), how)
     counts = left.groupBy(key).agg(F.count("*").alias("_rows"))
     total = counts.agg(F.sum("_rows")).scalar()
     hot = counts.filter(F.col("_rows") > total / HOT_KEYS).select(
@@ -43,7 +43,12 @@ def skew_join(
     repeated = right.join(hot, key, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))
     ).drop("_salts")
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+    return _in_order(left, salted.join(repeated, [key, "_salt"], how).drop("_salt"), how)
+
+
+def _in_order(left: DataFrame, joined: DataFrame, how: str) -> DataFrame:
+    """Semi and anti joins give back the left columns in their own order."""
+    return joined.select(*left.columns) if how in ("left_semi", "left_anti") else joined
 
 
 def reviews_for_books(reviews: DataFrame, books: DataFrame) -> DataFrame:
@@ -99,7 +104,7 @@ def merge_features(tables: list[DataFrame], key: str = "book_id") -> DataFrame:
 
 def only_new(df: DataFrame, done: DataFrame, key: str = "book_id") -> DataFrame:
     """Rows whose key is not among the processed ones."""
-    return df.join(done.select(key).distinct(), key, "left_anti")
+    return df.join(done.select(key).distinct(), key, "left_anti").select(*df.columns)
 
 
 def first_per_key(df: DataFrame, key: str, order: list) -> DataFrame:

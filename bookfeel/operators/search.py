@@ -36,13 +36,13 @@ def get_book(base: DataFrame, book_id: int) -> DataFrame:
 def filter_ids(df: DataFrame, column: str, ids) -> DataFrame:
     """Rows whose key is listed: a literal list, or a DataFrame of ids."""
     if isinstance(ids, DataFrame):
-        return df.join(ids.select(column).distinct(), column, "left_semi")
+        return df.join(ids.select(column).distinct(), column, "left_semi").select(*df.columns)
     return df.filter(F.col(column).isin(list(ids)))
 
 
 def contains(c: Column, text: str) -> Column:
     """Case-insensitive ``LIKE '%text%'``; ``%`` and ``_`` in it act as wildcards."""
-    return F.lower(c).like(F.lower(F.concat(F.lit("%"), F.lit(text), F.lit("%"))))
+    return F.like(F.lower(c), F.lit(f"%{text.lower()}%"))
 
 
 def list_key(c: Column) -> Column:
