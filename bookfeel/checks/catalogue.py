@@ -1,6 +1,6 @@
 """All registered queries; importing the modules registers them."""
 
-from . import fields, groups, searches, storage  # noqa: F401
+from . import fields, groups, models, searches, storage  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
