@@ -13,7 +13,7 @@ from .registry import check
 
 
 def docs(spark, sf):
-    return d.table(spark, sf, "documents")
+    return d.documents(spark, sf)
 
 
 @check("f01_filter_language", "SELECT doc_id, lang FROM documents WHERE starts_with(lang, 'en')")

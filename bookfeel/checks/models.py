@@ -54,7 +54,7 @@ def z_ctes() -> str:
 @check("m08_numeric_scaling", f"""WITH {z_ctes()}
     SELECT book_id, {", ".join(f"round({c}, 5) + 0.0 AS z_{c}" for c in _NUM)} FROM zs""", ("extended",))
 def numeric_scaling(spark, sf):
-    rows = extended(spark, sf)
+    rows = written(extended(spark, sf), "extended")
     scaled = scaling.apply_numeric(rows, scaling.fit_numeric(rows, _NUM))
     return scaled.select("book_id", *[(F.round(f"z_{c}", 5) + 0.0).alias(f"z_{c}") for c in _NUM])
 
@@ -102,10 +102,10 @@ _MIXED = " + ".join(
 @check("m12_knn_mixed", f"""WITH {z_ctes()},
     cats AS (SELECT book_id, {", ".join(f"coalesce({c}, 'unknown') AS {c}" for c in _CAT)} FROM extended),
     rows AS (SELECT zs.*, cats.* EXCLUDE (book_id) FROM zs JOIN cats USING (book_id)),
-    pairs AS (SELECT a.book_id AS id, b.book_id AS neighbour, round(sqrt({_MIXED}), 6) AS d
+    pairs AS (SELECT a.book_id AS id, b.book_id AS neighbour, sqrt({_MIXED}) AS d
               FROM rows a, rows b WHERE a.book_id <> b.book_id)
     SELECT id, CAST(rank AS INTEGER) AS rank, neighbour, round(d, 4) AS distance FROM
-      (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, neighbour) AS rank FROM pairs) WHERE rank <= 10""",
+      (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(d, 6), neighbour) AS rank FROM pairs) WHERE rank <= 10""",
        ("extended",))
 def knn_mixed(spark, sf):
     rows = written(extended(spark, sf), "extended")
@@ -167,7 +167,7 @@ def semantic_search(spark, sf):
     SELECT count(*) AS documents, CAST(1 AS BIGINT) AS best_is_itself FROM d""")
 def semantic_search_texts(spark, sf):
     """Every document is embedded; one is asked for by its own words and must come back."""
-    docs = d.table(spark, sf, "documents")
+    docs = d.documents(spark, sf)
     embed = scaling.hashing_embedder(384)
     vectors = written(embed(docs.select(F.col("doc_id").alias("id"), "text"), "text", "embedding").select("id", "embedding"), "texts")
     asked = docs.orderBy(F.desc("n_chars"), "doc_id").first()  # one row

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import work_path
+from ..cluster import spread, work_path
 from ..operators import enrich, joins, places, search
 from ..plans import serve
 from ..sources import driver_tables as d
@@ -325,7 +325,7 @@ def _ranked(rows):
 
 @check("m01_score_text", _lexicon_sql(False))
 def score_text(spark, sf):
-    docs = d.table(spark, sf, "documents")
+    docs = d.documents(spark, sf)
     return _ranked(enrich.score_text(docs, "text", "doc_id", enrich.lexicon_scorer(CUES)))
 
 
@@ -348,7 +348,7 @@ def score_text_model(spark, sf):
 
         return predict
 
-    docs = d.table(spark, sf, "documents")
+    docs = d.documents(spark, sf)
     return _ranked(enrich.score_text(docs, "text", "doc_id", model=load, batch=16))
 
 
@@ -371,5 +371,5 @@ def enrich_incrementally(spark, sf):
 @check("m07_default_tasks")
 def default_tasks(spark, sf):
     """The built-in scorer on every book description."""
-    books = d.descriptions(spark, sf)
+    books = spread(d.descriptions(spark, sf), "book_id")
     return as_text(joins.merge_features([run(books) for run in enrich.default_tasks().values()]))

@@ -72,6 +72,14 @@ def broadcast_limit(spark: SparkSession) -> int:
     return max(0, int(text))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition a scan that comes in fewer pieces than there are cores, as
+    a small file with one row group does. A large table is left as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def row_total(df: DataFrame):
     """Row count as a scalar sub-query, for use inside an expression."""
     return df.agg(F.count("*")).scalar()

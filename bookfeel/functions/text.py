@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 _SPACE = r"\s\x1c-\x1f"
 SPACE_RUN = rf"(?U)[{_SPACE}]+"
 
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+# Digits of any script, superscripts, and ASCII punctuation.
+DIGITS_AND_PUNCTUATION = r"[\p{Nd}²³¹⁰-⁹₀-₉!-/:-@\[-`{-~]+"
+NO_LETTERS = r"[^\p{L}]+"
 
 # English stop words (the 179-word list of the usual toolkit).
 STOP_WORDS = """
@@ -29,11 +31,12 @@ doesn't hadn hadn't hasn hasn't haven haven't isn isn't ma mightn mightn't mustn
 needn't shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't
 """.split()
 
-# Contractions a word tokenizer splits in two.
-SPLIT_WORDS = {
-    "cannot": "can not", "gimme": "gim me", "gonna": "gon na", "gotta": "got ta",
-    "lemme": "lem me", "wanna": "wan na",
-}
+# Contractions a word tokenizer splits in two, at the bar:
+# can|not gim|me gon|na got|ta lem|me wan|na
+SPLIT_WORDS = (
+    r"(?<!\S)(can(?=not)|gim(?=me)|gon(?=na)|got(?=ta)|lem(?=me)|wan(?=na))"
+    r"(not|me|na|ta)(?!\S)"
+)
 
 # Irregular English forms; a caller with a full dictionary passes its own.
 VERB_LEMMAS = {
@@ -104,10 +107,11 @@ def accent_table() -> tuple[str, str]:
 def strip_accents(c: Column) -> Column:
     """Replace accented letters by their base letter and drop loose marks."""
     accented, plain = accent_table()
-    return F.regexp_replace(F.translate(c, accented, plain), r"\p{Mn}", "")
+    bare = F.regexp_replace(F.translate(c, accented, plain), r"\p{Mn}+", "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), bare).otherwise(c)
 
 
-def tokens(c: Column, pattern: str = r"[^\p{L}]+") -> Column:
+def tokens(c: Column, pattern: str = NO_LETTERS) -> Column:
     """Lower-case words; everything matching ``pattern`` separates."""
     return F.filter(F.split(F.lower(c), pattern), lambda w: w != "")
 
@@ -135,10 +139,8 @@ def normalize_words(
     text = F.lower(F.trim(c))
     if accents:
         text = strip_accents(text)
-    text = F.regexp_replace(text, r"[\p{Nd}²³¹⁰-⁹₀-₉]", "")
-    text = F.translate(text, PUNCTUATION, "")
-    for word, parts in SPLIT_WORDS.items():
-        text = F.regexp_replace(text, rf"(?<=^|\s){word}(?=\s|$)", parts)
+    text = F.regexp_replace(text, DIGITS_AND_PUNCTUATION, "")
+    text = F.regexp_replace(text, SPLIT_WORDS, "$1 $2")
     words = F.filter(F.split(text, SPACE_RUN), lambda w: w != "")
     if stop_words:
         words = F.filter(words, lambda w: ~w.isin(stop_words))

@@ -48,4 +48,7 @@ def apply_groups(
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return fn(frame.drop(columns=["_part"]))
 
-    return dealt.groupBy(key, "_part").applyInPandas(run, schema)
+    # The function's cost does not show in the data size, so the partition count
+    # is given: adaptive execution would merge small data into few tasks.
+    pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(pieces, key, "_part").groupBy(key, "_part").applyInPandas(run, schema)

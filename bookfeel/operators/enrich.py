@@ -113,6 +113,11 @@ def by_score(scores: Column) -> Column:
     )
 
 
+def _disjoint(cues: dict[str, list[str]]) -> bool:
+    words = [w for ws in cues.values() for w in set(ws)]
+    return len(words) == len(set(words))
+
+
 def lexicon_scorer(cues: dict[str, list[str]], multi: bool = False) -> Callable[[Column], Column]:
     """Scores from cue-word counts over the whole text, as native expressions.
 
@@ -121,26 +126,26 @@ def lexicon_scorer(cues: dict[str, list[str]], multi: bool = False) -> Callable[
     """
 
     def score(c: Column) -> Column:
-        words = tx.tokens(F.coalesce(c, F.lit("")))
         wanted = sorted({w for ws in cues.values() for w in ws})
-        heard = F.filter(words, lambda w: w.isin(wanted))
-        # The cue words of a text are few, so this array is short.
-        hits = F.transform(
-            F.array(*[F.struct(F.lit(name).alias("label"), F.array(*map(F.lit, ws)).alias("cues"))
-                      for name, ws in cues.items()]),
-            lambda t: F.struct(
-                t["label"].alias("label"),
-                F.size(F.filter(heard, lambda w: F.array_contains(t["cues"], w))).alias("n"),
-            ),
-        )
-        if multi:
-            return by_score(F.transform(hits, lambda h: F.struct(
-                h["label"].alias("label"), (h["n"] / (h["n"] + 1)).alias("score"))))
-        total = F.aggregate(hits, F.lit(0), lambda acc, h: acc + h["n"])
-        share = F.transform(F.array(F.struct(hits.alias("hits"), total.alias("total"))), lambda a: F.transform(
-            a["hits"], lambda h: F.struct(
-                h["label"].alias("label"), ((h["n"] + 1) / (a["total"] + len(cues))).alias("score"))))
-        return by_score(F.flatten(share))
+        # The text's cue words are few; they are found once and bound, so that
+        # the labels do not each read the text again.
+        heard = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), tx.NO_LETTERS), lambda w: w.isin(wanted))
+
+        def count(found: Column, words: list[str]) -> Column:
+            return F.size(F.filter(found, lambda w: w.isin(words)))
+
+        def entries(found: Column) -> Column:
+            hits = {name: count(found, words) for name, words in cues.items()}
+            total = F.size(found) if _disjoint(cues) else sum(hits.values(), F.lit(0))
+            return F.array(*[
+                F.struct(
+                    F.lit(name).alias("label"),
+                    (n / (n + 1) if multi else (n + 1) / (total + len(cues))).alias("score"),
+                )
+                for name, n in hits.items()
+            ])
+
+        return by_score(F.flatten(F.transform(F.array(heard), entries)))
 
     return score
 

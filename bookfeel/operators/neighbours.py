@@ -14,6 +14,7 @@ from ..sources import tables
 from .joins import only_new
 
 MAX_CELLS = 1024      # bounds what the driver and every task hold of the cells
+MAX_TASKS = 100_000
 BLOCK = 2048          # rows per block, so a pair of blocks fits any task
 SLACK = 1e-6          # keeps ties and rounding inside the exact bound
 SCORE_DIGITS = 6      # neighbours whose scores agree to this many digits tie
@@ -35,9 +36,16 @@ class _Space:
         if self.metric == "dot":
             d2 = np.full(len(d), self.longest**2)
         out = q2[:, None] + d2[None, :] - 2.0 * (q @ d.T)
-        for j in range(q_codes.shape[1]):
-            out += 2.0 * (q_codes[:, j][:, None] != d_codes[:, j][None, :])
-        return np.maximum(out, 0.0)
+        return np.maximum(self._add_differences(out, q_codes, d_codes), 0.0)
+
+    @staticmethod
+    def _add_differences(out, a_codes, b_codes):
+        if a_codes.shape[1]:
+            differing = np.zeros(out.shape, dtype=np.uint8 if a_codes.shape[1] < 128 else np.uint32)
+            for j in range(a_codes.shape[1]):
+                differing += a_codes[:, j][:, None] != b_codes[:, j][None, :]
+            out += 2 * differing
+        return out
 
     def between_data(self, a, a_codes, b, b_codes):
         """Distance of two data rows, the added coordinate included."""
@@ -46,9 +54,7 @@ class _Space:
             lift = np.sqrt(np.maximum(self.longest**2 - (a * a).sum(1), 0.0))
             lift_b = np.sqrt(np.maximum(self.longest**2 - (b * b).sum(1), 0.0))
             out += (lift[:, None] - lift_b[None, :]) ** 2
-        for j in range(a_codes.shape[1]):
-            out += 2.0 * (a_codes[:, j][:, None] != b_codes[:, j][None, :])
-        return np.sqrt(np.maximum(out, 0.0))
+        return np.sqrt(np.maximum(self._add_differences(out, a_codes, b_codes), 0.0))
 
     def score(self, q, d, squared):
         """What is reported: product (larger is nearer) or distance."""
@@ -241,13 +247,20 @@ def _search(
     queries = blocks
     if asking is not None:
         queries = _pack(assigned.join(asking, "id", "left_semi"), parts)
+    # Rows are whole blocks here: little data, much work. Explicit numbers of
+    # partitions keep adaptive execution from merging them into one task.
+    count = sum(-(-c["n"] // BLOCK) for c in cells)
+    queries = queries.repartition(min(count, MAX_TASKS), "cell", "sub")
     probes = _probes(queries, space, pivots, (nearest, farthest), k, nprobe)
     # A probe meets every block of its cell; the pair is keyed by block, so a
     # crowded cell is shared out over its blocks.
     probes = probes.join(F.broadcast(parts), "cell").withColumn(
         "sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     ).drop("parts")
-    pairs = probes.join(blocks, ["cell", "sub"]).drop("cell", "sub")
+    tasks = min(4 * count, MAX_TASKS)
+    pairs = probes.repartition(tasks, "cell", "sub").join(
+        blocks.repartition(tasks, "cell", "sub"), ["cell", "sub"]
+    ).drop("cell", "sub")
     found = _nearest_in_pairs(pairs, space, k)
     rounded = F.round("score", SCORE_DIGITS)
     best = F.desc(rounded) if metric == "dot" else F.asc(rounded)

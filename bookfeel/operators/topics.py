@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import written
 from .joins import skew_join
 from .rollups import stable_bucket
 
@@ -66,7 +67,8 @@ def polarity_scores(df: DataFrame, n: int, folds: Column, held: Column | None =
     placed = df.select("id", "text", F.col("target"), folds.alias("fold"))
     placed = placed.withColumn("held", F.col("fold") if held is None else held)
     docs = placed.select("id", "target", "fold", "held")
-    grams = term_counts(placed, "text", n, ("target", "fold", "held"))
+    # Read four times below, so the texts are cut into words only once.
+    grams = written(term_counts(placed, "text", n, ("target", "fold", "held")), "grams")
     terms, sizes, totals, vocabulary = _fold_model(grams, docs)
     # One row per fold.
     outside = sizes.select(
@@ -115,7 +117,8 @@ def holdout(df: DataFrame, test: float = 0.3, n: int = 1) -> DataFrame:
 
 def predict_polarity(train: DataFrame, texts: DataFrame, n: int = 1) -> DataFrame:
     """``(id, predicted)`` for new texts; words the training never saw count nothing."""
-    grams = term_counts(train, "text", n, ("target",)).withColumn("fold", F.lit(0).cast("long"))
+    counts = written(term_counts(train, "text", n, ("target",)), "grams")
+    grams = counts.withColumn("fold", F.lit(0).cast("long"))
     docs = train.select("id", "target", F.lit(0).cast("long").alias("fold"))
     terms, _, totals, vocabulary = _fold_model(grams, docs)
     known = skew_join(term_counts(texts, "text", n), terms, "term", "inner", ["id"])
@@ -138,7 +141,7 @@ def tfidf(df: DataFrame, n: int = 3, min_df: int = 5, max_features: int = 10_000
 
     ``min_df`` and ``max_features`` (most frequent terms) define the vocabulary.
     """
-    counts = term_counts(df, "text", n)
+    counts = written(term_counts(df, "text", n), "grams")
     total = df.agg(F.count("*")).scalar()
     stats = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     vocabulary = stats.filter(F.col("df") >= min_df).orderBy(F.desc("cf"), "term").limit(max_features)
@@ -162,7 +165,8 @@ def topics(
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.linalg import Vectors
 
-    terms = df.select("id", ngrams(F.col("text"), n).alias("_terms"))
+    # Both tables are read many times: by each fit, and by every iteration.
+    terms = written(df.select("id", ngrams(F.col("text"), n).alias("_terms")), "terms")
     counter = CountVectorizer(
         inputCol="_terms", outputCol="_tf", minDF=float(min_df), vocabSize=max_features
     ).fit(terms)
@@ -172,6 +176,7 @@ def topics(
         scalingVec=Vectors.dense(idf + 1.0), inputCol="_tf", outputCol="_raw"
     ).transform(counted)
     vectors = Normalizer(p=2.0, inputCol="_raw", outputCol="features").transform(weighed).select("id", "features")
+    vectors = written(vectors, "features")
     model = LDA(k=k, maxIter=iterations, seed=seed).fit(vectors)
     mixtures = model.transform(vectors).select(
         "id", vector_to_array("topicDistribution").alias("mixture")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import row_total
+from ..cluster import row_total, spread
 from ..functions import fields
 from ..operators.search import NO_COVER
 
@@ -21,6 +21,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents, on all cores: work on their texts is heavy."""
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def book_facts(spark: SparkSession, folder: str) -> DataFrame:
     """One row per part; no join, no aggregate."""
     key = F.col("p_partkey")
@@ -148,7 +153,10 @@ _DATE_FORM = "EEE MMM dd HH:mm:ss"
 
 def reviews(spark: SparkSession, folder: str, text: bool = True) -> DataFrame:
     """One review per line item; with ``text`` its whole document is the review."""
-    lines = table(spark, folder, "lineitem").join(
+    lines = table(spark, folder, "lineitem")
+    if not text:  # with texts the join below spreads the rows
+        lines = spread(lines, "l_orderkey")
+    lines = lines.join(
         table(spark, folder, "orders").select(
             F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate"
         ),
@@ -345,9 +353,7 @@ def replies(spark: SparkSession, folder: str) -> DataFrame:
 
 def labelled_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a quality label, as (id, text, target)."""
-    return table(spark, folder, "documents").join(
-        table(spark, folder, "labels"), "doc_id"
-    ).select(F.col("doc_id").alias("id"), "text", F.col("quality").alias("target"))
+    return documents(spark, folder).join(table(spark, folder, "labels"), "doc_id").select(F.col("doc_id").alias("id"), "text", F.col("quality").alias("target"))
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
