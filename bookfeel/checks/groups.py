@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..cluster import work_path, written
 from ..functions import fields as fx
 from ..operators import custom, filters, joins, ordering, rollups, timeline
 from ..plans import prepare
@@ -52,8 +53,6 @@ def flagship(spark, sf):
        ("clean_reviews", "book_facts", "described", "shelf_totals", "author_pairs"))
 def base_pipeline(spark, sf):
     """The stored batch from language filter to base table, with its review lists."""
-    from ..cluster import work_path
-
     books = d.books(spark, sf, "similar_books", "popular_shelves", "authors", "description")
     out = prepare.prepare(
         spark, work_path(spark, "prepare"), books, d.reviews(spark, sf), d.authors(spark, sf))
@@ -149,13 +148,14 @@ _IQR = """
 
 @check("f14_remove_outliers_iqr", _IQR, ("reviews",))
 def remove_outliers(spark, sf):
-    kept = rollups.remove_outliers_iqr(timed_reviews(spark, sf), "book_id", "read_duration")
+    rows = written(timed_reviews(spark, sf).select("book_id", "review_id", "read_duration"), "reviews")
+    kept = rollups.remove_outliers_iqr(rows, "book_id", "read_duration")
     return kept.select("review_id", "read_duration")
 
 
 @check("v02_apply_groups", _IQR, ("reviews",))
 def apply_groups(spark, sf):
-    rows = timed_reviews(spark, sf).select("book_id", "review_id", "read_duration")
+    rows = written(timed_reviews(spark, sf).select("book_id", "review_id", "read_duration"), "reviews")
     quartiles = rollups.keyed_quantiles(rows, "book_id", "read_duration", {"q1": 0.25, "q3": 0.75})
 
     def inside(frame):

@@ -43,7 +43,7 @@ def z_ctes() -> str:
     stats = ", ".join(f"avg({_double(c)}) AS m_{c}" for c in _NUM)
     filled = ", ".join(f"coalesce({_double(c)}, m_{c}) AS {c}" for c in _NUM)
     spread = ", ".join(f"stddev_pop({c}) AS s_{c}" for c in _NUM)
-    scaled = ", ".join(f"(f.{c} - m_{c}) / s_{c} AS {c}" for c in _NUM)
+    scaled = ", ".join(f"(f.{c} - m_{c}) / coalesce(nullif(s_{c}, 0), 1) AS {c}" for c in _NUM)
     return f"""
     means AS (SELECT {stats} FROM extended),
     filled AS (SELECT book_id, {filled} FROM extended, means),
@@ -61,7 +61,7 @@ def numeric_scaling(spark, sf):
 
 @check("m09_robust_scaling", f"""
     WITH q AS (SELECT {", ".join(f"avg({_double(c)}) AS a_{c}, quantile_cont({_double(c)}, 0.25) AS l_{c}, quantile_cont({_double(c)}, 0.5) AS m_{c}, quantile_cont({_double(c)}, 0.75) AS h_{c}" for c in _NUM)} FROM extended)
-    SELECT book_id, {", ".join(f"round((coalesce({_double(c)}, a_{c}) - m_{c}) / (h_{c} - l_{c}), 5) + 0.0 AS r_{c}" for c in _NUM)}
+    SELECT book_id, {", ".join(f"round((coalesce({_double(c)}, a_{c}) - m_{c}) / coalesce(nullif(h_{c} - l_{c}, 0), 1), 5) + 0.0 AS r_{c}" for c in _NUM)}
     FROM extended, q""", ("extended",))
 def robust_scaling(spark, sf):
     rows = written(extended(spark, sf), "extended")

@@ -63,6 +63,11 @@ def has_text(c: Column) -> Column:
     return c.rlike(rf"(?U)[^{_SPACE}]")
 
 
+def strip(c: Column) -> Column:
+    """Text without white space at its ends; line breaks count as such."""
+    return F.regexp_replace(c, rf"(?U)^[{_SPACE}]+|[{_SPACE}]+$", "")
+
+
 def word_count(c: Column) -> Column:
     """Number of white-space separated words."""
     return F.size(F.filter(F.split(c, SPACE_RUN), lambda w: w != "")).cast("long")
@@ -166,9 +171,8 @@ def joined_categories(columns: list[Column], sep: str = " ") -> Column:
 def json_block(c: Column) -> Column:
     """The JSON text inside a model reply: the whole reply without its code
     fence when that parses, else its outermost braces, else null."""
-    text = F.trim(c)
-    text = F.regexp_replace(text, r"^```(json)?", "")
-    text = F.trim(F.regexp_replace(text, r"```$", ""))
+    text = F.regexp_replace(strip(c), r"^```(json)?", "")
+    text = strip(F.regexp_replace(text, r"```$", ""))
     inner = F.regexp_extract(text, r"(?s)\{.*\}", 0)
     return F.when(F.try_parse_json(text).isNotNull(), text).when(
         F.try_parse_json(inner).isNotNull(), inner

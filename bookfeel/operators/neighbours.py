@@ -185,6 +185,16 @@ def _probes(blocks: DataFrame, space: _Space, pivots, limits, k: int, nprobe: in
     return blocks.mapInArrow(run, schema)
 
 
+def _smallest(rank: np.ndarray, k: int):
+    """Row and column of every entry up to its row's k-th smallest, ties with the
+    k-th included; the final ranking settles them by id."""
+    if rank.shape[1] > k:
+        limit = np.partition(rank, k - 1, axis=1)[:, k - 1: k]
+    else:
+        limit = np.full((len(rank), 1), np.finfo(np.float64).max)
+    return np.nonzero((rank <= limit) & np.isfinite(rank))
+
+
 def _nearest_in_pairs(pairs: DataFrame, space: _Space, k: int) -> DataFrame:
     """The k best data rows of each query row, for every pair of blocks."""
     sign = -1.0 if space.metric == "dot" else 1.0
@@ -197,14 +207,9 @@ def _nearest_in_pairs(pairs: DataFrame, space: _Space, k: int) -> DataFrame:
                 score = space.score(q, d, space.squared(q, q_codes, d, d_codes))
                 rank = sign * np.round(score, SCORE_DIGITS)
                 rank[q_ids[:, None] == ids[None, :]] = np.inf
-                # Data rows in id order, so that a stable sort breaks ties by id.
-                by_id = np.argsort(ids, kind="stable")
-                order = by_id[np.argsort(rank[:, by_id], axis=1, kind="stable")[:, :k]]
-                keep = np.isfinite(np.take_along_axis(rank, order, 1))
+                row, col = _smallest(rank, k)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, order.shape[1])[keep.ravel()]),
-                     pa.array(ids[order].ravel()[keep.ravel()]),
-                     pa.array(np.take_along_axis(score, order, 1).ravel()[keep.ravel()])],
+                    [pa.array(q_ids[row]), pa.array(ids[col]), pa.array(score[row, col])],
                     names=["id", "neighbour", "score"],
                 )
 

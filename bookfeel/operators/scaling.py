@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ..cluster import written
 from ..functions import text
@@ -224,7 +225,7 @@ def model_embedder(load, dimensions: int, batch: int = 64):
     from a list of texts to a list of vectors."""
 
     def embed(df: DataFrame, column: str, out: str) -> DataFrame:
-        schema = df.schema.add(out, "array<float>")
+        schema = StructType([*df.schema.fields, StructField(out, ArrayType(FloatType()))])
 
         def run(frames):
             encode = load()

@@ -34,60 +34,62 @@ def term_counts(df: DataFrame, text: str = "text", n: int = 1, keep: tuple[str,
     return terms.groupBy("id", *keep, "term").agg(F.count("*").alias("tf"))
 
 
-def _fold_model(grams: DataFrame, docs: DataFrame):
-    """Counts from which the model without any one fold follows.
+_CLASSES = ("d0", "d1", "k0", "k1")  # documents and tokens of both classes
 
-    Per term: class counts in all and per fold. Per fold (a few rows): documents
-    and tokens of the classes outside the fold, and the vocabulary size.
-    """
+
+def _class_counts() -> list[Column]:
     neg, pos = F.col("target") == 0, F.col("target") == 1
-    per_fold = grams.groupBy("term", "fold").agg(
+    return [
         F.sum(F.when(neg, F.col("tf")).otherwise(0)).alias("n0"),
         F.sum(F.when(pos, F.col("tf")).otherwise(0)).alias("n1"),
-    )
-    terms = per_fold.groupBy("term").agg(
-        F.sum("n0").alias("t0"), F.sum("n1").alias("t1"),
-        F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n0", "n1")))).alias("in_fold"),
-    )
-    tokens = per_fold.groupBy("fold").agg(F.sum("n0").alias("k0"), F.sum("n1").alias("k1"))
-    sizes = docs.groupBy("fold").agg(
-        F.count_if(neg).alias("d0"), F.count_if(pos).alias("d1")
-    ).join(tokens, "fold", "left")
-    totals = sizes.agg(F.struct(*[F.sum(c).alias(c) for c in ("d0", "d1", "k0", "k1")]).alias("t")).scalar()
-    vocabulary = terms.agg(F.count("*")).scalar()
-    return terms, sizes, totals, vocabulary
+    ]
 
 
 def polarity_scores(df: DataFrame, n: int, folds: Column, held: Column | None = None) -> DataFrame:
-    """``(id, target, fold, held, predicted)`` from multinomial naive Bayes with
+    """``(id, target, fold, predicted)`` from multinomial naive Bayes with
     add-one smoothing. Each document is scored by the model that never saw the
     fold ``held`` (its own one by default). The vocabulary is that of all texts,
     however large.
+
+    Counts are kept per term, in all and per fold, so that the model without any
+    one fold is a subtraction and all folds are scored in one pass.
     """
     placed = df.select("id", "text", F.col("target"), folds.alias("fold"))
     placed = placed.withColumn("held", F.col("fold") if held is None else held)
     docs = placed.select("id", "target", "fold", "held")
     # Read four times below, so the texts are cut into words only once.
     grams = written(term_counts(placed, "text", n, ("target", "fold", "held")), "grams")
-    terms, sizes, totals, vocabulary = _fold_model(grams, docs)
-    # One row per fold.
-    outside = sizes.select(
-        F.col("fold").alias("held"),
-        *[(totals[c] - F.coalesce(F.col(c), F.lit(0))).alias(c) for c in ("d0", "d1", "k0", "k1")],
+    per_fold = grams.groupBy("term", "fold").agg(*_class_counts())
+    terms = per_fold.groupBy("term").agg(
+        F.sum("n0").alias("t0"), F.sum("n1").alias("t1"),
+        F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n0", "n1")))).alias("in_fold"),
     )
-    weighed = skew_join(grams, terms, "term", "inner", ["id"]).join(F.broadcast(outside), "held")
+    # A few numbers per fold, as one map.
+    sizes = docs.groupBy("fold").agg(
+        F.count_if(F.col("target") == 0).alias("d0"), F.count_if(F.col("target") == 1).alias("d1")
+    ).join(
+        per_fold.groupBy("fold").agg(F.sum("n0").alias("k0"), F.sum("n1").alias("k1")), "fold", "left"
+    ).fillna(0)
+    totals = sizes.agg(F.struct(*[F.sum(c).alias(c) for c in _CLASSES]).alias("t")).scalar()
+    by_fold = sizes.agg(
+        F.map_from_entries(F.collect_list(F.struct("fold", F.struct(*_CLASSES)))).alias("m")
+    ).scalar()
+    vocabulary = terms.agg(F.count("*")).scalar()
+
+    def outside(name: str) -> Column:
+        inside = F.try_element_at(by_fold, F.col("held"))[name]
+        return totals[name] - F.coalesce(inside, F.lit(0))
 
     def logp(i: int) -> Column:
         inside = F.coalesce(F.try_element_at("in_fold", F.col("held"))[f"n{i}"], F.lit(0))
-        return F.log((F.col(f"t{i}") - inside + 1) / (F.col(f"k{i}") + vocabulary))
+        return F.log((F.col(f"t{i}") - inside + 1) / (outside(f"k{i}") + vocabulary))
 
-    evidence = weighed.groupBy("id").agg(
+    evidence = skew_join(grams, terms, "term", "inner", ["id"]).groupBy("id").agg(
         F.sum(F.col("tf") * (logp(1) - logp(0))).alias("evidence")
     )
-    prior = F.log(F.col("d1") / F.col("d0"))
-    scored = docs.join(evidence, "id", "left").join(F.broadcast(outside), "held")
-    return scored.select(
-        "id", "target", "fold", "held",
+    prior = F.log(outside("d1") / outside("d0"))
+    return docs.join(evidence, "id", "left").select(
+        "id", "target", "fold",
         (F.coalesce("evidence", F.lit(0.0)) + prior > 0).cast("int").alias("predicted"),
     )
 
@@ -117,22 +119,24 @@ def holdout(df: DataFrame, test: float = 0.3, n: int = 1) -> DataFrame:
 
 def predict_polarity(train: DataFrame, texts: DataFrame, n: int = 1) -> DataFrame:
     """``(id, predicted)`` for new texts; words the training never saw count nothing."""
-    counts = written(term_counts(train, "text", n, ("target",)), "grams")
-    grams = counts.withColumn("fold", F.lit(0).cast("long"))
-    docs = train.select("id", "target", F.lit(0).cast("long").alias("fold"))
-    terms, _, totals, vocabulary = _fold_model(grams, docs)
-    known = skew_join(term_counts(texts, "text", n), terms, "term", "inner", ["id"])
+    terms = written(
+        term_counts(train, "text", n, ("target",)).groupBy("term").agg(*_class_counts()), "terms"
+    )
+    sums = terms.agg(F.struct(
+        F.sum("n0").alias("k0"), F.sum("n1").alias("k1"), F.count("*").alias("v")).alias("s")).scalar()
+    classes = train.agg(F.struct(
+        F.count_if(F.col("target") == 0).alias("d0"), F.count_if(F.col("target") == 1).alias("d1")
+    ).alias("d")).scalar()
 
     def logp(i: int) -> Column:
-        return F.log((F.col(f"t{i}") + 1) / (totals[f"k{i}"] + vocabulary))
+        return F.log((F.col(f"n{i}") + 1) / (sums[f"k{i}"] + sums["v"]))
 
-    evidence = known.groupBy("id").agg(
+    evidence = skew_join(term_counts(texts, "text", n), terms, "term", "inner", ["id"]).groupBy("id").agg(
         F.sum(F.col("tf") * (logp(1) - logp(0))).alias("evidence")
     )
+    prior = F.log(classes["d1"] / classes["d0"])
     return texts.select("id").join(evidence, "id", "left").select(
-        "id",
-        (F.coalesce("evidence", F.lit(0.0)) + F.log(totals["d1"] / totals["d0"]) > 0)
-        .cast("int").alias("predicted"),
+        "id", (F.coalesce("evidence", F.lit(0.0)) + prior > 0).cast("int").alias("predicted"),
     )
 
 
