@@ -61,12 +61,12 @@ def numeric_scaling(spark, sf):
 
 @check("m09_robust_scaling", f"""
     WITH q AS (SELECT {", ".join(f"avg({_double(c)}) AS a_{c}, quantile_cont({_double(c)}, 0.25) AS l_{c}, quantile_cont({_double(c)}, 0.5) AS m_{c}, quantile_cont({_double(c)}, 0.75) AS h_{c}" for c in _NUM)} FROM extended)
-    SELECT book_id, {", ".join(f"round((coalesce({_double(c)}, a_{c}) - m_{c}) / coalesce(nullif(h_{c} - l_{c}, 0), 1), 5) + 0.0 AS r_{c}" for c in _NUM)}
+    SELECT book_id, {", ".join(f"round((coalesce({_double(c)}, a_{c}) - m_{c}) / coalesce(nullif(h_{c} - l_{c}, 0), 1), 7) + 0.0 AS r_{c}" for c in _NUM)}
     FROM extended, q""", ("extended",))
 def robust_scaling(spark, sf):
     rows = written(extended(spark, sf), "extended")
     scaled = scaling.apply_robust(rows, scaling.fit_robust(rows, _NUM))
-    return scaled.select("book_id", *[(F.round(f"r_{c}", 5) + 0.0).alias(f"r_{c}") for c in _NUM])
+    return scaled.select("book_id", *[(F.round(f"r_{c}", 7) + 0.0).alias(f"r_{c}") for c in _NUM])
 
 
 def _codes_sql(missing: str) -> str:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import spread, work_path
+from ..cluster import spread, work_path, written
 from ..operators import enrich, joins, places, search
 from ..plans import serve
 from ..sources import driver_tables as d
@@ -43,6 +43,11 @@ def features(spark, sf):
     return rows.select("book_id", "emotions", *CUTS, "sentiment")
 
 
+def stored(spark, sf):
+    """Features and base as stored tables, for queries that search them often."""
+    return written(features(spark, sf), "features"), written(d.base(spark, sf), "base")
+
+
 def as_text(df: DataFrame) -> DataFrame:
     """Array columns as comma lists, for comparison."""
     return df.select(*[search.as_text(df, c).alias(c) if f.dataType.typeName() == "array" else F.col(c)
@@ -105,7 +110,7 @@ _WANTED = {
 @check("f09_ids_by_feature", " UNION ALL ".join(f"SELECT * FROM ({_feature_sql(k, v)})" for k, v in _WANTED.items()),
        ("features", "base"))
 def ids_by_feature(spark, sf):
-    found, base = features(spark, sf), d.base(spark, sf)
+    found, base = stored(spark, sf)
     return reduce(DataFrame.union, [
         search.ids_by_feature(found, base, k, v).select(F.lit(k).alias("feature"), "book_id")
         for k, v in _WANTED.items()])
@@ -122,7 +127,7 @@ def features_with_base(spark, sf):
     FROM ({_TITLE} LIMIT 10) UNION ALL
     SELECT CAST(book_id AS VARCHAR), title, CAST(average_rating AS VARCHAR) FROM base WHERE book_id = 7""", ("base",))
 def find_book(spark, sf):
-    base = d.base(spark, sf)
+    base = written(d.base(spark, sf), "base")
     columns = ["book_id", "title", "average_rating"]
     return search.find_book(base, " 7 ").select(*columns).union(search.find_book(base, "red").select(*columns))
 
@@ -140,10 +145,10 @@ def ids_by_country(spark, sf):
 @check("t03_order_by_resolution", """
     SELECT book_id, resolved_as, total_shelves_count FROM locations JOIN base USING (book_id)
     ORDER BY CASE resolved_as WHEN 'direct_country' THEN 1 WHEN 'geocoded' THEN 2 ELSE 3 END,
-      total_shelves_count DESC, average_rating DESC, book_id LIMIT 400""", ("locations", "base"))
+      total_shelves_count DESC, average_rating DESC, book_id""", ("locations", "base"))
 def order_by_resolution(spark, sf):
     both = d.book_locations(spark, sf).join(d.base(spark, sf), "book_id")
-    return search.order_by_resolution(both).limit(400).select("book_id", "resolved_as", "total_shelves_count")
+    return search.order_by_resolution(both).select("book_id", "resolved_as", "total_shelves_count")
 
 
 _W1 = """
@@ -189,7 +194,7 @@ def _ten(feature, value):
     INTERSECT {_ten("sentiment", "e")}""", ("features", "base"))
 def filter_books_parity(spark, sf):
     criteria = {"emotions": ["click", "view", "e"], "sentiment": "e"}
-    return search.filter_books(features(spark, sf), d.base(spark, sf), criteria, parity=True)
+    return search.filter_books(*stored(spark, sf), criteria, parity=True)
 
 
 @check("filtered_books_pipeline", _W1.format(where=f"""WHERE image_url <> '{search.NO_COVER}' AND book_id IN (

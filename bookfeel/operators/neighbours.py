@@ -15,6 +15,7 @@ from .joins import only_new
 
 MAX_CELLS = 1024      # bounds what the driver and every task hold of the cells
 MAX_TASKS = 100_000
+ROWS_PER_CENTRE = 1000  # rows per cell that the k-means centres are fitted on
 BLOCK = 2048          # rows per block, so a pair of blocks fits any task
 SLACK = 1e-6          # keeps ties and rounding inside the exact bound
 SCORE_DIGITS = 6      # neighbours whose scores agree to this many digits tie
@@ -221,7 +222,6 @@ def _search(
     leaf: int = BLOCK, asking: DataFrame | None = None,
 ) -> DataFrame:
     """Search all rows for the neighbours of all rows, or only of the ids in ``asking``."""
-    points = written(points, "points")
     facts = points.agg(
         F.count("*").alias("n"),
         F.max(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x)).alias("longest"),
@@ -285,7 +285,8 @@ def knn_exact(
     column of category codes that take part as one-hot slots. ``asking`` (a
     DataFrame of ``id``) limits whose neighbours are found.
     """
-    return _search(_points(vectors, key, vector, codes), k, metric, None, leaf=leaf, asking=asking)
+    points = written(_points(vectors, key, vector, codes), "points")
+    return _search(points, k, metric, None, leaf=leaf, asking=asking)
 
 
 def knn_mixed(features: DataFrame, numeric: list[str], categories: list[str], k: int = 10) -> DataFrame:
@@ -345,14 +346,16 @@ def knn_ivf(
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    points = _points(vectors, key, vector, None)
+    points = written(_points(vectors, key, vector, None), "points")
     n = points.count()
     cells = max(1, min(MAX_CELLS, -(-n // leaf)))
     if cells == 1:
         return _search(points, k, metric, None, asking=asking)
-    model = KMeans(k=cells, seed=seed, featuresCol="_v").fit(
-        points.select(array_to_vector("vec").alias("_v"))
-    )
+    # The centres need only some rows to settle; every row is then assigned.
+    wanted = min(1.0, cells * ROWS_PER_CENTRE / n)
+    sample = points.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(wanted * (1 << 20)))
+    training = written(sample.select(array_to_vector("vec").alias("_v")), "training")
+    model = KMeans(k=cells, seed=seed, featuresCol="_v").fit(training)
     centres = np.array(model.clusterCenters(), dtype=np.float64)
     return _search(points, k, metric, probe, centres, asking=asking)
 

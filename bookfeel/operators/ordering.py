@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import checkpointed
+
 # The named subset sizes.
 SUBSET_SIZES = {
     "10k": 10_000, "20k": 20_000, "50k": 50_000, "100k": 100_000, "150k": 150_000,
@@ -62,12 +64,7 @@ def order_codes(values: DataFrame, group: str, value: str) -> DataFrame:
     checkpointed once: range bounds are sampled, and both passes must see the
     same ones.
     """
-    spark = values.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        from ..cluster import shared_root
-
-        spark.sparkContext.setCheckpointDir(shared_root(spark))
-    ranged = (
+    ranged = checkpointed(
         values.select(group, value).distinct()
         .repartitionByRange(group, value)
         .sortWithinPartitions(group, value)
@@ -75,7 +72,6 @@ def order_codes(values: DataFrame, group: str, value: str) -> DataFrame:
             group, value, F.spark_partition_id().alias("_piece"),
             F.monotonically_increasing_id().alias("_place"),
         )
-        .checkpoint()
     )
     pieces = ranged.groupBy(group, "_piece").agg(
         F.min("_place").alias("_first"), F.count("*").alias("_n")

@@ -53,7 +53,7 @@ def editions(spark: SparkSession, folder: str) -> DataFrame:
     ``EDITION_BLOCK`` long; empty where a part stands alone."""
     parts = table(spark, folder, "part").select(
         F.col("p_partkey").alias("book_id"),
-        F.floor(F.col("p_partkey") / EDITION_BLOCK).alias("block"),
+        F.expr(f"p_partkey div {EDITION_BLOCK}").alias("block"),
         "p_brand",
     )
     groups = (
@@ -198,7 +198,7 @@ def scores(spark: SparkSession, folder: str) -> DataFrame:
     cents = (
         table(spark, folder, "events")
         .select(
-            F.floor(F.col("event_id") / 8).alias("id"),
+            F.expr("event_id div 8").alias("id"),
             F.col("event_type").alias("label"),
             F.round(F.col("value") * 100).cast("long").alias("cents"),
         )
@@ -229,7 +229,7 @@ def entities(spark: SparkSession, folder: str) -> DataFrame:
         .withColumn("k", F.col("user_id") % 25)
         .join(names, "k")
         .select(
-            F.floor(F.col("event_id") / 8).alias("id"),
+            F.expr("event_id div 8").alias("id"),
             F.struct(
                 F.col("event_id"),
                 F.when(F.col("event_type").isin("view", "click"), "LOC").otherwise("PER").alias("entity_group"),

@@ -130,6 +130,13 @@ def test_edition_filter_limits_groups_before_the_shuffle(spark):
         assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
 
 
+def test_order_by_resolution(spark):
+    how = {1: "not_found", 2: "geocoded", 3: "direct_country", 4: "geocoded"}
+    places = spark.createDataFrame(list(how.items()), "book_id int, resolved_as string")
+    rows = search.order_by_resolution(places.join(editions(spark), "book_id")).collect()
+    assert [r["book_id"] for r in rows] == [3, 2, 4, 1]
+
+
 def test_title_wildcards_and_find(spark):
     base = editions(spark)
     assert [r["book_id"] for r in search.search_title(base, "a").collect()] == [2]
