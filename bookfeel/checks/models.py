@@ -119,10 +119,23 @@ def knn_compressed(spark, sf):
     return neighbours.knn_compressed(rows, _NUM, _CAT, 10)
 
 
-@check("m14_hybrid_vectors")
+_TAIL = [*_NUM, "flag"]
+
+
+@check("m14_hybrid_vectors", f"""WITH {z_ctes()},
+    tails AS (SELECT zs.*, CAST(is_series = 'Y' AS INTEGER) AS flag FROM zs JOIN extended USING (book_id)),
+    sized AS (SELECT *, sqrt(1 + {" + ".join(f"{c} * {c}" for c in _TAIL)}) AS length FROM tails)
+    SELECT book_id, CAST(391 AS BIGINT) AS dims, round(1 / length, 5) AS text_length,
+      {", ".join(f"round({c} / length, 5) + 0.0 AS {c}" for c in _TAIL)} FROM sized""", ("extended",))
 def hybrid_vectors(spark, sf):
+    """Length of the text part, and every number after it."""
     rows = written(extended(spark, sf), "extended")
-    return scaling.hybrid_vectors(rows, _NUM, _CAT, scaling.hashing_embedder(384), " | ", "robust")
+    vectors = scaling.hybrid_vectors(rows, _NUM, _CAT, scaling.hashing_embedder(384), " | ")
+    head = F.slice("embedding", 1, 384)
+    length = F.sqrt(F.aggregate(head, F.lit(0.0), lambda acc, x: acc + x * x))
+    return vectors.select(
+        "book_id", F.size("embedding").cast("long").alias("dims"), F.round(length, 5).alias("text_length"),
+        *[(F.round(F.get("embedding", 384 + i), 5) + 0.0).alias(c) for i, c in enumerate(_TAIL)])
 
 
 _PAIRS = """
@@ -146,6 +159,14 @@ def knn_ivf(spark, sf):
     return neighbours.knn_ivf(d.vectors(spark, sf), 10, leaf=50)
 
 
+@check("m16_knn_ivf_all_cells", _PAIRS + """
+    SELECT id, rank, neighbour, round(score, 5) AS score FROM ranked WHERE rank <= 10""")
+def knn_ivf_all_cells(spark, sf):
+    """Probing every cell must give the exact answer."""
+    found = neighbours.knn_ivf(d.vectors(spark, sf), 10, leaf=50, probe=1.0)
+    return found.withColumn("score", F.round("score", 5))
+
+
 @check("m17_semantic_search", """
     WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 7)
     SELECT vec_id AS id, round(list_dot_product(CAST(embedding AS DOUBLE[]), e), 5) AS score

@@ -373,7 +373,42 @@ def enrich_incrementally(spark, sf):
     return as_text(enrich.enrich(rows, root, tasks)).select("book_id", "content_intensity", "emotions", "sentiment")
 
 
-@check("m07_default_tasks")
+def _default_tasks_sql() -> str:
+    """The built-in scorer in SQL: one scored table per task, then its selection."""
+    cues = {"emotions": (enrich.EMOTION_CUES, False), "sentiment": (enrich.SENTIMENT_CUES, False)}
+    for task, spec in enrich.TASKS.items():
+        cues[task] = (enrich.label_cues(spec["labels"]), spec["multi"])
+    parts, picked, joins_ = [], [], []
+    for task, (labels, multi) in cues.items():
+        names = list(labels)
+        counts = ", ".join(
+            f"len(list_filter(w, lambda x: x IN ({', '.join(map(repr, labels[n]))}))) AS h{i}" for i, n in enumerate(names))
+        # Cue words shared between labels are heard once per label.
+        total = "(" + " + ".join(f"h{i}" for i in range(len(names))) + ")"
+        score = "h{0} / CAST(h{0} + 1 AS DOUBLE)" if multi else "(h{0} + 1) / CAST(" + total + f" + {len(names)} AS DOUBLE)"
+        rows = " UNION ALL ".join(
+            f"SELECT doc_id, '{n}' AS label, {score.format(i)} AS score FROM h_{task}" for i, n in enumerate(names))
+        if task == "emotions":
+            keep = "score >= 0.4::DOUBLE OR r = 1"
+        elif task == "sentiment":
+            keep = "r = 1"
+        elif multi:
+            keep = "score >= 0.8::DOUBLE OR (r = 1 AND score >= 0.6::DOUBLE)"
+        else:
+            keep = "r = 1 AND score >= 0.6::DOUBLE"
+        parts.append(f"""h_{task} AS (SELECT doc_id, {counts} FROM words),
+    r_{task} AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS r FROM ({rows})),
+    t_{task} AS (SELECT doc_id, coalesce(string_agg(label, ', ' ORDER BY r) FILTER ({keep}), '') AS {task} FROM r_{task} GROUP BY 1)""")
+        picked.append(task)
+        joins_.append(f"JOIN t_{task} USING (doc_id)")
+    return rf"""
+    WITH words AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\p{{L}}]+') AS w FROM documents),
+    {", ".join(parts)}
+    SELECT p_partkey AS book_id, {", ".join(picked)} FROM
+      (SELECT p_partkey, p_partkey % (SELECT count(*) FROM documents) AS doc_id FROM part) {" ".join(joins_)}"""
+
+
+@check("m07_default_tasks", _default_tasks_sql())
 def default_tasks(spark, sf):
     """The built-in scorer on every book description."""
     books = spread(d.descriptions(spark, sf), "book_id")
