@@ -296,6 +296,39 @@ def book_locations(spark, sf):
     return resolved_columns(places.locate(extracted, d.countries(spark, sf), d.gazetteer(spark, sf)))
 
 
+@check("m06_known_places", r"""
+    WITH words AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_]+'), lambda w: w <> '')) AS word FROM documents),
+    names AS (SELECT lower(word) AS name FROM words GROUP BY 1 HAVING count(DISTINCT doc_id) BETWEEN 2 AND 3)
+    SELECT doc_id, count(DISTINCT word) AS places FROM documents
+    LEFT JOIN words USING (doc_id) LEFT JOIN names ON lower(word) = name WHERE name IS NOT NULL GROUP BY 1""")
+def known_places(spark, sf):
+    """Words of two or three documents stand in for place names."""
+    docs = d.documents(spark, sf)
+    words = docs.select("doc_id", F.explode(F.split("text", r"[^\p{L}\p{N}_]+")).alias("word")).filter("word != ''")
+    names = words.groupBy(F.lower("word").alias("name")).agg(F.countDistinct("doc_id").alias("n")).filter("n between 2 and 3")
+    found = places.select_locations(places.known_place_entities(docs, "text", names, key="doc_id"))
+    return found.filter("size(places) > 0").select("doc_id", F.size("places").cast("long").alias("places"))
+
+
+@check("m06_extract_entities", r"""
+    SELECT doc_id, substr(regexp_extract(text, '[^\s]+'), 1, 200) AS first_word FROM documents
+    WHERE regexp_matches(text, '[^\s]') AND regexp_matches(regexp_extract(text, '[^\s]+'), '^[A-Z]')""")
+def extract_entities(spark, sf):
+    """A toy recogniser that takes a capitalised first word for a place, and fails on others."""
+
+    def load():
+        def recognise(text):
+            word = text.split()[0]
+            if not "A" <= word[0] <= "Z":
+                raise ValueError("no place")
+            return [{"entity_group": "LOC", "score": 0.9, "word": word[:200]}]
+
+        return recognise
+
+    found = places.select_locations(places.extract_entities(d.documents(spark, sf), "text", load, "doc_id"))
+    return found.select("doc_id", F.explode("places").alias("first_word"))
+
+
 @check("j09_extended", """
     SELECT b.book_id, b.title, f.emotions, f.sentiment, l.country, l.region FROM base b
     LEFT JOIN features f USING (book_id) LEFT JOIN locations l USING (book_id)""", ("base", "features", "locations"))

@@ -49,8 +49,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for one written table under the shared folder."""
-    return f"{shared_root(spark)}/bookfeel/{name}-{uuid.uuid4().hex}"
+    """A fresh path for one written table, under the application's own folder."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_root(spark)}/bookfeel/{application}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:

@@ -55,9 +55,9 @@ def _first_of(df: DataFrame, cluster: Column, order: list[Column]) -> DataFrame:
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def dedupe_editions(df: DataFrame) -> DataFrame:
+def dedupe_editions(df: DataFrame, *ties: Column) -> DataFrame:
     """One row per ``similar_books`` list; all empty lists form one cluster."""
-    order = [F.desc("total_shelves_count"), F.desc("ratings_count"), F.asc("book_id")]
+    order = [F.desc("total_shelves_count"), F.desc("ratings_count"), F.asc("book_id"), *ties]
     return _first_of(df, list_key(F.col("similar_books")), order)
 
 
@@ -113,19 +113,23 @@ def ids_by_feature(
     return ranked if n is None else ranked.limit(n)
 
 
+def _resolution() -> Column:
+    how = F.col("resolved_as")
+    return F.when(how == "direct_country", 1).when(how == "geocoded", 2).otherwise(3)
+
+
 def order_by_resolution(df: DataFrame) -> DataFrame:
     """Direct matches before geocoded ones before the rest, then most shelved."""
-    how = F.col("resolved_as")
-    level = F.when(how == "direct_country", 1).when(how == "geocoded", 2).otherwise(3)
     return df.orderBy(
-        level, F.desc("total_shelves_count"), F.desc("average_rating"), F.asc("book_id")
+        _resolution(), F.desc("total_shelves_count"), F.desc("average_rating"), F.asc("book_id")
     )
 
 
 def ids_by_country(locations: DataFrame, base: DataFrame, country: str) -> DataFrame:
     """Books set in a country, one per cluster, best resolution first."""
     there = locations.filter(F.lower("country") == F.lower(F.lit(country)))
-    hits = dedupe_editions(there.join(base, "book_id"))
+    # A book may have several places in the country; its best resolved one stays.
+    hits = dedupe_editions(there.join(base, "book_id"), _resolution(), F.col("region"))
     return order_by_resolution(hits).select(
         "book_id", "title", "country", "region", "resolved_as", "average_rating",
         "total_shelves_count",

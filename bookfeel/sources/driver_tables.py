@@ -153,10 +153,7 @@ _DATE_FORM = "EEE MMM dd HH:mm:ss"
 
 def reviews(spark: SparkSession, folder: str, text: bool = True) -> DataFrame:
     """One review per line item; with ``text`` its whole document is the review."""
-    lines = table(spark, folder, "lineitem")
-    if not text:  # with texts the join below spreads the rows
-        lines = spread(lines, "l_orderkey")
-    lines = lines.join(
+    lines = spread(table(spark, folder, "lineitem"), "l_orderkey").join(
         table(spark, folder, "orders").select(
             F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate"
         ),

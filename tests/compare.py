@@ -1,11 +1,12 @@
 """Run registered queries and their oracle SQL side by side.
 
-    python tests/compare.py [sf_dir] [name-prefix ...]
+    [NO_BROADCAST=1] python tests/compare.py [sf_dir] [name-prefix ...]
 """
 
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from collections import Counter
@@ -74,6 +75,8 @@ def main(argv):
         .config("spark.driver.memory", "12g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if os.environ.get("NO_BROADCAST"):  # takes the paths meant for large tables
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     con = duck(folder)
     oracles = entry.oracle_sql()
     bad = []
