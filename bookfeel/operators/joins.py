@@ -24,6 +24,9 @@ def skew_join(
     joined plainly. Otherwise the rows of hot keys are spread over salts taken
     from a hash of ``spread`` (columns that differ between rows of one key) and
     the matching right rows are repeated once per salt. Nothing is dropped.
+
+    The second way reads ``left`` twice (count, then join): give it a stored table
+    or a cheap plan, and do not chain it.
     """
     if plan_bytes(right) <= broadcast_limit(left.sparkSession):
         return _in_order(left, left.join(right, key, how), how)

@@ -127,18 +127,21 @@ def category_codes(df: DataFrame, columns: list[str], missing: str) -> DataFrame
 
 
 def _attach_codes(
-    df: DataFrame, codes: DataFrame, columns: list[str], missing: str, prefix: str, spread: str
+    df: DataFrame, codes: DataFrame, columns: list[str], missing: str, prefix: str, key: str
 ) -> DataFrame:
-    # Stored by column: a small dictionary has a small, known size and is
-    # broadcast by Spark itself, a large one is joined with hot values salted.
-    stored = written(codes, "codes", partition_by="column_name")
-    for c in columns:
-        one = stored.filter(F.col("column_name") == c).select(
-            F.col("value").alias("_value"), F.col("code").alias(f"{prefix}{c}")
-        )
-        keyed = df.withColumn("_value", category_text(df, c, missing))
-        df = skew_join(keyed, one, "_value", "left", [spread]).drop("_value")
-    return df
+    """One join for all columns: (key, column, value) rows meet the dictionary once,
+    hot values salted, and are folded back to one narrow row per key."""
+    pair = F.struct("column_name", "value").alias("_pair")
+    dictionary = written(codes, "codes").select(pair, "code")
+    rows = df.select(key, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), category_text(df, c, missing).alias("value"))
+        for c in columns
+    ])).alias("e")).select(key, F.struct("e.column_name", "e.value").alias("_pair"))
+    coded = skew_join(rows, dictionary, "_pair", "left", [key]).groupBy(key).agg(*[
+        F.max(F.when(F.col("_pair.column_name") == c, F.col("code"))).alias(f"{prefix}{c}")
+        for c in columns
+    ])
+    return df.join(coded, key, "left")
 
 
 def label_encode(df: DataFrame, columns: list[str], key: str = "book_id") -> DataFrame:
