@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from ..cluster import work_path
+from . import bpe, mixing, quality, sharding, token_store
 from .registry import register
 
 
@@ -20,6 +22,15 @@ def vocabulary(name: str) -> bytes:
         return file.read()
 
 
+@register("op1_token_store")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document written in Huffman-coded blocks and read back."""
+    path = work_path(spark, "token-store")
+    token_store.write_store(
+        table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json").decode(), path, end_id=0)
+    return token_store.read_store(spark, path, keep_ids=False)
+
+
 @register("op2_byte_bpe")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Every document by byte-level BPE and back."""
@@ -29,3 +40,43 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), vocabulary("byte_bpe_50k.tiktoken"),
         public_tokenizers.PATTERN, keep=(),
     )
+
+
+@register("op3_source_mix")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix of all sources takes of every document."""
+    plan = mixing.mix(table(spark, folder, "documents"), keep=["doc_id"])
+    return mixing.taken(plan).select("doc_id", "size", "source_size", "target", "taken")
+
+
+SHARDS = 16
+
+
+@register("op8_shards")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in shards of near equal bytes."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    placed = sharding.shard(
+        table(spark, folder, "documents"), group=text, ident=F.col("doc_id"), size=F.octet_length(text) + 1,
+        shards=SHARDS, keep={"doc_id": F.col("doc_id"), "text_crc32": F.crc32(text)})
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+def held_out(key: str = "doc_id"):
+    """The fold that no label is learnt from."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % 5 == 0
+
+
+QUALITY_BAR = 0.3  # texts below it are rejected
+
+
+@register("op9_quality")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document; labels of the held-out fold are not learnt from."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, folder, "labels").where(~held_out()))
+    return quality.score(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score",
+        (F.col("score") >= QUALITY_BAR).cast("int").alias("predicted"))
