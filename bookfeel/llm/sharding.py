@@ -4,9 +4,9 @@ Records are ordered by a key of two parts: a hash of their group (equal texts in
 query), which lies evenly, then their id. Size-weighted key samples give splitters of
 many fine ranges; ranges that turn out overfull, as under a very large group, are
 subdivided by samples of their own. Exact bytes per range then give every record its
-place in the whole order, and the places are cut into shards of equal bytes. A group
-smaller than ``whole`` of a shard stays in the shard where it begins; a larger one may
-be cut between ids.
+place in the whole order, and the places are cut into shards of equal bytes: a record
+goes where its middle byte lies. A group smaller than ``whole`` of a shard stays in
+one shard, a larger one may be cut between ids.
 
 A null group or size counts as empty or 0. Null ids come first. Records equal in group
 and id are told apart by no key: they stay in one range, are cut by place all the same,
@@ -106,8 +106,10 @@ def shard(records: DataFrame, group: Column, ident: Column, size: Column, shards
     )
     same = Window.partitionBy("_s_range", "_s_hash")  # a part of one range
     share = F.lit(max(1, total) / shards)
-    begins = F.when(F.sum("_s_size").over(same) <= whole * share, F.min("_s_at").over(same)).otherwise(F.col("_s_at"))
-    cut = F.least(F.lit(shards - 1), F.floor(begins / share)).cast("int")
+    bytes_ = F.sum("_s_size").over(same)
+    middle = F.when(bytes_ <= whole * share, F.min("_s_at").over(same) + bytes_ / 2).otherwise(
+        F.col("_s_at") + F.col("_s_size") / 2)
+    cut = F.least(F.lit(shards - 1), F.floor(middle / share)).cast("int")
     cuts = written(placed.withColumn("_s_shard", cut), "shard-cuts")
 
     pieces = cuts.groupBy("_s_shard", "_s_range").agg(F.count("*").alias("_s_n"))  # ranges plus cuts at most
