@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import work_path
-from . import bpe, mixing, quality, sharding, token_store
+from . import bpe, mixing, near_text, near_vectors, quality, sharding, token_store
 from .registry import register
 
 
@@ -64,6 +64,12 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@register("op7_near_text")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of near-duplicate documents at weighted Jaccard similarity 0.8."""
+    return near_text.near_texts(table(spark, folder, "documents"))
+
+
 def held_out(key: str = "doc_id"):
     """The fold that no label is learnt from."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % 5 == 0
@@ -80,3 +86,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, model).select(
         "doc_id", held_out().alias("held_out"), "score",
         (F.col("score") >= QUALITY_BAR).cast("int").alias("predicted"))
+
+
+@register("op10_near_vectors")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.95."""
+    return near_vectors.near_vectors(table(spark, folder, "embeddings"))
