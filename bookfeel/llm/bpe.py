@@ -18,11 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import CachedEncoder, slices
+from .pieces import CachedEncoder, MatchMemory, slices
 
 NONE = np.int32(2**31 - 1)
 MOST_ROWS = 1 << 22  # cells of one matrix
@@ -83,14 +82,12 @@ class PairTable:
 
 
 class Bpe:
-    """Merges of one vocabulary. ``pattern`` splits the texts."""
+    """Merges of one vocabulary. Rows of over ``long`` bytes merge on their own."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, long: int = 256):
+    def __init__(self, ranks: dict[bytes, int], long: int = 256):
         self.ranks, self.long = ranks, long
-        self.split = regex.compile(pattern)
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.pairs = PairTable(ranks)
-        self.known: dict[str, bytes] = {}
         size = max(ranks.values()) + 1
         tokens = [b""] * size
         for token, rank in ranks.items():
@@ -176,38 +173,15 @@ class Bpe:
             ids = ids[keep]
         return ids
 
-    def _learn(self, matches: list[str]) -> None:
-        fresh = set(matches) - self.known.keys()
-        if len(self.known) + len(fresh) > 700_000:
-            self.known.clear()
-            fresh = set(matches)
-        texts = list(fresh)
-        raw = [x.encode() for x in texts]
+    def encode(self, matches: list[str]) -> list[bytes]:
+        """Ids of each match, as bytes."""
+        raw = [x.encode() for x in matches]
         whole = list(map(self.ranks.get, raw))  # a match that is a token stays whole
         rest = [i for i, x in enumerate(whole) if x is None]
-        self.known.update((t, x.to_bytes(4, "little")) for t, x in zip(texts, whole) if x is not None)
-        self.known.update(zip([texts[i] for i in rest], self.merge_rows([raw[i] for i in rest])))
-
-    def encode_whole(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as bytes; every match of the pattern on its own."""
-        matches = [self.split.findall(x) for x in texts]
-        self._learn([m for x in matches for m in x])
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in matches]
-
-    def encode_parts(self, parts: list[str]) -> list[bytes]:
-        """Like ``encode_whole`` for parts that hold a space at their start only: they
-        are split as one text, in which a space starts each part."""
-        if not parts or parts[0][:1] != " ":
-            return self.encode_whole(parts)
-        matches = self.split.findall("".join(parts))
-        self._learn(matches)
-        ids = list(map(self.known.__getitem__, matches))
-        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
-        begins = np.flatnonzero(np.fromiter((m[0] == " " for m in matches), bool, len(matches)))
-        edges = [*np.concatenate([[0], ends])[begins].tolist(), int(ends[-1])]
-        flat = b"".join(ids)
-        return [flat[a:b] for a, b in zip(edges, edges[1:])]
+        out = [b"" if x is None else x.to_bytes(4, "little") for x in whole]
+        for i, ids in zip(rest, self.merge_rows([raw[i] for i in rest])):
+            out[i] = ids
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         lengths = self.lengths[ids]
@@ -223,8 +197,9 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, key: str = "do
     ``decoded`` (binary, the text that the ids give back)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(read_ranks(ranks), pattern)
-        encoder = CachedEncoder(bpe.encode_parts, bpe.encode_whole)
+        bpe = Bpe(read_ranks(ranks))
+        memory = MatchMemory(pattern, bpe.encode)
+        encoder = CachedEncoder(memory.parts, memory.whole)
         for batch in slices(batches, "_text"):
             ids = encoder.encode(batch.column("_text").to_pylist())
             columns = {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 Encode = Callable[[list[str]], list[bytes]]
 GROUP = 1024  # texts cut at once; bounds the parts held
@@ -34,9 +35,10 @@ class CachedEncoder:
         if len(self.known) + len(fresh) > self.limit:  # the memory starts anew with this group
             self.known.clear()
             fresh = wanted
-        plain = [x for x in fresh if x and not x[0].isspace() and not x[-1].isspace()]
-        self.known.update(dict.fromkeys(fresh))
+        plain = [x for x in fresh if x and x.strip() == x]
         self.known.update(zip(plain, self.parts([" " + x for x in plain])))
+        if len(plain) < len(fresh):
+            self.known.update(dict.fromkeys(fresh.difference(plain)))
 
     def _group(self, texts: list[str]) -> list[bytes]:
         cut = [x.split(" ") if x else [] for x in texts]
@@ -64,6 +66,42 @@ class CachedEncoder:
         return [x for at in range(0, len(texts), GROUP) for x in self._group(texts[at:at + GROUP])]
 
 
+class MatchMemory:
+    """Encodes texts match by match of a pattern; ``encode`` gets the unseen matches."""
+
+    def __init__(self, pattern: str, encode: Encode, limit: int = 700_000):
+        self.split, self.fresh, self.limit = regex.compile(pattern), encode, limit
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, matches: list[str]) -> None:
+        unseen = set(matches) - self.known.keys()
+        if len(self.known) + len(unseen) > self.limit:
+            self.known.clear()
+            unseen = set(matches)
+        texts = list(unseen)
+        self.known.update(zip(texts, self.fresh(texts)))
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        matches = [self.split.findall(x) for x in texts]
+        self._learn([m for x in matches for m in x])
+        get = self.known.__getitem__
+        return [b"".join(map(get, x)) for x in matches]
+
+    def parts(self, parts: list[str]) -> list[bytes]:
+        """Like ``whole`` for parts that hold a space at their start only: they are split
+        as one text, in which a space starts each part."""
+        if not parts or parts[0][:1] != " ":
+            return self.whole(parts)
+        matches = self.split.findall("".join(parts))
+        self._learn(matches)
+        ids = list(map(self.known.__getitem__, matches))
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        begins = np.flatnonzero(np.fromiter((m[0] == " " for m in matches), bool, len(matches)))
+        edges = [*np.concatenate([[0], ends])[begins].tolist(), int(ends[-1])]
+        flat = b"".join(ids)
+        return [flat[a:b] for a, b in zip(edges, edges[1:])]
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that a slice holds about ``most`` bytes of ``column`` or one row."""
     for batch in batches:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import work_path
-from . import bpe, mixing, near_text, near_vectors, quality, sharding, token_store
+from . import bpe, fingerprints, host_trust, html_text, mixing, near_text, near_vectors, quality, sharding, token_store
 from .registry import register
 
 
@@ -25,9 +25,12 @@ def vocabulary(name: str) -> bytes:
 @register("op1_token_store")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document written in Huffman-coded blocks and read back."""
+    import public_tokenizers
+
     path = work_path(spark, "token-store")
     token_store.write_store(
-        table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json").decode(), path, end_id=0)
+        table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json").decode(), public_tokenizers.PATTERN,
+        path, end_id=0)
     return token_store.read_store(spark, path, keep_ids=False)
 
 
@@ -64,6 +67,35 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@register("op4_fingerprints")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Piecewise fingerprints of every document and of its edited text."""
+    return fingerprints.with_edits(table(spark, folder, "documents"))
+
+
+@register("op5_main_text")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    texts = html_text.extract(table(spark, folder, "pages"), html_text.fit())
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+# The rules of the query, as host, path, verdict.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@register("op6_host_trust")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's url by rules, else by its host's trust and distrust."""
+    return host_trust.judge(table(spark, folder, "pages"), URL_RULES)
+
+
 @register("op7_near_text")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Classes of near-duplicate documents at weighted Jaccard similarity 0.8."""
