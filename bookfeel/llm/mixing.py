@@ -12,7 +12,8 @@ size of all documents by weight; one that exceeds ``most`` times its source stop
 there and the excess is shared again. No document is taken more than ``most`` times.
 
 Null texts have size 0 and are never taken. Repeated rows count as often as they
-occur. An empty table gives an empty result. Inner columns begin with ``_m_``.
+occur. An empty table gives an empty result. Kept columns travel in a struct, so their
+names clash with none; ``taken`` replaces columns of the names that it returns.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def word_count(text: Column) -> Column:
 
 @dataclass
 class Mix:
-    rows: DataFrame  # the documents, numbered in _m_row, with _m_source and _m_size
+    rows: DataFrame  # the documents in _m_kept, numbered in _m_row, with _m_source and _m_size
     sources: DataFrame  # _m_source, _m_source_size, _m_target, _m_take (whole words), _m_blocks ...
     segments: DataFrame  # _m_row by block: _m_block, _m_from (in the block), _m_words
     slots: DataFrame  # _m_slot, _m_source, _m_epoch, _m_block, _m_part (words of the block taken)
@@ -143,7 +144,8 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str =
         most: int = 3, block: int = BLOCK, keep: list[str] | None = None) -> Mix:
     """Plan the mix of ``docs``; ``keep`` names the columns to carry (all by default)."""
     rows = written(docs.select(
-        *(docs.columns if keep is None else keep), F.monotonically_increasing_id().alias("_m_row"),
+        F.struct(*(docs.columns if keep is None else keep)).alias("_m_kept"),
+        F.monotonically_increasing_id().alias("_m_row"),
         F.col(source).alias("_m_source"), word_count(F.col(text)).alias("_m_size"),
         F.xxhash64(key, text).alias("_m_tie"),
     ), "mix-rows")
@@ -181,7 +183,8 @@ def taken(plan: Mix) -> DataFrame:
         F.lit(0), F.least(F.col("_m_words"), F.col("_m_cut") - F.col("_m_from")))
     sums = plan.segments.join(_rounds(plan), ["_m_id", "_m_block"]).groupBy("_m_row").agg(F.sum(words).alias("_m_taken"))
     per = plan.sources.select(F.col("_m_source").alias("_m_s"), "_m_source_size", "_m_target")
-    kept = [c for c in plan.rows.columns if not c.startswith("_m_")]
+    kept = [F.col(f"_m_kept.{c}") for c in plan.rows.schema["_m_kept"].dataType.names
+            if c not in ("size", "source_size", "target", "taken")]
     return plan.rows.join(sums, "_m_row", "left").join(per, F.col("_m_source").eqNullSafe(F.col("_m_s"))).select(
         *kept, F.col("_m_size").alias("size"), F.col("_m_source_size").alias("source_size"),
         F.col("_m_target").alias("target"), F.coalesce("_m_taken", F.lit(0)).cast("bigint").alias("taken"))
@@ -192,7 +195,7 @@ def sequence(plan: Mix, key: str = "doc_id") -> DataFrame:
     which document come when."""
     words = F.least(F.col("_m_words"), F.col("_m_part") - F.col("_m_from"))
     parts = plan.slots.join(plan.segments, ["_m_id", "_m_block"]).where(words > 0)
-    return parts.join(plan.rows.select("_m_row", key, F.col("_m_source").alias("source")), "_m_row").select(
+    return parts.join(plan.rows.select("_m_row", f"_m_kept.{key}", F.col("_m_source").alias("source")), "_m_row").select(
         F.col("_m_slot").alias("slot"), "source", F.col("_m_epoch").alias("epoch"), F.col("_m_block").alias("block"),
         key, F.col("_m_word").alias("from_word"), words.alias("words"))
 
@@ -207,7 +210,6 @@ def repeated(plan: Mix) -> DataFrame:
     hit = plan.segments.join(plan.rows.select("_m_row", "_m_size"), "_m_row") \
         .where((middle >= F.col("_m_word")) & (middle < F.col("_m_word") + F.col("_m_words"))) \
         .join(_rounds(plan), ["_m_id", "_m_block"]).select("_m_row", times.alias("_m_n"))
-    kept = [c for c in plan.rows.columns if not c.startswith("_m_")]
     n = F.when(F.col("_m_size") == 0, 1).otherwise(F.coalesce("_m_n", F.lit(0))).cast("int")
     return plan.rows.join(hit, "_m_row", "left").where(n > 0) \
-        .withColumn("_m_again", F.explode(F.sequence(F.lit(1), n))).select(*kept)
+        .withColumn("_m_again", F.explode(F.sequence(F.lit(1), n))).select("_m_kept.*")

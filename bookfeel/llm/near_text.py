@@ -19,7 +19,8 @@ classes is passed over.
 Words are runs of letters, digits and non-ASCII characters, lower-cased. A text of
 fewer than five words is one shingle; one without words is the string of its other
 characters. Null and empty texts are copies of each other. Rows are told apart by key
-and text; of repeated ones, one stays. Other columns pass through ``deduplicated``.
+and text: ``near_texts`` marks repeated ones alike, ``deduplicated`` keeps one of them
+and all columns.
 """
 
 from __future__ import annotations
@@ -335,11 +336,11 @@ def deduplicated(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", t
     own = F.col("_t_key").eqNullSafe(F.col("kept_key")) & (F.col("_t_1") == F.col("kept_1")) & (F.col("_t_2") == F.col("kept_2"))
     stays = written(found.where(own).groupBy("_t_key", "_t_1", "_t_2").agg(F.count("*").alias("_t_same")), "text-stays")
     body = F.coalesce(F.col(text), F.lit(""))
-    marked = docs.withColumns({"_t_own": F.col(key), "_t_x": F.xxhash64(body), "_t_y": F.xxhash64(body, F.lit(3))})
+    marked = docs.select(F.struct(*docs.columns).alias("_t_row"), F.col(key).alias("_t_own"), F.xxhash64(body).alias("_t_x"),
+                         F.xxhash64(body, F.lit(3)).alias("_t_y"))
     joined = marked.join(stays, F.col("_t_own").eqNullSafe(F.col("_t_key")) & (F.col("_t_x") == F.col("_t_1"))
                          & (F.col("_t_y") == F.col("_t_2")))
-    once = joined.where("_t_same = 1").select(*docs.columns)
-    again = joined.where("_t_same > 1").dropDuplicates(["_t_own", "_t_x", "_t_y"]).select(*docs.columns)
+    once = joined.where("_t_same = 1").select("_t_row.*")
     if stays.where("_t_same > 1").isEmpty():
         return once
-    return once.union(again)
+    return once.union(joined.where("_t_same > 1").dropDuplicates(["_t_own", "_t_x", "_t_y"]).select("_t_row.*"))

@@ -17,7 +17,8 @@ from bookfeel.llm.queries import QUALITY_BAR, held_out, table, vocabulary
 def classify(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Reject the documents that score below the quality bar."""
     model = quality.fit(docs, table(spark, folder, "labels").where(~held_out()))
-    return quality.score(docs, model, into="_quality").where(f"_quality >= {QUALITY_BAR}").select(*docs.columns)
+    into = next(name for name in ("_quality", "_quality_of_stage") if name not in docs.columns)
+    return quality.score(docs, model, into=into).where(f"{into} >= {QUALITY_BAR}").select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
