@@ -23,7 +23,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
           'book/' || p_partkey AS url
         FROM part"""),
     "edition_groups": ((), """
-        SELECT list_sort(list(p_partkey)) AS members FROM part GROUP BY p_partkey // 40, p_brand"""),
+        SELECT list_sort(list(p_partkey)) AS members FROM part GROUP BY p_name, p_brand"""),
     "editions": (("edition_groups",), """
         SELECT unnest(members) AS book_id,
           CASE WHEN len(members) > 1 THEN members ELSE CAST([] AS BIGINT[]) END AS similar_books
@@ -38,7 +38,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM book_facts b JOIN editions e USING (book_id) LEFT JOIN shelf_totals s USING (book_id)"""),
     "author_pairs": ((), """
         SELECT DISTINCT l_partkey AS book_id, l_suppkey AS author_id
-        FROM lineitem WHERE l_linenumber = 1"""),
+        FROM lineitem"""),
     "described": ((), """
         SELECT p_partkey AS book_id, text AS description, lang AS language_code
         FROM part JOIN documents ON doc_id = p_partkey % (SELECT count(*) FROM documents)"""),

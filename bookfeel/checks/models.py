@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..cluster import work_path, written
-from ..functions import text as tx
 from ..operators import joins, neighbours, scaling, topics
 from ..schemas import CATEGORY_FEATURES, NUMERIC_FEATURES
 from ..sources import driver_tables as d
@@ -102,10 +101,11 @@ _MIXED = " + ".join(
 @check("m12_knn_mixed", f"""WITH {z_ctes()},
     cats AS (SELECT book_id, {", ".join(f"coalesce({c}, 'unknown') AS {c}" for c in _CAT)} FROM extended),
     rows AS (SELECT zs.*, cats.* EXCLUDE (book_id) FROM zs JOIN cats USING (book_id)),
-    pairs AS (SELECT a.book_id AS id, b.book_id AS neighbour, sqrt({_MIXED}) AS d
-              FROM rows a, rows b WHERE a.book_id <> b.book_id)
+    sizes AS (SELECT book_id, {" + ".join(f"{c} ** 2" for c in _NUM)} AS own, max({" + ".join(f"{c} ** 2" for c in _NUM)}) OVER () AS largest FROM zs),
+    pairs AS (SELECT a.book_id AS id, b.book_id AS neighbour, sqrt({_MIXED}) AS d, round(({_MIXED}) / (1e-9 * (own + largest))) AS key
+              FROM rows a JOIN sizes USING (book_id), rows b WHERE a.book_id <> b.book_id)
     SELECT id, CAST(rank AS INTEGER) AS rank, neighbour, round(d, 4) AS distance FROM
-      (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(d, 6), neighbour) AS rank FROM pairs) WHERE rank <= 10""",
+      (SELECT *, row_number() OVER (PARTITION BY id ORDER BY key, neighbour) AS rank FROM pairs) WHERE rank <= 10""",
        ("extended",))
 def knn_mixed(spark, sf):
     rows = written(extended(spark, sf), "extended")
@@ -138,14 +138,20 @@ def hybrid_vectors(spark, sf):
         *[(F.round(F.get("embedding", 384 + i), 5) + 0.0).alias(c) for i, c in enumerate(_TAIL)])
 
 
-_PAIRS = """
-    WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-    pairs AS (SELECT a.id, b.id AS neighbour, list_dot_product(a.e, b.e) AS score
-              FROM v a, v b WHERE a.id <> b.id),
-    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY round(score, 6) DESC, neighbour) AS INTEGER) AS rank
+def _pairs(scale: str = "1.0") -> str:
+    """All pairs by inner product, ranked; ``scale`` multiplies each vector."""
+    return f"""
+    WITH v AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * {scale}) AS e FROM embeddings),
+    sized AS (SELECT *, sqrt(list_dot_product(e, e)) AS own, max(sqrt(list_dot_product(e, e))) OVER () AS longest FROM v),
+    pairs AS (SELECT a.id, b.id AS neighbour, list_dot_product(a.e, b.e) AS score, a.own * b.longest AS size
+              FROM sized a, sized b WHERE a.id <> b.id),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY round(score / (1e-9 * size)) DESC, neighbour) AS INTEGER) AS rank
                FROM pairs)"""
 
 
+_PAIRS = _pairs()
+
+
 @check("m15_knn_exact", _PAIRS + """
     SELECT id, rank, neighbour, round(score, 5) AS score FROM ranked WHERE rank <= 10""")
 def knn_exact(spark, sf):
@@ -154,9 +160,41 @@ def knn_exact(spark, sf):
     return found.withColumn("score", F.round("score", 5))
 
 
-@check("m16_knn_ivf")
+@check("m15_knn_exact_small_vectors", _pairs("1e-6") + """
+    SELECT id, rank, neighbour, round(score * 1e12, 5) AS score FROM ranked WHERE rank <= 10""")
+def knn_exact_small_vectors(spark, sf):
+    """The ranks must not depend on the length of the vectors."""
+    small = d.vectors(spark, sf).withColumn(
+        "embedding", F.transform("embedding", lambda x: x.cast("double") * F.lit(1e-6)))
+    found = neighbours.knn_exact(small, 10, leaf=64)
+    return found.withColumn("score", F.round(F.col("score") * 1e12, 5))
+
+
+# Cells around drawn centres, the nearest ones probed, as SQL. The added coordinate
+# makes all rows equally long, so that the largest product is the nearest row.
+_PROBED = """
+    WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    sized AS (SELECT *, list_dot_product(e, e) AS n2, max(list_dot_product(e, e)) OVER () AS top FROM v),
+    centres AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)), id) - 1 AS cell FROM sized
+                QUALIFY row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)), id) <= ceil((SELECT count(*) FROM v) / 50.0)),
+    placed AS (SELECT s.id, arg_min(c.cell, s.n2 + c.n2 - 2 * list_dot_product(s.e, c.e)
+                 + (sqrt(greatest(s.top - s.n2, 0)) - sqrt(greatest(c.top - c.n2, 0))) ** 2) AS cell
+               FROM sized s, centres c GROUP BY 1),
+    held AS (SELECT c.cell, count(p.id) AS n FROM centres c LEFT JOIN placed p USING (cell) GROUP BY 1),
+    near AS (SELECT s.id, c.cell, row_number() OVER o AS place, coalesce(sum(n) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+             FROM sized s, centres c JOIN held USING (cell) WINDOW o AS (PARTITION BY s.id ORDER BY s.n2 + s.top - 2 * list_dot_product(s.e, c.e), c.cell)),
+    probed AS (SELECT id, cell FROM near WHERE place <= ceil(CAST(0.07 AS DOUBLE) * (SELECT count(*) FROM centres)) OR before < 11),
+    pairs AS (SELECT a.id, b.id AS neighbour, list_dot_product(a.e, b.e) AS score, sqrt(a.n2 * a.top) AS size
+              FROM probed JOIN sized a USING (id) JOIN placed p USING (cell) JOIN sized b ON b.id = p.id WHERE a.id <> b.id),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY round(score / (1e-9 * size)) DESC, neighbour) AS INTEGER) AS rank
+               FROM pairs)"""
+
+
+@check("m16_knn_ivf", _PROBED + """
+    SELECT id, rank, neighbour, round(score, 5) AS score FROM ranked WHERE rank <= 10""")
 def knn_ivf(spark, sf):
-    return neighbours.knn_ivf(d.vectors(spark, sf), 10, leaf=50)
+    found = neighbours.knn_ivf(d.vectors(spark, sf), 10, leaf=50)
+    return found.withColumn("score", F.round("score", 5))
 
 
 @check("m16_knn_ivf_all_cells", _PAIRS + """
@@ -170,7 +208,7 @@ def knn_ivf_all_cells(spark, sf):
 @check("m17_semantic_search", """
     WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 7)
     SELECT vec_id AS id, round(list_dot_product(CAST(embedding AS DOUBLE[]), e), 5) AS score
-    FROM embeddings, q ORDER BY round(list_dot_product(CAST(embedding AS DOUBLE[]), e), 6) DESC, vec_id LIMIT 5""")
+    FROM embeddings, q ORDER BY list_dot_product(CAST(embedding AS DOUBLE[]), e) DESC, vec_id LIMIT 5""")
 def semantic_search(spark, sf):
     """The question text names a stored vector; the embedder looks it up."""
     vectors = d.vectors(spark, sf)
@@ -304,12 +342,6 @@ def predict_new_texts(spark, sf):
     return topics.predict_polarity(d.labelled_texts(spark, sf), texts)
 
 
-def low_quality(spark, sf):
-    """Low-rated texts, normalised."""
-    low = d.labelled_texts(spark, sf).filter("target = 0")
-    return low.select("id", tx.normalize_text_full(F.col("text")).alias("text"))
-
-
 @check("m20_tfidf", f"""WITH {_grams_sql(3)},
     stats AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM grams GROUP BY 1 HAVING count(*) >= 5),
     kept AS (SELECT * FROM stats ORDER BY cf DESC, term LIMIT 10000),
@@ -321,16 +353,36 @@ def tfidf(spark, sf):
     return weights.withColumn("weight", F.round("weight", 5))
 
 
-@check("m20_topics")
+def low_rated(spark, sf):
+    return d.labelled_texts(spark, sf).filter("target = 0").select("id", "text")
+
+
+# What must hold of any fit: every text has shares that sum to one, every topic its ten
+# (or all) words, each of them known to the vocabulary.
+_LOW = f"""WITH {_grams_sql(3)},
+    low AS (SELECT * FROM grams WHERE target = 0),
+    kept AS (SELECT term FROM low GROUP BY 1 HAVING count(*) >= 5 ORDER BY sum(tf) DESC, term LIMIT 10000)"""
+
+
+@check("m20_topics", """
+    SELECT id, CAST(3 AS BIGINT) AS topics, CAST(1 AS DOUBLE) AS shares FROM labelled WHERE target = 0""", ("labelled",))
 def topic_mixtures(spark, sf):
-    mixtures, _ = topics.topics(low_quality(spark, sf), min_df=2, n=3)
-    return mixtures.select("id", *[F.get("mixture", i).alias(f"topic_{i}") for i in range(3)])
+    mixtures, _ = topics.topics(low_rated(spark, sf))
+    shares = F.aggregate("mixture", F.lit(0.0), lambda acc, x: acc + x)
+    return mixtures.select("id", F.size("mixture").cast("long").alias("topics"), F.round(shares, 6).alias("shares"))
 
 
-@check("t05_top_words")
+@check("t05_top_words", _LOW + """
+    SELECT CAST(t.topic AS INTEGER) AS topic, CAST(r.rank AS INTEGER) AS rank, CAST(1 AS INTEGER) AS known
+    FROM range(3) t(topic), range(1, 11) r(rank) WHERE r.rank <= (SELECT count(*) FROM kept)""", ("labelled",))
 def top_words(spark, sf):
-    _, fitted = topics.topics(low_quality(spark, sf), min_df=2, n=3, iterations=20)
-    return topics.top_words(fitted, 10)
+    """Ranks and words; a word is known when the weights of ``tfidf`` hold it."""
+    low = low_rated(spark, sf)
+    found = topics.top_words(topics.topics(low)[1], 10)
+    if found is None:
+        return spark.createDataFrame([], "topic int, rank int, known int")
+    known = topics.tfidf(low).select("term").distinct().withColumn("known", F.lit(1))
+    return found.join(known, "term", "left").select("topic", "rank", F.coalesce("known", F.lit(0)).alias("known"))
 
 
 @check("m24_train_or_load", f"""

@@ -29,10 +29,14 @@ def build_session(app: str = "bookfeel", master: str | None = None, **conf: str)
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only where no folder is named (a local test session) is a temporary one
-    taken, once per process.
+    Only a session whose executors are threads of this process may do without
+    (it gets a temporary folder, once per process); any other one fails here.
     """
-    return (spark.conf.get("spark.checkpoint.dir", None) or _local_root()).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and not (master == "local" or master.startswith("local[")):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return (named or _local_root()).rstrip("/")
 
 
 @lru_cache(maxsize=1)
@@ -48,10 +52,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/bookfeel/{spark.sparkContext.applicationId}"
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one written table, under the application's own folder."""
-    application = spark.sparkContext.applicationId
-    return f"{shared_root(spark)}/bookfeel/{application}/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_work(spark: SparkSession) -> None:
+    """Delete the application's written tables. Results that still read them must
+    have been stored before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
@@ -69,8 +83,8 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; it only ever errs on the large side for
-    the plans used here (joins multiply, aggregates keep their input size)."""
+    """The optimizer's size estimate: exact for a written table up to compression,
+    too small for exploded arrays. Spark broadcasts by the same number."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 

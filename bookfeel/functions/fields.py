@@ -23,6 +23,7 @@ COUNT_BINS = [
 ]
 NO_BIN_COLOUR = "#cccccc"
 
+# What counts as yes.
 TRUE_WORDS = ["y", "yes", "true", "1", "t"]
 
 

@@ -6,10 +6,9 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .joins import skew_join
-from .rollups import MAX_SPLIT_GROUPS, stable_bucket
+from .rollups import deal_parts
 
 
 def apply_rows(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -35,20 +34,13 @@ def apply_groups(
     own = [c for c in df.columns if c != key]
     if context is not None:
         df = skew_join(df, context, key, "left", own)
-    sizes = df.groupBy(key).agg(F.count("*").alias("_rows"))
-    total = sizes.agg(F.sum("_rows")).scalar()
-    large = sizes.filter(
-        (F.col("_rows") > size) & (F.col("_rows") > total / MAX_SPLIT_GROUPS)
-    ).select(key, F.ceil(F.col("_rows") / size).alias("_parts"))
-    dealt = df.join(F.broadcast(large), key, "left").withColumn(
-        "_part",
-        F.when(F.col("_parts") > 1, stable_bucket(F.col(order_by), F.col("_parts"))).otherwise(0),
-    ).drop("_parts")
+    dealt = deal_parts(df, key, order_by, size, "_part")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return fn(frame.drop(columns=["_part"]))
 
     # The function's cost does not show in the data size, so the partition count
     # is given: adaptive execution would merge small data into few tasks.
-    pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = max(least, -(-df.count() // size))
     return dealt.repartition(pieces, key, "_part").groupBy(key, "_part").applyInPandas(run, schema)

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..cluster import broadcast_limit, plan_bytes
 
-# A key is hot when it holds more than 1/HOT_KEYS of the left rows, so there
-# are never more than HOT_KEYS of them: that bounds the broadcast of the list
-# and the copies made of a right row.
-HOT_KEYS = 500
+# Rows of one key that a task should get at most. A table so large that more than
+# MAX_HOT keys could exceed it gets a higher mark, which bounds the broadcast list
+# of hot keys; the result is the same, the tasks are larger.
+TASK_ROWS = 1_000_000
+MAX_HOT = 200_000
+NULL_SALTS = 500  # rows without a key match nothing and are only spread
 
 
 def skew_join(
@@ -26,21 +28,25 @@ def skew_join(
     the matching right rows are repeated once per salt. Nothing is dropped.
 
     The second way reads ``left`` twice (count, then join): give it a stored table
-    or a cheap plan, and do not chain it.
+    or a cheap plan, and do not chain it. Right and full joins aren't offered: a
+    repeated right row without a match would come back once per salt.
     """
+    if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
+        raise ValueError(f"skew_join has no {how} join")
     if plan_bytes(right) <= broadcast_limit(left.sparkSession):
         return _in_order(left, left.join(right, key, how), how)
     counts = left.groupBy(key).agg(F.count("*").alias("_rows"))
     total = counts.agg(F.sum("_rows")).scalar()
-    hot = counts.filter(F.col("_rows") > total / HOT_KEYS).select(
-        key, F.ceil(F.col("_rows") * HOT_KEYS / total).cast("int").alias("_salts")
+    most = F.greatest(F.lit(TASK_ROWS), total / MAX_HOT)
+    hot = counts.filter(F.col("_rows") > most).select(
+        key, F.ceil(F.col("_rows") / most).cast("int").alias("_salts")
     )
-    hot = F.broadcast(hot)  # at most HOT_KEYS rows, see above
+    hot = F.broadcast(hot)  # at most MAX_HOT rows, see above
     spread_by = [c for c in (spread or left.columns) if c != key] or [key]
     salted = left.join(hot, key, "left").withColumn(
         "_salt",
         F.when(F.col("_salts") > 1, F.pmod(F.xxhash64(*spread_by), F.col("_salts")))
-        .when(F.col(key).isNull(), F.pmod(F.xxhash64(*spread_by), F.lit(HOT_KEYS)))
+        .when(F.col(key).isNull(), F.pmod(F.xxhash64(*spread_by), F.lit(NULL_SALTS)))
         .otherwise(0).cast("int"),
     ).drop("_salts")
     repeated = right.join(hot, key, "left").withColumn(
@@ -107,7 +113,7 @@ def merge_features(tables: list[DataFrame], key: str = "book_id") -> DataFrame:
 
 def only_new(df: DataFrame, done: DataFrame, key: str = "book_id") -> DataFrame:
     """Rows whose key is not among the processed ones."""
-    return df.join(done.select(key).distinct(), key, "left_anti").select(*df.columns)
+    return df.join(done.select(key), key, "left_anti").select(*df.columns)
 
 
 def first_per_key(df: DataFrame, key: str, order: list) -> DataFrame:

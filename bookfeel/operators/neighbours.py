@@ -15,10 +15,9 @@ from .joins import only_new
 
 MAX_CELLS = 1024      # bounds what the driver and every task hold of the cells
 MAX_TASKS = 100_000
-ROWS_PER_CENTRE = 1000  # rows per cell that the k-means centres are fitted on
 BLOCK = 2048          # rows per block, so a pair of blocks fits any task
 SLACK = 1e-6          # keeps ties and rounding inside the exact bound
-SCORE_DIGITS = 6      # neighbours whose scores agree to this many digits tie
+TIE = 1e-9            # scores closer than this share of their possible size tie
 
 
 class _Space:
@@ -58,10 +57,17 @@ class _Space:
         return np.sqrt(np.maximum(self._add_differences(out, a_codes, b_codes), 0.0))
 
     def score(self, q, d, squared):
-        """What is reported: product (larger is nearer) or distance."""
+        """What is reported (product or distance), and the rank key, lower first.
+
+        The key counts in units of TIE times the largest value that the query can
+        reach, so it follows the scale of the vectors; rounding noise stays below it.
+        """
+        q2 = (q * q).sum(1)[:, None]
         if self.metric == "dot":
-            return q @ d.T
-        return np.sqrt(squared)
+            score = q @ d.T
+            return score, -np.round(score / np.maximum(TIE * np.sqrt(q2) * self.longest, 1e-300))
+        unit = np.maximum(TIE * (q2 + self.longest**2), 1e-300)
+        return np.sqrt(squared), np.round(squared / unit)
 
 
 def _matrix(column: pa.Array, rows: int) -> np.ndarray:
@@ -79,8 +85,10 @@ def _points(vectors: DataFrame, key: str, vector: str, codes: str | None) -> Dat
 
 
 def _pivots(points: DataFrame, cells: int):
-    """``cells`` rows drawn by a hash of the id: at most MAX_CELLS rows."""
-    rows = points.orderBy(F.md5(F.col("id").cast("string")), "id").limit(cells).collect()
+    """``cells`` rows drawn by a hash of the id: at most MAX_CELLS rows. The ids are
+    drawn first, so that no partition sends that many vectors."""
+    drawn = points.select("id").orderBy(F.md5(F.col("id").cast("string")), "id").limit(cells)
+    rows = points.join(F.broadcast(drawn), "id", "left_semi").orderBy(F.md5(F.col("id").cast("string")), "id").limit(cells).collect()
     vec = np.array([r["vec"] for r in rows], dtype=np.float64)
     codes = np.array([r["codes"] for r in rows], dtype=np.int64).reshape(len(rows), -1)
     return vec, codes
@@ -144,20 +152,22 @@ def _probes(blocks: DataFrame, space: _Space, pivots, limits, k: int, nprobe: in
     Exact search: a row's k-th distance inside its own block bounds its answer,
     and a cell all of whose rows lie beyond that bound (triangle inequality on
     the pivot's distance and the cell's nearest and farthest row) is skipped.
-    Probing: the ``nprobe`` nearest cells.
+    Probing: the ``nprobe`` nearest cells, and more until they hold k other rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p_vec, p_codes = pivots
-        nearest, farthest = limits
+        nearest, farthest, held = limits
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, vec, codes = _unpack(*[_row(batch, c, i) for c in ("ids", "flat", "flat_codes")])
                 away = np.sqrt(space.squared(vec, codes, p_vec, p_codes))
                 if nprobe is not None:
-                    order = np.argsort(away, axis=1, kind="stable")[:, :nprobe]
+                    order = np.argsort(away, axis=1, kind="stable")
+                    before = np.cumsum(held[order], axis=1) - held[order]
+                    wanted = (np.arange(away.shape[1]) < nprobe) | (before < k + 1)
                     look = np.zeros(away.shape, dtype=bool)
-                    np.put_along_axis(look, order, True, axis=1)
+                    np.put_along_axis(look, order, wanted, axis=1)
                 else:
                     own = np.sqrt(space.squared(vec, codes, vec, codes))
                     own[ids[:, None] == ids[None, :]] = np.inf
@@ -198,27 +208,26 @@ def _smallest(rank: np.ndarray, k: int):
 
 def _nearest_in_pairs(pairs: DataFrame, space: _Space, k: int) -> DataFrame:
     """The k best data rows of each query row, for every pair of blocks."""
-    sign = -1.0 if space.metric == "dot" else 1.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 q_ids, q, q_codes = _unpack(*[_row(batch, c, i) for c in ("q_ids", "q_flat", "q_codes")])
                 ids, d, d_codes = _unpack(*[_row(batch, c, i) for c in ("ids", "flat", "flat_codes")])
-                score = space.score(q, d, space.squared(q, q_codes, d, d_codes))
-                rank = sign * np.round(score, SCORE_DIGITS)
+                score, rank = space.score(q, d, space.squared(q, q_codes, d, d_codes))
                 rank[q_ids[:, None] == ids[None, :]] = np.inf
                 row, col = _smallest(rank, k)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(q_ids[row]), pa.array(ids[col]), pa.array(score[row, col])],
-                    names=["id", "neighbour", "score"],
+                    [pa.array(q_ids[row]), pa.array(ids[col]), pa.array(score[row, col]),
+                     pa.array(rank[row, col])],
+                    names=["id", "neighbour", "score", "key"],
                 )
 
-    return pairs.mapInArrow(run, "id bigint, neighbour bigint, score double")
+    return pairs.mapInArrow(run, "id bigint, neighbour bigint, score double, key double")
 
 
 def _search(
-    points: DataFrame, k: int, metric: str, nprobe_share: float | None, centres=None,
+    points: DataFrame, k: int, metric: str, nprobe_share: float | None,
     leaf: int = BLOCK, asking: DataFrame | None = None,
 ) -> DataFrame:
     """Search all rows for the neighbours of all rows, or only of the ids in ``asking``."""
@@ -229,10 +238,7 @@ def _search(
     if not facts["n"]:
         return points.sparkSession.createDataFrame([], "id bigint, rank int, neighbour bigint, score double")
     space = _Space(metric, float(facts["longest"]) ** 0.5)
-    if centres is None:
-        pivots = _pivots(points, min(MAX_CELLS, -(-facts["n"] // leaf)))
-    else:
-        pivots = (centres, np.zeros((len(centres), 0), dtype=np.int64))
+    pivots = _pivots(points, min(MAX_CELLS, -(-facts["n"] // leaf)))
     assigned = written(_assign(points, space, pivots), "cells")
     # One row per cell, at most MAX_CELLS.
     cells = assigned.groupBy("cell").agg(
@@ -240,8 +246,9 @@ def _search(
     ).collect()
     nearest = np.full(len(pivots[0]), np.inf)
     farthest = np.full(len(pivots[0]), -np.inf)
+    held = np.zeros(len(pivots[0]), dtype=np.int64)
     for c in cells:
-        nearest[c["cell"]], farthest[c["cell"]] = c["near"], c["far"]
+        nearest[c["cell"]], farthest[c["cell"]], held[c["cell"]] = c["near"], c["far"], c["n"]
     nprobe = None
     if nprobe_share is not None:
         nprobe = max(1, int(np.ceil(nprobe_share * len(pivots[0]))))
@@ -256,7 +263,7 @@ def _search(
     # partitions keep adaptive execution from merging them into one task.
     count = sum(-(-c["n"] // BLOCK) for c in cells)
     queries = queries.repartition(min(count, MAX_TASKS), "cell", "sub")
-    probes = _probes(queries, space, pivots, (nearest, farthest), k, nprobe)
+    probes = _probes(queries, space, pivots, (nearest, farthest, held), k, nprobe)
     # A probe meets every block of its cell; the pair is keyed by block, so a
     # crowded cell is shared out over its blocks.
     probes = probes.join(F.broadcast(parts), "cell").withColumn(
@@ -267,9 +274,7 @@ def _search(
         blocks.repartition(tasks, "cell", "sub"), ["cell", "sub"]
     ).drop("cell", "sub")
     found = _nearest_in_pairs(pairs, space, k)
-    rounded = F.round("score", SCORE_DIGITS)
-    best = F.desc(rounded) if metric == "dot" else F.asc(rounded)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(best, "neighbour"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("key", "neighbour"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select(
         "id", "rank", "neighbour", "score"
     )
@@ -289,7 +294,9 @@ def knn_exact(
     return _search(points, k, metric, None, leaf=leaf, asking=asking)
 
 
-def knn_mixed(features: DataFrame, numeric: list[str], categories: list[str], k: int = 10) -> DataFrame:
+def knn_mixed(
+    features: DataFrame, numeric: list[str], categories: list[str], k: int = 10, asking: DataFrame | None = None,
+) -> DataFrame:
     """Exact neighbours by Euclidean distance over standardised numbers and
     one-hot categories."""
     from .scaling import apply_numeric, category_hashes, fit_numeric
@@ -300,7 +307,7 @@ def knn_mixed(features: DataFrame, numeric: list[str], categories: list[str], k:
         F.array(*[f"z_{c}" for c in numeric]).alias("embedding"),
         category_hashes(features, categories).alias("codes"),
     )
-    return knn_exact(rows, k, "euclidean", codes="codes")
+    return knn_exact(rows, k, "euclidean", codes="codes", asking=asking)
 
 
 def compressed_vectors(
@@ -329,35 +336,24 @@ def compressed_vectors(
 
 
 def knn_compressed(
-    features: DataFrame, numeric: list[str], categories: list[str], k: int = 10, dims: int = 32
+    features: DataFrame, numeric: list[str], categories: list[str], k: int = 10, dims: int = 32,
+    asking: DataFrame | None = None,
 ) -> DataFrame:
     """Neighbours on the compressed vectors, Euclidean."""
-    return knn_exact(compressed_vectors(features, numeric, categories, dims), k, "euclidean")
+    return knn_exact(compressed_vectors(features, numeric, categories, dims), k, "euclidean", asking=asking)
 
 
 def knn_ivf(
-    vectors: DataFrame, k: int = 10, leaf: int = 500, probe: float = 0.07, seed: int = 7,
+    vectors: DataFrame, k: int = 10, leaf: int = 500, probe: float = 0.07,
     key: str = "id", vector: str = "embedding", metric: str = "dot",
     asking: DataFrame | None = None,
 ) -> DataFrame:
-    """Approximate neighbours: rows meet only the nearest ``probe`` share of the
-    k-means cells. The cell count stops at MAX_CELLS; cells then hold more rows,
-    in more blocks, and the share searched stays the same."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
+    """Approximate neighbours: rows meet only the nearest ``probe`` share of the cells
+    around centres drawn by a hash of the id, and always cells with at least k other
+    rows. The cell count stops at MAX_CELLS; cells then hold more rows, in more
+    blocks, and the share searched stays the same."""
     points = written(_points(vectors, key, vector, None), "points")
-    n = points.count()
-    cells = max(1, min(MAX_CELLS, -(-n // leaf)))
-    if cells == 1:
-        return _search(points, k, metric, None, asking=asking)
-    # The centres need only some rows to settle; every row is then assigned.
-    wanted = min(1.0, cells * ROWS_PER_CENTRE / n)
-    sample = points.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(wanted * (1 << 20)))
-    training = written(sample.select(array_to_vector("vec").alias("_v")), "training")
-    model = KMeans(k=cells, seed=seed, featuresCol="_v").fit(training)
-    centres = np.array(model.clusterCenters(), dtype=np.float64)
-    return _search(points, k, metric, probe, centres, asking=asking)
+    return _search(points, k, metric, probe, leaf=leaf, asking=asking)
 
 
 def as_lists(neighbours: DataFrame) -> DataFrame:
@@ -380,7 +376,7 @@ def nearest_to(vectors: DataFrame, query: list[float], k: int = 5, key: str = "i
     beyond the k best rows of each partition."""
     score = dot(F.col(vector), F.array(*[F.lit(float(x)) for x in query]))
     scored = vectors.select(key, score.alias("score"))
-    return scored.orderBy(F.desc(F.round("score", SCORE_DIGITS)), F.asc(key)).limit(k)
+    return scored.orderBy(F.desc("score"), F.asc(key)).limit(k)
 
 
 def semantic_search(
@@ -392,33 +388,42 @@ def semantic_search(
     return nearest_to(vectors, list(embedded), k, key, vector)
 
 
-def build_similarity(vectors: DataFrame, root: str, model: str, search=knn_exact, **options) -> DataFrame:
+# The distance that each kind of model ranks by.
+MODEL_METRICS = {"exact": "dot", "ivf": "dot", "mixed": "euclidean", "compressed": "euclidean"}
+
+
+def build_similarity(data: DataFrame, root: str, model: str, search=knn_exact, key: str = "id", **options) -> DataFrame:
     """Neighbour lists of the rows not stored yet, added to the model's table.
 
-    New rows are searched among all rows; stored lists are left as they are.
+    New rows are searched among all rows; stored lists are left as they are. ``data``
+    is what ``search`` takes first: vectors, or features for the mixed and compressed
+    searches, whose ``key`` is ``book_id``.
     """
-    spark: SparkSession = vectors.sparkSession
+    spark: SparkSession = data.sparkSession
     path = f"{root}/model={model}"
-    asking = vectors.select("id")
+    asking = data.select(F.col(key).alias("id"))
     if tables.exists(spark, path):
         done = tables.read(spark, path).select(F.col("book_id").alias("id"))
         asking = written(only_new(asking, done, "id"), "asking")
         if asking.isEmpty():
             return tables.read(spark, path)
-    return tables.append_unique(as_lists(search(vectors, asking=asking, **options)), path)
+    return tables.append_unique(as_lists(search(data, asking=asking, **options)), path)
 
 
 def similar_books(
-    spark: SparkSession, book_id: int, model: str, stores: list[str], vectors: DataFrame, k: int = 10
+    spark: SparkSession, book_id: int, model: str, stores: list[str], vectors: DataFrame, k: int = 10,
+    metric: str | None = None,
 ) -> DataFrame:
-    """Neighbours of one book: from the first store that knows it (the filter is
-    pushed into its files), else computed; empty for an unknown id."""
+    """Neighbours of one book: from the first store that knows k of them (the filter is
+    pushed into its files), else computed by the model's distance; empty for an unknown
+    id. A stored list shorter than k is taken only when the table has no more rows.
+    """
     for root in stores:
         path = f"{root}/model={model}"
         if tables.exists(spark, path):
             hit = tables.read(spark, path).filter(F.col("book_id") == book_id)
             row = hit.select(F.slice("similar_books", 1, k).alias("s")).first()
-            if row is not None:
+            if row is not None and (len(row["s"]) == k or len(row["s"]) >= vectors.limit(k + 1).count() - 1):
                 return spark.createDataFrame(
                     [(book_id, i + 1, s) for i, s in enumerate(row["s"])],
                     "book_id bigint, rank int, neighbour bigint",
@@ -426,10 +431,16 @@ def similar_books(
     own = vectors.filter(F.col("id") == book_id).select("embedding").first()
     if own is None:
         return spark.createDataFrame([], "book_id bigint, rank int, neighbour bigint")
-    found = nearest_to(vectors.filter(F.col("id") != book_id), list(own["embedding"]), k)
-    order = Window.partitionBy(F.lit(book_id)).orderBy(F.desc(F.round("score", SCORE_DIGITS)), "id")
+    others = vectors.filter(F.col("id") != book_id)
+    if (metric or MODEL_METRICS.get(model, "dot")) == "dot":
+        found, best = nearest_to(others, list(own["embedding"]), k), F.desc("score")
+    else:
+        point = F.array(*[F.lit(float(x)) for x in own["embedding"]])
+        apart = F.transform(F.arrays_zip(F.col("embedding").alias("x"), point.alias("y")),
+                            lambda p: p["x"].cast("double") - p["y"])
+        found, best = others.select("id", dot(apart, apart).alias("score")).orderBy("score", "id").limit(k), F.asc("score")
     return found.select(
         F.lit(book_id).cast("long").alias("book_id"),
-        F.row_number().over(order).alias("rank"),
+        F.row_number().over(Window.partitionBy(F.lit(book_id)).orderBy(best, "id")).alias("rank"),
         F.col("id").alias("neighbour"),
     )

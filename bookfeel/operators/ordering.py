@@ -31,15 +31,18 @@ def size_subsets(df: DataFrame, sizes: dict[str, int | None], key: str = "book_i
     """Every row once per subset it belongs to, the first N keys each.
 
     One cut-off key per size replaces repeated limits over wide rows; the copies
-    are written with ``partitionBy('subset')``.
+    are written with ``partitionBy('subset')``. The cut-offs are read off the ranks of
+    the distinct keys, which range partitions give without one large sort.
     """
+    ranks = order_codes(df.select(F.lit(0).alias("_all"), key).filter(F.col(key).isNotNull()), "_all", key)
+    wanted = [n - 1 for n in sizes.values() if n is not None]
+    cuts = {r["code"]: r[key] for r in ranks.filter(F.col("code").isin(wanted)).collect()}  # one row per size
     tags = []
     for name, n in sizes.items():
-        if n is None:
+        if n is None or n - 1 not in cuts:  # all, or more than there are
             tags.append(F.lit(name))
         else:
-            cut = df.select(key).orderBy(key).limit(n).agg(F.max(key)).scalar()
-            tags.append(F.when(F.col(key) <= cut, F.lit(name)))
+            tags.append(F.when(F.col(key) <= F.lit(cuts[n - 1]), F.lit(name)))
     return df.withColumn("subset", F.explode(F.array_compact(F.array(*tags))))
 
 

@@ -6,11 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fields, text
+from .joins import skew_join
 
-# Groups longer than a list may be are split. Only groups above
-# total / MAX_SPLIT_GROUPS rows can need it, so at most that many exist and the
-# list of them (a key and two counts each) may be broadcast.
-MAX_SPLIT_GROUPS = 200_000
 LIST_SIZE = 1000
 
 
@@ -20,6 +17,22 @@ def stable_bucket(c: Column, buckets: Column) -> Column:
     return F.pmod(prefix, buckets)
 
 
+def deal_parts(df: DataFrame, key: str, order_by: str, size: int, out: str) -> DataFrame:
+    """Add the part of its group that a row falls into: 0 for a group of up to
+    ``size`` rows, else one of ``ceil(rows / size)`` by a hash of ``order_by``.
+
+    The long groups are joined like any table, hot keys salted, however many they are.
+    """
+    parts = F.ceil(F.col("_rows") / size)
+    sizes = df.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > size)
+    keyless = sizes.filter(F.col(key).isNull()).agg(F.max(parts)).scalar()  # null matches no key
+    dealt = skew_join(df, sizes.select(key, parts.alias("_parts")), key, "left", [order_by])
+    parts = F.when(F.col(key).isNull(), keyless).otherwise(F.col("_parts"))
+    return dealt.withColumn(
+        out, F.when(parts > 1, stable_bucket(F.col(order_by), parts)).otherwise(0).cast("long")
+    ).drop("_parts")
+
+
 def collect_parts(
     df: DataFrame, key: str, order_by: str, fields_: list[str], out: str, size: int = LIST_SIZE
 ) -> DataFrame:
@@ -30,16 +43,7 @@ def collect_parts(
     ``order_by``, so a hot group never meets in one task or one cell; together
     the parts hold every row. Lists are sorted by ``order_by``.
     """
-    sizes = df.groupBy(key).agg(F.count("*").alias("_rows"))
-    total = sizes.agg(F.sum("_rows")).scalar()
-    long_groups = sizes.filter(
-        (F.col("_rows") > size) & (F.col("_rows") > total / MAX_SPLIT_GROUPS)
-    ).select(key, F.ceil(F.col("_rows") / size).alias("_parts"))
-    dealt = df.join(F.broadcast(long_groups), key, "left").withColumn(
-        "part",
-        F.when(F.col("_parts") > 1, stable_bucket(F.col(order_by), F.col("_parts")))
-        .otherwise(0).cast("long"),
-    )
+    dealt = deal_parts(df, key, order_by, size, "part")
     entry = F.struct(order_by, *[f for f in fields_ if f != order_by])
     return dealt.groupBy(key, "part").agg(F.array_sort(F.collect_list(entry)).alias(out))
 
@@ -208,7 +212,7 @@ def share_of_max(df: DataFrame, column: str) -> DataFrame:
 def compare_models(similarities: DataFrame, ids: DataFrame, models: list[str]) -> DataFrame:
     """Neighbour lists of several models side by side for the given books, with
     the number of neighbours each pair of models shares."""
-    chosen = similarities.join(ids.select("book_id").distinct(), "book_id", "left_semi")
+    chosen = similarities.join(ids.select("book_id"), "book_id", "left_semi")
     wide = chosen.groupBy("book_id").pivot("model", models).agg(F.first("similar_books"))
     for i, a in enumerate(models):
         for b in models[i + 1:]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
@@ -15,8 +13,6 @@ from .joins import skew_join
 from .ordering import order_codes
 from .rollups import quantile_columns
 
-RANGE_BUCKETS = 1000
-
 
 def fit_numeric(df: DataFrame, columns: list[str]) -> dict[str, dict[str, float]]:
     """Mean of the known values, and the population deviation after the missing
@@ -47,39 +43,25 @@ def apply_numeric(df: DataFrame, params: dict[str, dict[str, float]]) -> DataFra
 def column_quantiles(df: DataFrame, columns: list[str], probs: dict[str, float]) -> DataFrame:
     """Exact quantiles of whole columns as rows ``(name, <prob names>)``.
 
-    Equal values are counted first. An equal-width histogram of at most
-    ``RANGE_BUCKETS`` counts per column then tells which buckets hold the wanted
-    ranks; only those are put in order, bucket by bucket.
+    Equal values are counted first. The counts are put in order by range partitions,
+    whose bounds follow the data, so an outlier crowds no task; a running count inside
+    each partition and one offset per partition give every value its ranks.
     """
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns
     ])).alias("e")).select("e.*").filter("value is not null")
-    counts = long.groupBy("name", "value").agg(F.count("*").alias("n"))
-    # One row per column.
-    ends = counts.groupBy("name").agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("total")
+    counts = written(long.groupBy("name", "value").agg(F.count("*").alias("n")), "value-counts")
+    ranged = written(
+        counts.repartitionByRange("name", "value").withColumn("piece", F.spark_partition_id()), "value-ranges"
     )
-    share = F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo"))
-    placed = counts.join(F.broadcast(ends), "name").withColumn(
-        "bucket",
-        F.least(F.floor(F.coalesce(share, F.lit(0.0)) * RANGE_BUCKETS), F.lit(RANGE_BUCKETS - 1)),
+    pieces = ranged.groupBy("name", "piece").agg(F.sum("n").alias("p_n"))  # columns and partitions at most
+    by_name = Window.partitionBy("name")
+    before = F.sum("p_n").over(by_name.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = pieces.select(
+        "name", "piece", F.coalesce(before, F.lit(0)).alias("before"), F.sum("p_n").over(by_name).alias("total")
     )
-    # At most RANGE_BUCKETS rows per column.
-    buckets = placed.groupBy("name", "bucket").agg(F.sum("n").alias("b_n"), F.max("total").alias("total"))
-    order = Window.partitionBy("name").orderBy("bucket")
-    upto = F.sum("b_n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    buckets = buckets.withColumn("before", upto - F.col("b_n"))
-    last = F.col("total") - 1
-
-    def holds(rank: Column) -> Column:
-        return (rank >= F.col("before")) & (rank < F.col("before") + F.col("b_n"))
-
-    wanted = reduce(lambda a, b: a | b, [
-        holds(rank) for p in probs.values() for rank in (F.floor(last * p), F.ceil(last * p))
-    ])
-    kept = buckets.filter(wanted).select("name", "bucket", "before")
-    inside = Window.partitionBy("name", "bucket").orderBy("value")
-    running = placed.join(F.broadcast(kept), ["name", "bucket"]).withColumn(
+    inside = Window.partitionBy("name", "piece").orderBy("value")
+    running = ranged.join(F.broadcast(offsets), ["name", "piece"]).withColumn(
         "cum",
         F.col("before")
         + F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)),

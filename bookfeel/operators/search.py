@@ -17,7 +17,6 @@ BOOK_CARD = [
     "book_id", "title", "image_url", "series", "url", "num_pages", "description",
     "average_rating", "publication_year",
 ]
-MULTI_SELECT = ("emotions", "main_themes")
 
 
 def as_text(df: DataFrame, name: str) -> Column:
@@ -36,7 +35,7 @@ def get_book(base: DataFrame, book_id: int) -> DataFrame:
 def filter_ids(df: DataFrame, column: str, ids) -> DataFrame:
     """Rows whose key is listed: a literal list, or a DataFrame of ids."""
     if isinstance(ids, DataFrame):
-        return df.join(ids.select(column).distinct(), column, "left_semi").select(*df.columns)
+        return df.join(ids.select(column), column, "left_semi").select(*df.columns)
     return df.filter(F.col(column).isin(list(ids)))
 
 
@@ -85,7 +84,7 @@ def search_title(base: DataFrame, title: str, n: int | None = 10) -> DataFrame:
 def find_book(base: DataFrame, text: str) -> DataFrame:
     """Digits are an id, anything else a title."""
     text = text.strip()
-    if text.isdigit():
+    if text.isdecimal():
         return get_book(base, int(text))
     hits = search_title(base, text)
     return hits.select(*[as_text(hits, c).alias(c) for c in BOOK_CARD if c in hits.columns])

@@ -140,20 +140,33 @@ def predict_polarity(train: DataFrame, texts: DataFrame, n: int = 1) -> DataFram
     )
 
 
+def _vocabulary(df: DataFrame, n: int, min_df: int, max_features: int) -> DataFrame:
+    """``(term, df, cf)`` of the most frequent terms: at most ``max_features`` rows.
+    Only counts are shuffled, no list of terms by document is stored."""
+    per_text = df.select("id", F.explode(ngrams(F.col("text"), n)).alias("term"))
+    counts = per_text.groupBy("term", "id").agg(F.count("*").alias("tf"))
+    stats = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return stats.filter(F.col("df") >= min_df).orderBy(F.desc("cf"), "term").limit(max_features)
+
+
+def _idf(total: Column) -> Column:
+    return F.log((total + 1) / (F.col("df") + 1)) + 1
+
+
 def tfidf(df: DataFrame, n: int = 3, min_df: int = 5, max_features: int = 10_000) -> DataFrame:
     """``(id, term, weight)``: smoothed idf plus one, unit length per document.
 
     ``min_df`` and ``max_features`` (most frequent terms) define the vocabulary.
     """
-    counts = written(term_counts(df, "text", n), "grams")
+    return _weights(df, written(_vocabulary(df, n, min_df, max_features), "vocabulary"), n)
+
+
+def _weights(df: DataFrame, vocabulary: DataFrame, n: int) -> DataFrame:
     total = df.agg(F.count("*")).scalar()
-    stats = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    vocabulary = stats.filter(F.col("df") >= min_df).orderBy(F.desc("cf"), "term").limit(max_features)
-    # At most max_features rows.
-    weighed = counts.join(F.broadcast(vocabulary), "term").select(
-        "id", "term",
-        (F.col("tf") * (F.log((total + 1) / (F.col("df") + 1)) + 1)).alias("raw"),
-    )
+    terms = df.select("id", F.explode(ngrams(F.col("text"), n)).alias("term"))
+    # The vocabulary is bounded, see above; terms outside it end here.
+    weighed = terms.join(F.broadcast(vocabulary), "term").groupBy("id", "term").agg(
+        (F.count("*") * F.first(_idf(total))).alias("raw"))
     norms = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return weighed.join(norms, "id").select("id", "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
@@ -162,35 +175,40 @@ def topics(
     df: DataFrame, k: int = 3, n: int = 3, min_df: int = 5, max_features: int = 10_000,
     iterations: int = 100, seed: int = 0,
 ):
-    """Topic model on TF-IDF n-grams. Returns ``(mixtures, words)``: topic shares
-    per document, and the terms of each topic by falling weight."""
+    """Topic model on the rows of :func:`tfidf`. Returns ``(mixtures, fitted)``: topic
+    shares per document, and what :func:`top_words` reads. Every iteration reads every
+    text. Without a vocabulary all topics have equal shares.
+    """
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.linalg import Vectors
 
-    # Both tables are read many times: by each fit, and by every iteration.
-    terms = written(df.select("id", ngrams(F.col("text"), n).alias("_terms")), "terms")
-    counter = CountVectorizer(
-        inputCol="_terms", outputCol="_tf", minDF=float(min_df), vocabSize=max_features
-    ).fit(terms)
-    counted = counter.transform(terms)
-    idf = IDF(inputCol="_tf", outputCol="_idf").fit(counted).idf.toArray()
+    kept = written(_vocabulary(df, n, min_df, max_features), "vocabulary")
+    total = df.agg(F.count("*")).scalar()
+    rows = kept.select("term", _idf(total).alias("idf")).orderBy("term").collect()  # max_features at most
+    if not rows:
+        return df.select("id", F.array_repeat(F.lit(1.0 / k), k).alias("mixture")), (None, [])
+    # Counts by the same vocabulary, times idf, at unit length: the weights of tfidf.
+    counter = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], inputCol="_terms", outputCol="_tf")
+    counted = counter.transform(df.select("id", ngrams(F.col("text"), n).alias("_terms")))
     weighed = ElementwiseProduct(
-        scalingVec=Vectors.dense(idf + 1.0), inputCol="_tf", outputCol="_raw"
+        scalingVec=Vectors.dense([r["idf"] for r in rows]), inputCol="_tf", outputCol="_raw"
     ).transform(counted)
     vectors = Normalizer(p=2.0, inputCol="_raw", outputCol="features").transform(weighed).select("id", "features")
-    vectors = written(vectors, "features")
-    model = LDA(k=k, maxIter=iterations, seed=seed).fit(vectors)
+    vectors = written(vectors, "features")  # read by every iteration
+    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0).fit(vectors)
     mixtures = model.transform(vectors).select(
         "id", vector_to_array("topicDistribution").alias("mixture")
     )
-    return mixtures, (model, counter.vocabulary)
+    return mixtures, (model, [r["term"] for r in rows])
 
 
-def top_words(fitted, count: int = 10) -> DataFrame:
-    """``(topic, rank, term, weight)``: ``count`` rows per topic."""
+def top_words(fitted, count: int = 10) -> DataFrame | None:
+    """``(topic, rank, term, weight)``: ``count`` rows per topic; None without a model."""
     model, vocabulary = fitted
+    if model is None:
+        return None
     rows = model.describeTopics(count)
     names = rows.sparkSession.createDataFrame(list(enumerate(vocabulary)), "i int, term string")
     flat = rows.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("pos", "t"))

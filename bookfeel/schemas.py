@@ -33,7 +33,7 @@ COUNTRIES = _table(name=_S, region=_S, capital_latlng=T.ArrayType(_D))
 GAZETTEER = _table(place=_S, country=_S)
 SIMILARITIES = _table(book_id=_L, similar_books=T.ArrayType(_L), model=_S)
 
-# The nested record a metadata reply must follow.
+# The nested record a metadata reply must follow.
 METADATA = _table(
     location=_table(city=_S, country=_S, world=_S),
     period=_table(century=_S, decade=_S, era=_S),
@@ -45,13 +45,12 @@ METADATA = _table(
     original_language=_S,
 )
 
-# Model inputs of the similarity encoders.
+# The model inputs of the similarity encoders.
 NUMERIC_FEATURES = [
     "n_votes", "read_duration", "average_rating", "num_pages", "ratings_count",
     "total_shelves_count",
 ]
-CLASSIFIED_FEATURES = [
-    "emotions", "content_intensity", "romance_heat_level", "character_type", "main_themes",
-    "pace", "sentiment",
+CATEGORY_FEATURES = [
+    "is_series", "author_names", "emotions", "content_intensity", "romance_heat_level", "character_type",
+    "main_themes", "pace", "sentiment", "country", "region",
 ]
-CATEGORY_FEATURES = ["is_series", "author_names", *CLASSIFIED_FEATURES, "country", "region"]

@@ -14,8 +14,6 @@ from ..cluster import row_total, spread
 from ..functions import fields
 from ..operators.search import NO_COVER
 
-EDITION_BLOCK = 40  # parts per block in which equal brands count as editions
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -49,15 +47,12 @@ def book_facts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def editions(spark: SparkSession, folder: str) -> DataFrame:
-    """``similar_books``: parts of one brand within one block of keys, at most
-    ``EDITION_BLOCK`` long; empty where a part stands alone."""
+    """``similar_books``: parts of one name and brand; empty where a part stands alone."""
     parts = table(spark, folder, "part").select(
-        F.col("p_partkey").alias("book_id"),
-        F.expr(f"p_partkey div {EDITION_BLOCK}").alias("block"),
-        "p_brand",
+        F.col("p_partkey").alias("book_id"), "p_name", "p_brand"
     )
     groups = (
-        parts.groupBy("block", "p_brand")
+        parts.groupBy("p_name", "p_brand")
         .agg(F.array_sort(F.collect_list("book_id")).alias("members"))
         .select(
             "members",
@@ -86,10 +81,9 @@ def shelves(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def author_refs(spark: SparkSession, folder: str) -> DataFrame:
-    """``authors``: distinct suppliers of a part's first lines, ascending."""
+    """``authors``: distinct suppliers of a part's lines, ascending."""
     pairs = (
         table(spark, folder, "lineitem")
-        .filter("l_linenumber = 1")
         .select(F.col("l_partkey").alias("book_id"), "l_suppkey")
         .distinct()
     )
@@ -148,9 +142,6 @@ def base(spark: SparkSession, folder: str) -> DataFrame:
     ).drop("popular_shelves")
 
 
-_DATE_FORM = "EEE MMM dd HH:mm:ss"
-
-
 def reviews(spark: SparkSession, folder: str, text: bool = True) -> DataFrame:
     """One review per line item; with ``text`` its whole document is the review."""
     lines = spread(table(spark, folder, "lineitem"), "l_orderkey").join(

@@ -17,9 +17,16 @@ def _file(spark: SparkSession, path: str):
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """True for a finished table (its success marker is there)."""
+    """True for a finished table: its success marker or, where markers are switched
+    off, a data file is there."""
     files, target = _file(spark, f"{path}/_SUCCESS")
-    return files.exists(target)
+    if files.exists(target):
+        return True
+    setting = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
+    if spark._jsc.hadoopConfiguration().get(setting, "true").lower() != "false":
+        return False
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{{part-*,*/part-*}}")
+    return bool(files.globStatus(pattern))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -44,7 +51,7 @@ def append_unique(df: DataFrame, path: str, key: str = "book_id") -> DataFrame:
     """
     spark = df.sparkSession
     if exists(spark, path):
-        df = df.join(read(spark, path).select(key).distinct(), key, "left_anti").select(*df.columns)
+        df = df.join(read(spark, path).select(key), key, "left_anti").select(*df.columns)
     df.write.mode("append").parquet(path)
     return read(spark, path)
 

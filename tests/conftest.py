@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -6,6 +7,8 @@ from pyspark.sql import SparkSession
 
 sys.path[:0] = [str(Path(__file__).parents[1]), str(Path(__file__).parent)]
 
+from bookfeel.cluster import remove_work  # noqa: E402
+
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -18,10 +21,12 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bookfeel-tests-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    remove_work(session)
     session.stop()
 
 

@@ -14,7 +14,8 @@ def bag(df):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_skew_join_equals_plain_join(no_broadcast, how):
+def test_skew_join_equals_plain_join(no_broadcast, monkeypatch, how):
+    monkeypatch.setattr(joins, "TASK_ROWS", 10)
     spark = no_broadcast
     # Key 1 holds most rows, 2 and 3 some, 4 has no partner, null is there too.
     keys = [1] * 3000 + [2] * 50 + [3] * 5 + [4] * 20 + [None] * 700
@@ -25,7 +26,27 @@ def test_skew_join_equals_plain_join(no_broadcast, how):
     assert bag(got) == bag(left.join(right, "k", how).select(*got.columns))
 
 
-def test_skew_join_spreads_a_hot_key(no_broadcast):
+@pytest.mark.parametrize("how", ["right", "full", "cross"])
+def test_skew_join_refuses_other_joins(spark, how):
+    df = spark.range(3).withColumnRenamed("id", "k")
+    with pytest.raises(ValueError):
+        joins.skew_join(df, df, "k", how)
+
+
+@pytest.mark.parametrize("most", [1, 1000])
+def test_every_long_group_is_split(no_broadcast, monkeypatch, most):
+    """Also when very many groups are long, and for rows without a key."""
+    monkeypatch.setattr(joins, "TASK_ROWS", most)
+    df = no_broadcast.range(12_000).select(
+        F.when(F.col("id") % 300 > 0, F.col("id") % 300).alias("k"), F.col("id").alias("i"))
+    lists = rollups.collect_parts(df, "k", "i", [], "e", size=10).select("k", "part", F.size("e").alias("n"))
+    assert lists.agg(F.sum("n")).first()[0] == 12_000
+    assert lists.groupBy("k").agg(F.max("part").alias("p")).filter("p < 1").count() == 0
+    assert lists.agg(F.max("n")).first()[0] <= 40  # 10, up to the spread of the hash
+
+
+def test_skew_join_spreads_a_hot_key(no_broadcast, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_ROWS", 100)
     left = no_broadcast.range(20000).select(F.lit(1).alias("k"), F.col("id").alias("v"))
     right = no_broadcast.createDataFrame([(1, "a")], "k int, w string")
     joined = joins.skew_join(left, right, "k", "inner", ["v"]).select(F.spark_partition_id().alias("p"))
@@ -168,3 +189,19 @@ def test_apply_groups_slices_a_hot_group(spark):
     got = custom.apply_groups(df, "k", rows, "k int, i int, n int", "i", size=100).collect()
     assert sorted(r["i"] for r in got) == list(range(1000))
     assert max(r["n"] for r in got) < 200
+
+
+def test_quantiles_with_an_outlier(spark):
+    values = [float(i % 1000) for i in range(20_000)] + [1e9]
+    df = spark.createDataFrame([(v, None if v > 900 else v) for v in values], "a double, b double")
+    found = {r["name"]: r for r in scaling.column_quantiles(df, ["a", "b"], {"q": 0.25, "m": 0.5, "h": 0.999}).collect()}
+    for name, column in (("a", values), ("b", [v for v in values if v <= 900])):
+        assert [found[name][p] for p in ("q", "m", "h")] == pytest.approx(list(np.quantile(column, [0.25, 0.5, 0.999])))
+
+
+def test_size_subsets_by_rank(spark):
+    df = spark.range(1, 2001).withColumnRenamed("id", "book_id").repartition(5)
+    found = {r["subset"]: r["count"] for r in ordering.size_subsets(
+        df, {"few": 3, "many": 1500, "more": 5000, "all": None}).groupBy("subset").count().collect()}
+    assert found == {"few": 3, "many": 1500, "more": 2000, "all": 2000}
+    assert ordering.size_subsets(df.limit(0), {"few": 3}).count() == 0

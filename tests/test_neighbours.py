@@ -50,6 +50,61 @@ def test_exact_search_prunes_without_loss(spark, metric):
     assert lists(found) == brute(m, 5, metric)
 
 
+@pytest.mark.parametrize("metric", ["dot", "euclidean"])
+@pytest.mark.parametrize("scale", [1e-6, 1e6])
+def test_ranks_do_not_depend_on_scale(spark, metric, scale):
+    m = np.random.default_rng(4).normal(0, 1, (200, 8)) * scale
+    data = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(m)], "id long, embedding array<double>")
+    cost = -(m @ m.T) if metric == "dot" else ((m[:, None] - m[None]) ** 2).sum(-1)
+    np.fill_diagonal(cost, np.inf)
+    want = {i: list(np.argsort(cost[i])[:5]) for i in range(len(m))}
+    assert lists(nb.knn_exact(data, 5, metric, leaf=20)) == want
+    assert lists(nb.knn_ivf(data, 5, leaf=20, probe=1.0, metric=metric)) == want
+
+
+def test_probing_gives_k_rows_and_recall(spark):
+    m = clustered(7)
+    found = nb.knn_ivf(vectors(spark, m), 30, leaf=4, probe=0.001, metric="euclidean")
+    assert all(len(x) == 30 for x in lists(found).values())
+    want, got = brute(m, 5, "euclidean"), lists(nb.knn_ivf(vectors(spark, m), 5, leaf=20, probe=0.3, metric="euclidean"))
+    assert np.mean([len(set(want[i]) & set(got[i])) / 5 for i in want]) > 0.9
+
+
+@pytest.mark.parametrize("model", ["mixed", "exact"])
+def test_stored_lists_of_features_and_of_either_metric(spark, model):
+    draw = np.random.default_rng(1)
+    rows = [(i, float(draw.normal()), float(draw.normal()), "ab"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "book_id long, x double, y double, c string")
+    root = work_path(spark, "similar")
+    if model == "mixed":
+        stored = nb.build_similarity(df, root, model, nb.knn_mixed, "book_id", numeric=["x", "y"], categories=["c"], k=7)
+    else:
+        data = df.selectExpr("book_id AS id", "array(x, y) AS embedding")
+        stored = nb.build_similarity(data, root, model, k=7)
+    assert stored.count() == 60 and stored.selectExpr("size(similar_books) AS n").distinct().collect()[0]["n"] == 7
+    vectors_ = df.selectExpr("book_id AS id", "array(x, y) AS embedding")
+    ten = nb.similar_books(spark, 3, model, [root], vectors_, 10)  # the stored list is too short
+    m = np.array([r[1:3] for r in rows])
+    cost = -(m @ m[3]) if model == "exact" else ((m - m[3]) ** 2).sum(1)
+    assert [r["neighbour"] for r in ten.orderBy("rank").collect()] == [int(i) for i in np.argsort(cost) if i != 3][:10]
+
+
+def test_topics_read_the_weights_of_tfidf(spark, monkeypatch):
+    texts = [(i, " ".join(f"word{(i * k) % 7}" for k in range(30))) for i in range(12)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    seen = {}
+    real = topics.written
+    monkeypatch.setattr(topics, "written", lambda d, name, *a: seen.setdefault(name, real(d, name, *a)))
+    mixtures, fitted = topics.topics(df, n=1, min_df=1, iterations=3)
+    monkeypatch.undo()
+    weights = {(r["id"], r["term"]): r["weight"] for r in topics.tfidf(df, n=1, min_df=1).collect()}
+    for r in seen["features"].collect():
+        for i, w in zip(r["features"].indices, r["features"].values):
+            assert weights.pop((r["id"], fitted[1][i])) == pytest.approx(w)
+    assert not weights and mixtures.count() == 12
+    assert topics.topics(df, n=3, min_df=50)[0].first()["mixture"] == pytest.approx([1 / 3] * 3)
+
+
 def test_pruning_skips_cells(spark):
     m = clustered(2)
     points = nb._points(vectors(spark, m), "id", "embedding", None)
@@ -61,7 +116,7 @@ def test_pruning_skips_cells(spark):
         near[cell], far[cell] = away.min(), away.max()
     parts = spark.createDataFrame([(int(c), 1) for c in set(rows["cell"])], "cell bigint, parts bigint")
     blocks = nb._pack(nb._assign(points, space, pivots), parts)
-    probes = nb._probes(blocks, space, pivots, (near, far), 3, None).toPandas()
+    probes = nb._probes(blocks, space, pivots, (near, far, np.full(12, 20)), 3, None).toPandas()
     asked = sum(len(ids) for ids in probes["q_ids"])
     assert len(m) <= asked < len(m) * len(set(rows["cell"])) / 2
 
