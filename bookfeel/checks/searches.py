@@ -297,15 +297,25 @@ def book_locations(spark, sf):
 
 
 @check("m06_known_places", r"""
-    WITH words AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_]+'), lambda w: w <> '')) AS word FROM documents),
-    names AS (SELECT lower(word) AS name FROM words GROUP BY 1 HAVING count(DISTINCT doc_id) BETWEEN 2 AND 3)
-    SELECT doc_id, count(DISTINCT word) AS places FROM documents
-    LEFT JOIN words USING (doc_id) LEFT JOIN names ON lower(word) = name WHERE name IS NOT NULL GROUP BY 1""")
+    WITH worded AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_]+'), lambda w: w <> '') AS w FROM documents),
+    grams AS (SELECT doc_id, n, i AS pos, array_to_string(w[i:i + n - 1], ' ') AS word
+              FROM worded, range(1, 4) t(n), unnest(range(1, CAST(greatest(len(w) - n + 2, 1) AS BIGINT))) u(i)),
+    names AS (SELECT lower(word) AS name FROM grams GROUP BY 1 HAVING count(DISTINCT doc_id) BETWEEN 2 AND 3),
+    found AS (SELECT doc_id, n, pos, word FROM grams JOIN names ON lower(word) = name),
+    free AS (SELECT doc_id, word FROM found f WHERE NOT EXISTS (
+      SELECT 1 FROM found o WHERE o.doc_id = f.doc_id AND o.n > f.n AND o.pos BETWEEN f.pos - 2 AND f.pos AND o.pos + o.n >= f.pos + f.n))
+    SELECT doc_id, count(DISTINCT word) AS places FROM free GROUP BY 1""")
 def known_places(spark, sf):
-    """Words of two or three documents stand in for place names."""
+    """Runs of up to three words held by two or three documents stand in for place names."""
     docs = d.documents(spark, sf)
-    words = docs.select("doc_id", F.explode(F.split("text", r"[^\p{L}\p{N}_]+")).alias("word")).filter("word != ''")
-    names = words.groupBy(F.lower("word").alias("name")).agg(F.countDistinct("doc_id").alias("n")).filter("n between 2 and 3")
+    words = F.filter(F.split("text", r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    worded, runs = docs.select("doc_id", words.alias("w")), None
+    for n in (1, 2, 3):
+        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1)))
+        some = worded.select("doc_id", "w", F.explode(starts).alias("i")).select(
+            "doc_id", F.concat_ws(" ", F.slice("w", F.col("i"), n)).alias("word"))
+        runs = some if runs is None else runs.union(some)
+    names = runs.groupBy(F.lower("word").alias("name")).agg(F.countDistinct("doc_id").alias("n")).filter("n between 2 and 3")
     found = places.select_locations(places.known_place_entities(docs, "text", names, key="doc_id"))
     return found.filter("size(places) > 0").select("doc_id", F.size("places").cast("long").alias("places"))
 
@@ -317,11 +327,11 @@ def extract_entities(spark, sf):
     """A toy recogniser that takes a capitalised first word for a place, and fails on others."""
 
     def load():
-        def recognise(text):
-            word = text.split()[0]
-            if not "A" <= word[0] <= "Z":
+        def recognise(texts):
+            firsts = [text.split()[0] for text in texts]
+            if not all("A" <= word[0] <= "Z" for word in firsts):
                 raise ValueError("no place")
-            return [{"entity_group": "LOC", "score": 0.9, "word": word}]
+            return [[{"entity_group": "LOC", "score": 0.9, "word": word}] for word in firsts]
 
         return recognise
 
@@ -445,4 +455,4 @@ def _default_tasks_sql() -> str:
 def default_tasks(spark, sf):
     """The built-in scorer on every book description."""
     books = spread(d.descriptions(spark, sf), "book_id")
-    return as_text(joins.merge_features([run(books) for run in enrich.default_tasks().values()]))
+    return as_text(enrich.enrich(books, work_path(spark, "features")))

@@ -173,10 +173,12 @@ def json_block(c: Column) -> Column:
     fence when that parses, else its outermost braces, else null."""
     text = F.regexp_replace(strip(c), r"^```(json)?", "")
     text = strip(F.regexp_replace(text, r"```$", ""))
-    inner = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.when(F.try_parse_json(text).isNotNull(), text).when(
-        F.try_parse_json(inner).isNotNull(), inner
-    )
+
+    def usable(whole: Column) -> Column:
+        inner = F.regexp_extract(whole, r"(?s)\{.*\}", 0)
+        return F.when(F.try_parse_json(whole).isNotNull(), whole).when(F.try_parse_json(inner).isNotNull(), inner)
+
+    return F.get(F.transform(F.array(text), usable), 0)  # the text is cleaned once
 
 
 def parse_literal(c: Column, schema) -> Column:

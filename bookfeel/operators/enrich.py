@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import written
 from ..functions import text as tx
 from ..schemas import SCORES
 from ..sources import tables
@@ -231,34 +232,43 @@ def select_labels(
     )
 
 
-def default_tasks() -> dict[str, Callable[[DataFrame], DataFrame]]:
-    """The seven enrichments with the built-in scorer, by name."""
+def default_scorers() -> dict[str, Callable[[Column], Column]]:
+    """The built-in scorer of each of the seven enrichments, by name."""
+    zero_shot = {t: lexicon_scorer(label_cues(TASKS[t]["labels"]), TASKS[t]["multi"]) for t in TASKS}
+    return {"emotions": lexicon_scorer(EMOTION_CUES), **zero_shot, "sentiment": lexicon_scorer(SENTIMENT_CUES)}
 
-    def emotion(df):
-        return select_emotions(score_text(df, "description", "book_id", lexicon_scorer(EMOTION_CUES))).select("book_id", "emotions")
 
-    def sentiment(df):
-        return top_label(score_text(df, "description", "book_id", lexicon_scorer(SENTIMENT_CUES))).select("book_id", "sentiment")
-
-    def zero_shot(task):
-        scorer = lexicon_scorer(label_cues(TASKS[task]["labels"]), TASKS[task]["multi"])
-        return lambda df: select_labels(
-            score_text(df, "description", "book_id", scorer), task
-        ).select("book_id", task)
-
-    return {"emotions": emotion, **{t: zero_shot(t) for t in TASKS}, "sentiment": sentiment}
+def default_features(df: DataFrame) -> DataFrame:
+    """``book_id`` and all seven enrichments; every text is read once."""
+    text = F.coalesce(F.col("description"), F.lit(""))
+    wide = df.select("book_id", *[score(text).alias(f"_{name}") for name, score in default_scorers().items()])
+    wide = top_label(select_emotions(wide, "_emotions"), "_sentiment")
+    for task in TASKS:
+        wide = select_labels(wide, task, f"_{task}")
+    return wide.select("book_id", *default_scorers())
 
 
 def enrich(
     df: DataFrame, root: str, tasks: dict[str, Callable[[DataFrame], DataFrame]] | None = None
 ) -> DataFrame:
     """Run the enrichments for books not done yet, store each under ``root``,
-    and return the merged features."""
+    and return the merged features.
+
+    The built-in ones share one pass over the texts of the books that lack any of
+    them; ``tasks`` replaces them by functions from books to ``(book_id, <name>)``.
+    """
     spark = df.sparkSession
-    stored = []
-    for name, run in (tasks or default_tasks()).items():
-        path = f"{root}/{name}"
-        todo = only_new(df, tables.read(spark, path)) if tables.exists(spark, path) else df
-        tables.append_unique(run(todo), path)
-        stored.append(tables.read(spark, path))
-    return merge_features(stored)
+    names = list(tasks or default_scorers())
+    paths = {name: f"{root}/{name}" for name in names}
+    known = {name: tables.read(spark, path) for name, path in paths.items() if tables.exists(spark, path)}
+    if tasks is None:
+        whole = merge_features([t.select("book_id") for t in known.values()]) if len(known) == len(names) else None
+        pending = written(default_features(df if whole is None else only_new(df, whole)), "features")
+    for name in names:
+        done = known.get(name)
+        if tasks is None:
+            fresh = pending.select("book_id", name)
+        else:
+            fresh = tasks[name](df if done is None else only_new(df, done))
+        tables.append_unique(fresh, paths[name])
+    return merge_features([tables.read(spark, path) for path in paths.values()])

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from bookfeel.cluster import work_path
 from bookfeel.operators import enrich, places
 
 SCORES = "id int, scores array<struct<label: string, score: double>>"
@@ -65,3 +66,39 @@ def test_model_scorer_is_fed_in_batches(spark):
     rows = enrich.score_text(df, "t", "id", model=load, batch=4).orderBy("id").collect()
     assert [r["scores"][0]["score"] for r in rows] == [4.0] * 8 + [2.0] * 2
     assert rows[3]["scores"][1]["score"] == 1.0
+
+
+def test_built_in_enrichments_add_only_new_books(spark):
+    root = work_path(spark, "features")
+    books = spark.createDataFrame(
+        [(1, "joy and love in a dark war"), (2, None), (3, "a sad, slow story of grief")], "book_id long, description string")
+    first = enrich.enrich(books.where("book_id < 3"), root)
+    assert sorted(r["book_id"] for r in first.collect()) == [1, 2]
+    again = enrich.enrich(books, root)
+    assert sorted(r["book_id"] for r in again.collect()) == [1, 2, 3]
+    assert enrich.enrich(books, root).count() == 3 and set(again.columns) == {"book_id", *enrich.default_scorers()}
+
+
+def test_place_names_of_several_words(spark):
+    texts = spark.createDataFrame([
+        (1, "from New York to the United Kingdom, and to York and France; new york again"), (2, None), (3, "nowhere")],
+        "book_id long, t string")
+    names = spark.createDataFrame([(n,) for n in ("New York", "York", "United  Kingdom", "France", "Kingdom")], "name string")
+    got = {r["book_id"]: [e["word"] for e in r["entities"]]
+           for r in places.known_place_entities(texts, "t", names).collect()}
+    assert got == {1: ["New York", "United Kingdom", "York", "France", "new york"], 2: [], 3: []}
+
+
+def test_recogniser_falls_back_to_single_texts(spark):
+    def load():
+        def recognise(texts):
+            if "bad" in texts:
+                raise ValueError("bad text")
+            return [[{"entity_group": "LOC", "score": 0.9, "word": t}] for t in texts]
+
+        return recognise
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["Rome", "bad", " ", None, "Oslo"])], "book_id long, t string").coalesce(1)
+    rows = places.extract_entities(df, "t", load).orderBy("book_id").collect()
+    assert [[e["word"] for e in r["entities"]] for r in rows] == [["Rome"], [], [], [], ["Oslo"]]
+    assert [r["failed"] for r in rows] == [False, True, False, False, False]
