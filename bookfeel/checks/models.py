@@ -98,21 +98,39 @@ _MIXED = " + ".join(
     + [f"CASE WHEN a.{c} <> b.{c} THEN 2 ELSE 0 END" for c in _CAT])
 
 
-@check("m12_knn_mixed", f"""WITH {z_ctes()},
+_OWN = " + ".join(f"{c} ** 2" for c in _NUM)
+
+
+def _near_sql(squared: str, with_categories: bool) -> str:
+    """``ranked(id, rank, neighbour, d)`` over all pairs of books."""
+    cats = f""",
     cats AS (SELECT book_id, {", ".join(f"coalesce({c}, 'unknown') AS {c}" for c in _CAT)} FROM extended),
-    rows AS (SELECT zs.*, cats.* EXCLUDE (book_id) FROM zs JOIN cats USING (book_id)),
-    sizes AS (SELECT book_id, {" + ".join(f"{c} ** 2" for c in _NUM)} AS own, max({" + ".join(f"{c} ** 2" for c in _NUM)}) OVER () AS largest FROM zs),
-    pairs AS (SELECT a.book_id AS id, b.book_id AS neighbour, sqrt({_MIXED}) AS d, round(({_MIXED}) / (1e-9 * (own + largest))) AS key
-              FROM rows a JOIN sizes USING (book_id), rows b WHERE a.book_id <> b.book_id)
-    SELECT id, CAST(rank AS INTEGER) AS rank, neighbour, round(d, 4) AS distance FROM
-      (SELECT *, row_number() OVER (PARTITION BY id ORDER BY key, neighbour) AS rank FROM pairs) WHERE rank <= 10""",
-       ("extended",))
+    rows AS (SELECT zs.*, cats.* EXCLUDE (book_id) FROM zs JOIN cats USING (book_id))"""
+    return f"""WITH {z_ctes()}{cats if with_categories else ", rows AS (SELECT * FROM zs)"},
+    sizes AS (SELECT book_id, {_OWN} AS own, max({_OWN}) OVER () AS largest FROM zs),
+    pairs AS (SELECT a.book_id AS id, b.book_id AS neighbour, sqrt({squared}) AS d, round(({squared}) / (1e-9 * (own + largest))) AS key
+              FROM rows a JOIN sizes USING (book_id), rows b WHERE a.book_id <> b.book_id),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY key, neighbour) AS INTEGER) AS rank FROM pairs)"""
+
+
+_NEAR = " SELECT id, rank, neighbour, round(d, 4) AS distance FROM ranked WHERE rank <= 10"
+
+
+@check("m12_knn_mixed", _near_sql(_MIXED, True) + _NEAR, ("extended",))
 def knn_mixed(spark, sf):
     rows = written(extended(spark, sf), "extended")
     found = neighbours.knn_mixed(rows, _NUM, _CAT, 10)
     return found.select("id", "rank", "neighbour", F.round("score", 4).alias("distance"))
 
 
+@check("m13_knn_compressed_numbers", _near_sql(" + ".join(f"(a.{c} - b.{c}) ** 2" for c in _NUM), False) + _NEAR, ("extended",))
+def knn_compressed_numbers(spark, sf):
+    """As many components as numbers only turn the axes, so distances stay."""
+    rows = written(extended(spark, sf), "extended")
+    found = neighbours.knn_compressed(rows, _NUM, [], 10, len(_NUM))
+    return found.select("id", "rank", "neighbour", F.round("score", 4).alias("distance"))
+
+
 @check("m13_knn_compressed")
 def knn_compressed(spark, sf):
     rows = written(extended(spark, sf), "extended")
@@ -250,6 +268,17 @@ def build_similarity(spark, sf):
     return stored.select("book_id", F.array_join("similar_books", ",").alias("similar_books"))
 
 
+@check("m18_build_similarity_mixed", _near_sql(_MIXED, True) + """
+    SELECT id AS book_id, string_agg(neighbour, ',' ORDER BY rank) AS similar_books FROM ranked WHERE rank <= 10 GROUP BY 1""",
+       ("extended",))
+def build_similarity_mixed(spark, sf):
+    """The lists of the mixed model, stored from features."""
+    rows = written(extended(spark, sf), "extended")
+    stored = neighbours.build_similarity(
+        rows, work_path(spark, "similar"), "mixed", neighbours.knn_mixed, "book_id", numeric=_NUM, categories=_CAT, k=10)
+    return stored.select("book_id", F.array_join("similar_books", ",").alias("similar_books"))
+
+
 @check("m19_similar_books", _PAIRS + """
     SELECT id AS book_id, rank, neighbour, tier FROM ranked, (VALUES ('stored'), ('computed')) AS t(tier)
     WHERE rank <= 10 AND id = 7""")

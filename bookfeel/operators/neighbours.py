@@ -325,9 +325,10 @@ def compressed_vectors(
         {f"_c_{c}": category_text(features, c, "unknown") for c in categories}
     )
     named = [f"_c_{c}" for c in categories]
+    hasher = [FeatureHasher(inputCols=named, outputCol="_hashed", numFeatures=hashed)] if named else []
     steps = Pipeline(stages=[
-        FeatureHasher(inputCols=named, outputCol="_hashed", numFeatures=hashed),
-        VectorAssembler(inputCols=[*[f"z_{c}" for c in numeric], "_hashed"], outputCol="_all"),
+        *hasher,
+        VectorAssembler(inputCols=[*[f"z_{c}" for c in numeric], *["_hashed"] * bool(named)], outputCol="_all"),
         PCA(k=dims, inputCol="_all", outputCol="_few"),
     ])
     return steps.fit(scaled).transform(scaled).select(
