@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from ..cluster import written
 
+PART_ROWS = 500_000  # edges of one partition
+
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (columns ``a``, ``b``; not null), where
     ``root`` is the least node that it reaches.
 
     Each round ties every node to the least neighbour it knows; rounds end when the
-    edges stay the same. Minima are written before the joins, so that a node with very
-    many edges meets them in a join that Spark can split.
+    edges stay the same.
     """
     stars = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
@@ -25,14 +26,15 @@ def components(edges: DataFrame) -> DataFrame:
         if found == known or not found[0]:
             break
         known = found
+        parts = max(1, -(-found[0] // PART_ROWS))  # small tables in few files
         both = stars.union(stars.select("b", "a"))
-        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "edges-least")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                        .where("a <> b").distinct(), "edges-large")
-        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "edges-least")
+                        .where("a <> b").distinct().coalesce(parts), "edges-large")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         stars = written(
             joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m"))
-            .distinct(), "edges")
+            .distinct().coalesce(parts), "edges")
     leaves = stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return leaves.union(leaves.select(F.col("root").alias("node"), "root").distinct())

@@ -13,8 +13,8 @@ the threshold (at the recall asked for) go, the others are verified exactly.
 Texts with the same words are copies and are looked at once. In a bucket every text
 is first verified against the least; those that stay outside that text's class then
 meet every text of the bucket that is in another class, in large buckets block by
-block on their samples. So no pair within a class is listed, and no pair across
-classes is passed over.
+block on their samples. So no pair across classes is passed over, and few within one
+are listed.
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased. A text of
 fewer than five words is one shingle; one without words is the string of its other
@@ -40,8 +40,9 @@ from .pieces import slices
 WORDS = 5
 SAMPLES, BAND = 40, 4
 RARE = 256
-SMALL = 32  # members of a bucket whose pairs are listed
-BLOCK = 256
+SMALL = 16  # members of a bucket whose pairs are listed
+BLOCK = 512  # texts of a family compared at once
+BLOCK_BYTES = 2 << 20  # of texts whose pairs are verified together
 FEW = 1 << 20  # rows of two hashes that may be broadcast; beyond that, a shuffled join
 ODD, MIX, MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 INVERSE = np.uint64(pow(int(ODD), -1, 1 << 64))
@@ -122,8 +123,11 @@ def shingles(hashes: np.ndarray, idf: Idf) -> tuple[np.ndarray, np.ndarray]:
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = np.minimum(a[1][i], b[1][j]).sum()
+    if len(a[0]) and len(b[0]):
+        at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+        both = np.where(b[0][at] == a[0], np.minimum(a[1], b[1][at]), 0).sum()
+    else:
+        both = 0.0
     every = a[1].sum() + b[1].sum() - both
     return float(both / every) if every else 1.0
 
@@ -200,57 +204,111 @@ def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
                        F.xxhash64(body, F.lit(3)).alias("_t_2"))
 
 
+def _texts(members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``_c, text`` for the classes in ``members``."""
+    wanted = written(members.join(classes.select("_c", "_t_1", "_t_2"), "_c"), "wanted-texts")
+    n = wanted.count()
+    chosen = F.broadcast(wanted) if n <= FEW else wanted  # so the texts needn't be shuffled
+    return written(docs.select("_t_1", "_t_2", "_t_text").join(chosen, ["_t_1", "_t_2"]).groupBy("_c")
+                   .agg(F.first("_t_text").alias("text")).coalesce(max(1, -(-n // 2000))), "pair-texts")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, idf: Idf, threshold: float) -> DataFrame:
-    """Of ``a, b`` those with weighted Jaccard at or above ``threshold``."""
+    """Links that connect whatever the pairs ``a, b`` with weighted Jaccard at or above
+    ``threshold`` connect.
+
+    Texts are dealt into blocks of about ``BLOCK_BYTES``, and pairs go by the two blocks
+    of their texts: a text travels once for each block that it has partners in, not for
+    each partner, and its shingles are made once there. Pairs that links found before
+    already connect are passed over.
+    """
     need = agreements(threshold)
-    left = classes.select(F.col("_c").alias("a"), F.col("sample").alias("x"), F.col("_t_1").alias("a1"), F.col("_t_2").alias("a2"))
-    right = left.toDF("b", "y", "b1", "b2")
+    left = classes.select(F.col("_c").alias("a"), F.col("sample").alias("x"))
     agree = F.size(F.filter(F.zip_with("x", "y", lambda p, q: p == q), lambda hit: hit))
-    likely = written(pairs.join(left, "a").join(right, "b").where(agree >= need)
-                     .select("a", "b", "a1", "a2", "b1", "b2"), "text-pairs")
-    wanted = likely.select(F.col("a1").alias("_t_1"), F.col("a2").alias("_t_2")).union(likely.select("b1", "b2")).distinct()
-    wanted = written(wanted, "wanted-texts")
-    if wanted.count() <= FEW:  # so the texts needn't be shuffled
-        wanted = F.broadcast(wanted)
-    texts = written(docs.select("_t_1", "_t_2", "_t_text").join(wanted, ["_t_1", "_t_2"], "left_semi")
-                    .groupBy("_t_1", "_t_2").agg(F.first("_t_text").alias("text")), "pair-texts")
-    both = likely.join(texts.toDF("a1", "a2", "u"), ["a1", "a2"]).join(texts.toDF("b1", "b2", "v"), ["b1", "b2"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "u"):
-            last, known, keep = None, None, []
-            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
-                if u != last:
-                    last, known = u, shingles(words(u), idf)
-                keep.append(similarity(known, shingles(words(v), idf)) >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
-
-    return written(both.select("a", "b", "u", "v").mapInArrow(run, "a bigint, b bigint"), "text-links")
-
-
-def _by_blocks(outside: DataFrame, members: DataFrame, need: int) -> DataFrame:
-    """Pairs of ``outside`` and ``members`` of the same large bucket, in different
-    classes and with ``need`` agreements; blocks of both meet inside tasks."""
-    parts = F.ceil(F.col("n") / BLOCK)
-    block = F.pmod(F.xxhash64("_c", F.lit(9)), parts)
-    packed = F.collect_list(F.struct("_c", "root", "sample"))  # about BLOCK rows
-    rows = members.withColumn("part", block).groupBy("band", "key", "part").agg(packed.alias("right"))
-    few = outside.withColumn("part", block).groupBy("band", "key", "part").agg(packed.alias("left"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for l, r in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                x, y = (np.array([m["sample"] for m in side], np.int64) for side in (l, r))
-                ids, ids_ = (np.array([m["_c"] for m in side], np.int64) for side in (l, r))
-                roots, roots_ = (np.array([m["root"] for m in side], np.int64) for side in (l, r))
-                agree = np.zeros((len(x), len(y)), np.uint8)
-                for k in range(SAMPLES):
-                    agree += x[:, k, None] == y[:, k]
-                i, j = np.nonzero((agree >= need) & (roots[:, None] != roots_))
-                yield pa.RecordBatch.from_arrays([np.minimum(ids[i], ids_[j]), np.maximum(ids[i], ids_[j])], names=["a", "b"])
-
-    return few.drop("part").join(rows.drop("part"), ["band", "key"]).select("left", "right") \
-        .mapInArrow(run, "a bigint, b bigint")
+    likely = written(pairs.join(left, "a").join(left.toDF("b", "y"), "b").where(agree >= need).select("a", "b"), "text-pairs")
+    texts = _texts(likely.select(F.col("a").alias("_c")).union(likely.select("b")).distinct(), classes, docs)
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    block = lambda c: F.pmod(F.xxhash64(c, F.lit(13)), F.lit(max(1, -(-size // BLOCK_BYTES)))).cast("int")
+    dealt = written(likely.select("a", "b", block("a").alias("p"), block("b").alias("q"))
+                    .select("a", "b", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")), "text-pairs-dealt")
+    travels = dealt.select(F.col("p").alias("x"), F.col("q").alias("y"), F.col("a").alias("_c")) \
+        .union(dealt.select("p", "q", "b")).distinct()
+
+    def verify(pairs_: pa.Table, texts_: pa.Table) -> pa.Table:
+        at = {c: i for i, c in enumerate(texts_["_c"].to_pylist())}
+        sets = [shingles(words(x), idf) for x in texts_["text"].to_pylist()]
+        parent, found = list(range(len(sets))), []
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for u, v in zip(pairs_["a"].to_pylist(), pairs_["b"].to_pylist()):
+            i, j = root(at[u]), root(at[v])
+            if i != j and similarity(sets[at[u]], sets[at[v]]) >= threshold:
+                parent[i] = j
+                found.append((u, v))
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    return written(dealt.groupBy("p", "q").cogroup(travels.join(texts, "_c").select("x", "y", "_c", "text").groupBy("x", "y"))
+                   .applyInArrow(verify, "a bigint, b bigint"), "text-links")
+
+
+def _by_families(placed: DataFrame, classes: DataFrame, docs: DataFrame, idf: Idf, threshold: float) -> DataFrame:
+    """Links across classes within large buckets (rows of ``placed``).
+
+    The buckets whose leaders are in one class make up a family; its texts, taken once
+    however many buckets they share, are dealt into blocks, and every block of texts
+    outside the leaders' class meets every block of the family in a task of its own.
+    There pairs with enough agreements are verified, the likeliest first; those that
+    earlier links connect are passed over, and only links leave the task.
+    """
+    need = agreements(threshold)
+    family = placed.select("led", "_c", "root").distinct()
+    sizes = family.groupBy("led").agg(
+        F.ceil(F.count(F.when(F.col("root") != F.col("led"), 1)) / BLOCK).alias("outside"), F.ceil(F.count("*") / BLOCK).alias("all"))
+    family = written(family.join(sizes.where("outside > 0"), "led"), "text-families")
+    texts = _texts(family.select("_c").distinct(), classes, docs)
+    rows = written(family.join(texts.join(classes.select("_c", "sample"), "_c"), "_c"), "family-texts")
+    block = lambda n: F.pmod(F.xxhash64("_c", F.lit(13)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    fields = ["_c", "root", "sample", "text"]
+    dealt = rows.where("root <> led").select("led", block("outside").alias("p"), every("all").alias("q"), F.lit(True).alias("out"), *fields) \
+        .union(rows.select("led", every("outside").alias("p"), block("all").alias("q"), F.lit(False).alias("out"), *fields))
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, roots, out = (table[c].to_numpy() for c in ("_c", "root", "out"))
+        sample = np.array(table["sample"].to_pylist(), np.int32).reshape(-1, SAMPLES)
+        x, y = np.flatnonzero(out), np.flatnonzero(~out)
+        agree = np.zeros((len(x), len(y)), np.uint8)
+        for k in range(SAMPLES):
+            agree += sample[x, k, None] == sample[y, k]
+        i, j = np.nonzero((agree >= need) & (roots[x][:, None] != roots[y]))
+        order = np.argsort(-agree[i, j].astype(int), kind="stable")
+        made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        parent: dict[int, int] = {}
+        found = []
+
+        def top(r: int) -> int:
+            while parent.get(r, r) != r:
+                r = parent[r]
+            return r
+
+        def shingled(k: int) -> tuple[np.ndarray, np.ndarray]:
+            if k not in made:
+                made[k] = shingles(words(table["text"][k].as_py()), idf)
+            return made[k]
+
+        for u, v in zip(x[i[order]].tolist(), y[j[order]].tolist()):
+            a, b = top(int(roots[u])), top(int(roots[v]))
+            if a != b and similarity(shingled(u), shingled(v)) >= threshold:
+                parent[a] = b
+                found.append((int(ids[u]), int(ids[v])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return written(dealt.groupBy("led", "p", "q").applyInArrow(compare, "a bigint, b bigint"), "text-links")
 
 
 def classes_of(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -308,10 +366,8 @@ def classes_of(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", tex
         placed.where((F.col("n") <= SMALL) & (F.col("_c") != F.col("leader")))
         .select("band", "key", F.col("_c").alias("d"), F.col("root").alias("other")), ["band", "key"]) \
         .where("root <> other").select(F.least("_c", "d").alias("a"), F.greatest("_c", "d").alias("b"))
-    wide = classes.select("_c", "sample")
-    large = _by_blocks(outside.where(F.col("n") > SMALL).join(wide, "_c"), placed.where(F.col("n") > SMALL).join(wide, "_c"),
-                       agreements(threshold))
-    more = _verified(small.union(large).distinct(), classes, rows, idf, threshold)
+    more = _verified(small.distinct(), classes, rows, idf, threshold) \
+        .union(_by_families(placed.where(F.col("n") > SMALL), classes, rows, idf, threshold))
     roots = written(components(links.union(more)), "text-roots")
 
     joined = classes.join(roots, F.col("_c") == F.col("node"), "left").select(
