@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import CachedEncoder, MatchMemory, slices
+from .pieces import CachedEncoder, MatchMemory, per_worker, slices
 
 NONE = np.int32(2**31 - 1)
 MOST_ROWS = 1 << 22  # cells of one matrix
@@ -190,6 +190,12 @@ class Bpe:
         return self.bytes[shift + np.arange(len(shift))].tobytes()
 
 
+def _encoder(ranks: bytes, pattern: str) -> tuple[Bpe, CachedEncoder]:
+    bpe = Bpe(read_ranks(ranks))
+    memory = MatchMemory(pattern, bpe.encode)
+    return bpe, CachedEncoder(memory.parts, memory.whole)
+
+
 def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, key: str = "doc_id",
                      text: str = "text", keep: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """Per row: ``key``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and what
@@ -197,9 +203,7 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, key: str = "do
     ``decoded`` (binary, the text that the ids give back)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(read_ranks(ranks))
-        memory = MatchMemory(pattern, bpe.encode)
-        encoder = CachedEncoder(memory.parts, memory.whole)
+        bpe, encoder = per_worker(("ranks", ranks, pattern), lambda: _encoder(ranks, pattern))
         for batch in slices(batches, "_text"):
             ids = encoder.encode(batch.column("_text").to_pylist())
             columns = {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),

@@ -22,7 +22,7 @@ class CachedEncoder:
     """Texts to ids (little-endian unsigned 32-bit integers).
 
     ``parts`` encodes short parts, ``whole`` texts with runs of white space, or that
-    ``odd`` picks. ``limit`` bounds the parts remembered.
+    ``odd`` picks. About ``limit`` parts are remembered.
     """
 
     def __init__(self, parts: Encode, whole: Encode, odd: Callable[[str], bool] = lambda text: False,
@@ -30,19 +30,18 @@ class CachedEncoder:
         self.parts, self.whole, self.odd, self.limit = parts, whole, odd, limit
         self.known: dict[str, bytes | None] = {}  # None: it has white space at an end, or is empty
 
-    def _learn(self, wanted: set[str]) -> None:
+    def _learn(self, wanted: set[str]) -> set[str]:
         fresh = wanted - self.known.keys()
-        if len(self.known) + len(fresh) > self.limit:  # the memory starts anew with this group
-            self.known.clear()
-            fresh = wanted
         plain = [x for x in fresh if x and x.strip() == x]
         self.known.update(zip(plain, self.parts([" " + x for x in plain])))
         if len(plain) < len(fresh):
             self.known.update(dict.fromkeys(fresh.difference(plain)))
+        return fresh
 
     def _group(self, texts: list[str]) -> list[bytes]:
         cut = [x.split(" ") if x else [] for x in texts]
-        self._learn({x for parts in cut for x in parts[1:]})
+        full = len(self.known) >= self.limit
+        passing = self._learn({x for parts in cut for x in parts[1:]})
         heads = list({parts[0] for parts in cut if parts})
         first = dict(zip(heads, self.parts(heads)))
         out: list[bytes | None] = []
@@ -57,6 +56,9 @@ class CachedEncoder:
                     out.append(first[parts[0]] + b"".join(map(get, parts[1:])))
             except TypeError:  # a part known as None
                 out.append(None)
+        if full:  # what was learnt early is frequent and stays, the rest lasts a group
+            for x in passing:
+                del self.known[x]
         slow = [i for i, x in enumerate(out) if x is None]
         for i, ids in zip(slow, self.whole([texts[i] for i in slow])):
             out[i] = ids
@@ -66,6 +68,17 @@ class CachedEncoder:
         return [x for at in range(0, len(texts), GROUP) for x in self._group(texts[at:at + GROUP])]
 
 
+_kept: dict = {}
+
+
+def per_worker(key, make: Callable):
+    """What ``make`` gives, such as an encoder that earlier tasks of this Python process have warmed up."""
+    if key not in _kept:
+        _kept.clear()  # one at a time bounds the memory
+        _kept[key] = make()
+    return _kept[key]
+
+
 class MatchMemory:
     """Encodes texts match by match of a pattern; ``encode`` gets the unseen matches."""
 
@@ -73,19 +86,23 @@ class MatchMemory:
         self.split, self.fresh, self.limit = regex.compile(pattern), encode, limit
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, matches: list[str]) -> None:
-        unseen = set(matches) - self.known.keys()
-        if len(self.known) + len(unseen) > self.limit:
-            self.known.clear()
-            unseen = set(matches)
-        texts = list(unseen)
+    def _learn(self, matches: list[str]) -> list[str]:
+        """What is to be forgotten after use."""
+        texts, full = list(set(matches) - self.known.keys()), len(self.known) >= self.limit
         self.known.update(zip(texts, self.fresh(texts)))
+        return texts if full else []
+
+    def _forget(self, passing: list[str]) -> None:
+        for x in passing:
+            del self.known[x]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         matches = [self.split.findall(x) for x in texts]
-        self._learn([m for x in matches for m in x])
+        passing = self._learn([m for x in matches for m in x])
         get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in matches]
+        out = [b"".join(map(get, x)) for x in matches]
+        self._forget(passing)
+        return out
 
     def parts(self, parts: list[str]) -> list[bytes]:
         """Like ``whole`` for parts that hold a space at their start only: they are split
@@ -93,8 +110,9 @@ class MatchMemory:
         if not parts or parts[0][:1] != " ":
             return self.whole(parts)
         matches = self.split.findall("".join(parts))
-        self._learn(matches)
+        passing = self._learn(matches)
         ids = list(map(self.known.__getitem__, matches))
+        self._forget(passing)
         ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
         begins = np.flatnonzero(np.fromiter((m[0] == " " for m in matches), bool, len(matches)))
         edges = [*np.concatenate([[0], ends])[begins].tolist(), int(ends[-1])]

@@ -25,12 +25,9 @@ def vocabulary(name: str) -> bytes:
 @register("op1_token_store")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document written in Huffman-coded blocks and read back."""
-    import public_tokenizers
-
     path = work_path(spark, "token-store")
     token_store.write_store(
-        table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json").decode(), public_tokenizers.PATTERN,
-        path, end_id=0)
+        table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json").decode(), path, end_id=0)
     return token_store.read_store(spark, path, keep_ids=False)
 
 
@@ -120,7 +117,16 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("score") >= QUALITY_BAR).cast("int").alias("predicted"))
 
 
-@register("op10_near_vectors")
+@register("op10_near_vectors", """
+    WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    sound AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND list_dot_product(e, e) > 0),
+    pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sound a, sound b
+              WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95::DOUBLE),
+    reach(a, r) AS (SELECT vec_id, vec_id FROM v UNION SELECT p.a, reach.r FROM reach JOIN pairs p ON p.b = reach.a),
+    least AS (SELECT a, min(r) AS r FROM reach GROUP BY 1),
+    links AS (SELECT a, count(*) AS n FROM pairs GROUP BY 1)
+    SELECT vec_id, coalesce(n, 0) AS n_links, r AS component_id, vec_id = r AS kept
+    FROM v JOIN least ON least.a = vec_id LEFT JOIN links ON links.a = vec_id""")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Links and components of all vectors at cosine 0.95."""
     return near_vectors.near_vectors(table(spark, folder, "embeddings"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..cluster import written
-from .pieces import CachedEncoder, MatchMemory, slices
+from .pieces import CachedEncoder, per_worker, slices
 
 STEP = 256  # ids between checkpoints
 BLOCK = 1 << 18  # ids after which a block ends with its document
@@ -98,9 +98,9 @@ class Codebook:
         return out.T.ravel()[:n]
 
 
-def _library_encoder(tokenizer: str, pattern: str | None) -> CachedEncoder:
-    """The tokenizers library behind memories of parts and matches. ``tokenizer``: its
-    JSON; ``pattern``: what it splits texts by before merging."""
+def _library_encoder(tokenizer: str) -> CachedEncoder:
+    """The tokenizers library, of a byte-level tokenizer, behind the memory of parts.
+    ``tokenizer``: its JSON."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -112,31 +112,23 @@ def _library_encoder(tokenizer: str, pattern: str | None) -> CachedEncoder:
     def whole(texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def matches(texts: list[str]) -> list[bytes]:
-        out = [b""] * len(texts)
-        spaced = [i for i, x in enumerate(texts) if x[0] == " " and not x.isspace()]
-        for at in range(0, len(spaced), 4096):  # joined: the ids that open with a space start the matches
-            group = spaced[at:at + 4096]
-            ids = np.frombuffer(whole(["".join(texts[i] for i in group)])[0], "<u4")
+    def parts(texts: list[str]) -> list[bytes]:
+        if not texts or texts[0][:1] != " ":
+            return whole(texts)
+        out = []
+        for at in range(0, len(texts), 4096):  # joined: the ids that open with a space start the parts
+            ids = np.frombuffer(whole(["".join(texts[at:at + 4096])])[0], "<u4")
             edges = [*(4 * np.flatnonzero(opens[ids])).tolist(), 4 * len(ids)]
             flat = ids.tobytes()
-            for i, a, b in zip(group, edges, edges[1:]):
-                out[i] = flat[a:b]
-        alone = [i for i, x in enumerate(texts) if x[0] != " " or x.isspace()]
-        for i, ids in zip(alone, whole([texts[i] for i in alone])):
-            out[i] = ids
+            out += [flat[a:b] for a, b in zip(edges, edges[1:])]
         return out
 
-    if pattern is None:
-        return CachedEncoder(whole, whole, lambda text: True)
-    memory = MatchMemory(pattern, matches)
-    return CachedEncoder(memory.parts, whole, lambda text: any(x in text for x in special))
+    return CachedEncoder(parts, whole, lambda text: any(x in text for x in special))
 
 
-def write_store(docs: DataFrame, tokenizer: str, pattern: str | None, path: str, end_id: int | None = 0, key: str = "doc_id",
+def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 0, key: str = "doc_id",
                 text: str = "text", limit: int = 16) -> None:
     """Encode every text and write the store at ``path``, documents in order of ``key``.
-    ``pattern`` is the split of a byte-level tokenizer; None leaves texts to the library.
 
     Encoded ids are written once; the counts come with them, one sparse list per
     task. What the driver holds is bounded by the vocabulary and the part count.
@@ -150,7 +142,8 @@ def write_store(docs: DataFrame, tokenizer: str, pattern: str | None, path: str,
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, counts, keys = _library_encoder(tokenizer, pattern), np.zeros(size, np.int64), None
+        encoder = per_worker(("library", tokenizer), lambda: _library_encoder(tokenizer))
+        counts, keys = np.zeros(size, np.int64), None
         for batch in slices(batches, "_text"):
             ids = [np.frombuffer(x + end, "<u4") for x in encoder.encode(batch.column("_text").to_pylist())]
             counts += np.bincount(np.concatenate(ids), minlength=size)

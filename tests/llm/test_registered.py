@@ -21,6 +21,14 @@ def test_every_row_comes_back(spark, name):
     assert sorted(r[0] for r in df.select(key).collect()) == sorted(r[0] for r in table.select(key).collect())
 
 
+def test_vectors_against_sql(spark):
+    from compare import duck
+
+    rows = entry.queries()["op10_near_vectors"](spark, SMALL).collect()
+    found = duck(SMALL).execute(entry.oracle_sql()["op10_near_vectors"]).fetchall()
+    assert sorted(map(tuple, rows)) == sorted(found)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     ids = {r["doc_id"] for r in docs.collect()}

@@ -45,7 +45,8 @@ def test_merges_equal_the_library():
     memory = MatchMemory(P.PATTERN, model.encode)
     lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
     texts = odd_texts()
-    for encoder in (CachedEncoder(memory.parts, memory.whole), CachedEncoder(memory.parts, memory.whole, limit=5)):
+    small = MatchMemory(P.PATTERN, model.encode, limit=5)
+    for encoder in (CachedEncoder(memory.parts, memory.whole), CachedEncoder(small.parts, small.whole, limit=5)):
         ids = encoder.encode(texts)
         assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [lib.encode_ordinary(x) for x in texts]
     assert [model.decode(np.frombuffer(x, "<u4")).decode() for x in ids] == texts
@@ -95,7 +96,7 @@ def test_token_store(spark, tmp_path, monkeypatch):
     texts = odd_texts()[-60:] + ["a<|endoftext|>b"]
     lib = Tokenizer.from_str(JSON)
     table = docs(spark, texts)
-    token_store.write_store(table, JSON, P.PATTERN, str(tmp_path / "s"), end_id=0)
+    token_store.write_store(table, JSON, str(tmp_path / "s"), end_id=0)
     rows = token_store.read_store(spark, str(tmp_path / "s")).orderBy("start").collect()
     assert [r["doc_id"] for r in rows] == [None, 0, 0, *range(1, len(texts))]
     start = 0
@@ -104,7 +105,7 @@ def test_token_store(spark, tmp_path, monkeypatch):
         assert np.frombuffer(r["ids"], "<u4").tolist() == ids
         assert (r["start"], r["n_tokens"]) == (start, len(ids)) and r["ids_crc32"] == zlib.crc32(r["ids"])
         start += len(ids)
-    token_store.write_store(empty(spark), JSON, P.PATTERN, str(tmp_path / "e"))
+    token_store.write_store(empty(spark), JSON, str(tmp_path / "e"))
     assert token_store.read_store(spark, str(tmp_path / "e")).count() == 0
 
 
