@@ -6,8 +6,8 @@ by their host. Trust is personalised PageRank from the hosts of allowed pages al
 links; distrust is the same from the hosts of blocked pages against the links (who
 links to a bad host is suspect). Edges are the links between hosts, a relative link
 being one to the own host, and one from each host to its parent domain and back, so that
-a domain's hosts share their name. A host is blocked where its distrust exceeds its trust
-by the factor ``margin`` and is above ``floor``, a share of what a seed host has on average.
+a domain's hosts share their name. A host is blocked where it has distrust and that
+exceeds ``margin`` times its trust, however many hosts share a seed's distrust.
 
 A null url, or one without ``://``, has an empty host and path; an empty host has no
 links. Seeds weigh by their pages. Null pages count as pages without links. Everything
@@ -90,7 +90,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id",),
-          margin: float = 1.0, floor: float = 0.01) -> DataFrame:
+          margin: float = 1.0) -> DataFrame:
     """``keep`` columns, ``host``, ``path``, ``rule``, ``verdict``, and the host's
     ``trust`` and ``distrust``."""
     host, path = host_of(F.col(url)), path_of(F.col(url))
@@ -103,9 +103,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
     good, bad = counts.agg(F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
     seeds = counts.select("host", (F.col("good") / max(1, good)).alias("good"), (F.col("bad") / max(1, bad)).alias("bad"))
     edges = written(host_edges(pages.select(host.alias("_h_host"), F.col(html).alias("_h_html"))), "host-edges")
-    n_bad = counts.where("bad > 0").count()
     ranks = propagate(edges, seeds)
-    doubted = (F.col("distrust") > margin * F.col("trust")) & (F.col("distrust") > floor / max(1, n_bad) * (1 - DAMPING))
+    doubted = (F.col("distrust") > margin * F.col("trust")) & (F.col("distrust") > 0)
     hosts = written(ranks.join(counts.select("host"), "host", "left_semi").select(
         "host", "trust", "distrust", F.when(doubted, "block").otherwise("allow").alias("judged")), "host-verdicts")
     return rows.join(hosts, F.col("_h_host") == F.col("host"), "left").select(

@@ -272,6 +272,18 @@ def test_urls(spark):
     assert host_trust.judge(table.limit(0), URL_RULES).count() == 0
 
 
+def test_many_hosts_share_a_seeds_distrust(spark):
+    own = '<a href="/own">z</a>' * 1000  # the seed's own links take a share too
+    pages = [(-1, "http://bad.net/es/1", own), (-2, "http://good.com/", '<a href="http://seen.org/">s</a>'), (-3, "http://far.org/", None)]
+    pages += [(i, f"http://h{i}.org/", '<a href="http://bad.net/">x</a>') for i in range(300)]
+    # Trusted and with one link of many to the blocked host.
+    pages += [(1000, "http://seen.org/", '<a href="http://bad.net/">x</a>')]
+    found = host_trust.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES).collect()
+    verdict = {r["page_id"]: r["verdict"] for r in found}
+    assert {verdict[i] for i in range(300)} == {"block"} and verdict[-1] == "block"
+    assert verdict[-2] == verdict[-3] == verdict[1000] == "allow"
+
+
 def test_propagation_equals_power_iteration(spark):
     draw = np.random.default_rng(2)
     edges = sorted({(int(a), int(b)) for a, b in draw.integers(0, 12, (40, 2))})
