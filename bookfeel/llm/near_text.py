@@ -16,9 +16,11 @@ meet every text of the bucket that is in another class, in large buckets block b
 block on their samples. So no pair across classes is passed over, and few within one
 are listed.
 
-Words are runs of letters, digits and non-ASCII characters, lower-cased. A text of
-fewer than five words is one shingle; one without words is the string of its other
-characters. Null and empty texts are copies of each other. Rows are told apart by key
+Words are runs of letters and digits of any script, lower-cased; marks, joiners and other
+invisible format characters go with what they follow, all other characters (punctuation,
+spaces, symbols) are outside. In scripts written without spaces (``SPACELESS``) every
+letter is a word. A text of fewer than five words is one shingle; in one without words
+each of its other characters counts as a word. Null and empty texts are copies of each other. Rows are told apart by key
 and text: ``near_texts`` marks repeated ones alike, ``deduplicated`` keeps one of them
 and all columns.
 """
@@ -26,7 +28,10 @@ and all columns.
 from __future__ import annotations
 
 import math
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +60,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = _mixed(np.arange(1, 257, dtype=np.uint64))
-_IN_WORD = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
+_IN_WORD = np.array([chr(i).isalnum() for i in range(128)])
+OUTSIDE, LETTER, SINGLE, MARK = range(4)
+# First and last code points of scripts written without spaces between words.
+SPACELESS = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF),  # Thai, Lao, Myanmar, Khmer, Tai
+    (0x1B00, 0x1B7F), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0x11700, 0x1174F),  # Balinese, Javanese, Myanmar, Tai Viet, Ahom
+    (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3038, 0x303C), (0x3040, 0x312F), (0x31A0, 0x31FF),  # radicals, kana, bopomofo
+    (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F),  # Han, Yi, half-width kana
+    (0x12000, 0x1467F), (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFF),  # cuneiform, hieroglyphs, Tangut, kana, Nushu, Han
+)
 _SEEDS = _mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64) * ODD)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -69,18 +83,54 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+@cache
+def _classes() -> np.ndarray:
+    """Class of every code point; made once in a process that meets other than ASCII."""
+    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    for i in range(sys.maxunicode + 1):
+        kind = unicodedata.category(chr(i))
+        if kind[0] in "LN":
+            out[i] = LETTER
+        elif kind[0] == "M" or kind == "Cf" and i != 0x200B:  # the zero width space does divide words
+            out[i] = MARK
+    for first, last in SPACELESS:
+        part = out[first:last + 1]
+        part[part == LETTER] = SINGLE
+        for i in range(first, last + 1):  # digits are written together in these scripts too
+            if unicodedata.category(chr(i)) == "Nd":
+                out[i] = LETTER
+    return out
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def words(text: str | None) -> np.ndarray:
     """A 64-bit hash of each word."""
-    b = np.frombuffer((text or "").lower().encode(), np.uint8)
-    inside = _IN_WORD[b]
+    text = (text or "").lower()
+    if text.isascii():
+        b = np.frombuffer(text.encode(), np.uint8)
+        inside = _IN_WORD[b]
+        first = np.diff(inside, prepend=False) & inside
+    else:
+        b = _codes(text)
+        kind = _classes()[b]
+        base = kind
+        if (kind == MARK).any():  # a mark is of the class of what it follows
+            base = kind[np.maximum.accumulate(np.where(kind == MARK, 0, np.arange(len(kind))))]
+        letter = base == LETTER
+        inside = letter | (base == SINGLE)
+        first = (kind == SINGLE) | (np.diff(letter, prepend=False) & letter)
     if not inside.any():
-        b = np.frombuffer("".join((text or "").split()).encode(), np.uint8)
-        inside = np.ones(len(b), bool)
+        b = _codes("".join(text.split()))
+        inside = first = np.ones(len(b), bool)
         if not len(b):
             return np.empty(0, np.uint64)
-    starts = np.flatnonzero(np.diff(inside, prepend=False) & inside)
+    starts = np.flatnonzero(first)
     up, down = _power(len(b))
-    return _mixed(np.add.reduceat(np.where(inside, _BYTE[b], 0) * up[:len(b)], starts) * down[starts])
+    each = _BYTE[b] if b.dtype == np.uint8 else _mixed(b.astype(np.uint64) + np.uint64(1))
+    return _mixed(np.add.reduceat(np.where(inside, each, 0) * up[:len(b)], starts) * down[starts])
 
 
 def identity(hashes: np.ndarray) -> tuple[int, int]:

@@ -255,6 +255,33 @@ def test_near_texts_against_all_pairs(spark):
     assert near_text.near_texts(empty(spark)).count() == 0 and near_text.deduplicated(empty(spark)).count() == 0
 
 
+def test_words_of_all_scripts():
+    same = lambda a, b: near_text.words(a).tolist() == near_text.words(b).tolist()
+    count = lambda x: len(near_text.words(x))
+    assert same("it's \"so\" - a b, c", "it\u2019s \u201cso\u201d\u2014a\u00a0b\u3001c\u3000") and count("it's") == 2
+    assert same("Ünï tëxt", "ünï…TËXT") and count("привет, мир") == 2 and count("हिन्दी में") == 2 and count("cafe\u0301 x") == 2
+    assert count("今天天气很好。") == 6 and count("カタカナ、ひらがな") == 8 and count("ราคา 120 บาท") == 8 and count("한국어 텍스트") == 2
+    assert same("a漢b2", "a 漢 b2") and same("漢\ufe0fab 3", "漢\ufe0f ab 3") and count("می\u200cخواهم") == 1 and count("a\u200bb") == 2
+    assert count("——😀 😀") == 4 and count("！！！") == 3 and count("\u3000\xa0") == 0 and count("a❤️b") == 2
+    assert near_text.words("plain Words a_b").tolist() == near_text.words("plain Words a_b é").tolist()[:4]
+
+
+def test_near_texts_of_other_scripts(spark):
+    draw = random.Random(5)
+    texts = []
+    for letters, stop in (("".join(map(chr, range(0x4E00, 0x4F00))), "，"), ("กขคงจฉชซฌญดตถทธนบปผพ", " "),
+                          ("あいうえおかきくけこさしすせそ", "。"), (None, "\u2014"), (None, "\u00a0")):
+        token = (lambda: "".join(draw.choices(letters, k=8))) if letters else (lambda: "".join(draw.choices("abcdefgh", k=5)))
+        w = [token() for _ in range(100)]
+        other = [token() for _ in range(100)]
+        edited = list(w)
+        edited[50] = token()
+        texts += [stop.join(w), stop.join(edited), stop.join(other)]
+    rows = {r["doc_id"]: r["class_id"] for r in near_text.near_texts(spark.createDataFrame(
+        list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert rows == {i: i - (i % 3 == 1) for i in range(len(texts))}
+
+
 def test_large_buckets_go_block_by_block(spark, monkeypatch):
     monkeypatch.setattr(near_text, "SMALL", 2)
     monkeypatch.setattr(near_text, "BLOCK", 16)
