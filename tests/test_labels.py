@@ -102,3 +102,20 @@ def test_recogniser_falls_back_to_single_texts(spark):
     rows = places.extract_entities(df, "t", load).orderBy("book_id").collect()
     assert [[e["word"] for e in r["entities"]] for r in rows] == [["Rome"], [], [], [], ["Oslo"]]
     assert [r["failed"] for r in rows] == [False, True, False, False, False]
+
+
+def test_place_names_of_many_words(spark):
+    names = spark.createDataFrame(
+        [("United States",), ("United States of America",), ("Saint Vincent and the Grenadines",), ("America",), ("(Congo)",), ("...",), (None,)],
+        "name string")
+    texts = spark.createDataFrame(
+        [(1, "From Saint Vincent and the Grenadines to the united states of America."), (2, "United States or America; Congo"), (3, "of the"), (4, None)],
+        "book_id long, t string")
+
+    def found(n):
+        return {r["book_id"]: [e["word"] for e in r["entities"]]
+                for r in places.known_place_entities(texts, "t", n).collect()}
+
+    assert found(names) == {1: ["Saint Vincent and the Grenadines", "united states of America"],
+                            2: ["United States", "America", "Congo"], 3: [], 4: []}
+    assert found(names.limit(0)) == {1: [], 2: [], 3: [], 4: []}
