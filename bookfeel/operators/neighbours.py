@@ -310,13 +310,33 @@ def knn_mixed(
     return knn_exact(rows, k, "euclidean", codes="codes", asking=asking)
 
 
+def projected_categories(df: DataFrame, columns: list[str], output: str, dims: int = 512, spread: int = 16) -> DataFrame:
+    """``df`` with the one-hot slots of text ``columns`` under a sparse random projection.
+
+    Each value has ``spread`` of the ``dims`` slots, drawn by a hash of column, value and
+    number, with weight ``1 / sqrt(spread)``. No two values share all of theirs, so their
+    squared distance stays near the 2 of one-hot slots, however many values there are; that
+    of whole rows is off by about ``sqrt(2 / dims)`` of itself.
+    """
+    from pyspark.ml.feature import ElementwiseProduct, HashingTF
+    from pyspark.ml.linalg import Vectors
+
+    numbers = F.sequence(F.lit(0), F.lit(spread - 1))
+    slots = lambda c: F.transform(
+        numbers, lambda i: F.concat(F.lit(f"{c}\x1f"), F.col(c), F.lit("\x1f"), i.cast("string")))
+    placed = df.withColumn("_slots", F.flatten(F.array(*[slots(c) for c in columns])))
+    counted = HashingTF(inputCol="_slots", outputCol="_counts", numFeatures=dims).transform(placed)
+    weight = Vectors.dense([spread**-0.5] * dims)
+    return ElementwiseProduct(scalingVec=weight, inputCol="_counts", outputCol=output).transform(counted).drop("_slots", "_counts")
+
+
 def compressed_vectors(
     features: DataFrame, numeric: list[str], categories: list[str], dims: int = 32, hashed: int = 512
 ) -> DataFrame:
-    """Numbers and hashed categories reduced by principal components. Hashing
+    """Numbers and projected categories reduced by principal components. The projection
     keeps the covariance matrix of bounded size whatever the categories hold."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import PCA, FeatureHasher, VectorAssembler
+    from pyspark.ml.feature import PCA, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     from .scaling import apply_numeric, category_text, fit_numeric
@@ -325,9 +345,9 @@ def compressed_vectors(
         {f"_c_{c}": category_text(features, c, "unknown") for c in categories}
     )
     named = [f"_c_{c}" for c in categories]
-    hasher = [FeatureHasher(inputCols=named, outputCol="_hashed", numFeatures=hashed)] if named else []
+    if named:
+        scaled = projected_categories(scaled, named, "_hashed", hashed)
     steps = Pipeline(stages=[
-        *hasher,
         VectorAssembler(inputCols=[*[f"z_{c}" for c in numeric], *["_hashed"] * bool(named)], outputCol="_all"),
         PCA(k=dims, inputCol="_all", outputCol="_few"),
     ])

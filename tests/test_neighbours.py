@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bookfeel.cluster import work_path
 from bookfeel.operators import neighbours as nb
@@ -186,3 +187,22 @@ def test_ngrams(spark):
     df = spark.createDataFrame([("The cat, a big cat",), ("one",), ("",)], "t string")
     assert [r[0] for r in df.select(topics.ngrams(F.col("t"), 2)).collect()] == [["the cat", "cat big", "big cat"], [], []]
     assert [r[0] for r in df.select(topics.ngrams(F.col("t"))).collect()] == [["the", "cat", "big", "cat"], ["one"], [""][:0]]
+
+
+def test_categories_beyond_the_slots_stay_apart(spark):
+    rows = [(i, f"author{i // 2}", f"shelf{i % 7}", 1.0) for i in range(3000)]  # 1,500 authors, two books each
+    df = spark.createDataFrame(rows, "book_id long, author string, shelf string, pages double")
+    found = nb.projected_categories(df, ["author", "shelf"], "v").orderBy("book_id").collect()
+    v = np.array([r["v"].toArray() for r in found])
+    got = (v * v).sum(1)[:, None] + (v * v).sum(1) - 2 * v @ v.T
+    author, shelf = np.arange(3000) // 2, np.arange(3000) % 7
+    true = 2.0 * (author[:, None] != author) + 2.0 * (shelf[:, None] != shelf)
+    rest = ~np.eye(3000, dtype=bool)
+    assert np.abs(got[true == 0]).max() < 1e-9
+    assert got[(true > 0) & rest].min() > 0.8
+    assert np.abs(got - true)[true > 0].mean() < 0.1 * 4
+    # The other book of the author is the nearest, and no stranger is as near.
+    near = nb.knn_compressed(df, ["pages"], ["author"], 2).collect()
+    one = {r["id"]: r for r in near if r["rank"] == 1}
+    two = {r["id"]: r for r in near if r["rank"] == 2}
+    assert all(one[i]["neighbour"] == i ^ 1 for i in range(3000)) and min(r["score"] for r in two.values()) > 1e-3
