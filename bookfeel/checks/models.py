@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..cluster import work_path, written
+from ..functions import text as tx
 from ..operators import joins, neighbours, scaling, topics
 from ..schemas import CATEGORY_FEATURES, NUMERIC_FEATURES
 from ..sources import driver_tables as d
@@ -383,7 +384,10 @@ def tfidf(spark, sf):
 
 
 def low_rated(spark, sf):
-    return d.labelled_texts(spark, sf).filter("target = 0").select("id", "text")
+    """Low-rated texts, normalised."""
+    low = d.labelled_texts(spark, sf).filter("target = 0")
+    # Read by every pass of the fit, normalised once.
+    return written(low.select("id", tx.normalize_text_full(F.col("text")).alias("text")), "normalised")
 
 
 # What must hold of any fit: every text has shares that sum to one, every topic its ten
@@ -401,6 +405,13 @@ def topic_mixtures(spark, sf):
     return mixtures.select("id", F.size("mixture").cast("long").alias("topics"), F.round(shares, 6).alias("shares"))
 
 
+@check("m20_topic_mixtures")
+def topic_shares(spark, sf):
+    """The shares themselves, which SQL can't fit."""
+    mixtures, _ = topics.topics(low_rated(spark, sf))
+    return mixtures.select("id", *[F.get("mixture", i).alias(f"topic_{i}") for i in range(3)])
+
+
 @check("t05_top_words", _LOW + """
     SELECT CAST(t.topic AS INTEGER) AS topic, CAST(r.rank AS INTEGER) AS rank, CAST(1 AS INTEGER) AS known
     FROM range(3) t(topic), range(1, 11) r(rank) WHERE r.rank <= (SELECT count(*) FROM kept)""", ("labelled",))
@@ -414,6 +425,16 @@ def top_words(spark, sf):
     return found.join(known, "term", "left").select("topic", "rank", F.coalesce("known", F.lit(0)).alias("known"))
 
 
+@check("t05_top_terms")
+def top_terms(spark, sf):
+    """The words themselves and their weights, which SQL can't fit. Where the texts have
+    no vocabulary, a topic has one row without a word."""
+    found = topics.top_words(topics.topics(low_rated(spark, sf))[1], 10)
+    if found is None:
+        return spark.createDataFrame([(t, None, None, None) for t in range(3)], "topic int, rank int, term string, weight double")
+    return found
+
+
 @check("m24_train_or_load", f"""
     SELECT book_id, round((coalesce({_double("num_pages")}, m) - m) / s, 5) + 0.0 AS z_num_pages FROM extended,
       (SELECT avg(coalesce({_double("num_pages")}, m)) AS m2, any_value(m) AS m, stddev_pop(coalesce({_double("num_pages")}, m)) AS s

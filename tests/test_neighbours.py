@@ -1,7 +1,11 @@
 """Exact search against brute force, approximate search by recall."""
 
+import re
+
 import numpy as np
 import pytest
+from conftest import SMALL
+from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
 from bookfeel.cluster import work_path
@@ -206,3 +210,30 @@ def test_categories_beyond_the_slots_stay_apart(spark):
     one = {r["id"]: r for r in near if r["rank"] == 1}
     two = {r["id"]: r for r in near if r["rank"] == 2}
     assert all(one[i]["neighbour"] == i ^ 1 for i in range(3000)) and min(r["score"] for r in two.values()) > 1e-3
+
+
+def test_topics_are_fitted_on_normalised_texts(spark, monkeypatch):
+    from bookfeel.checks import models
+    from bookfeel.functions import text as tx
+
+    animals, ships = "The %d cats, were chasing happy children!", "An %d old ship - sank under the northern stars."
+    rows = [(i, " ".join([animals if i % 2 else ships] * (1 + i % 3)) % ((i,) * (1 + i % 3)), int(i > 23)) for i in range(30)]
+    table = spark.createDataFrame([*rows, (30, None, 0), (31, "7, 8!", 0)], "id long, text string, target int")
+    monkeypatch.setattr(models.d, "labelled_texts", lambda spark, sf: table)
+    low = table.filter("target = 0")
+    want = {r[0]: r[1] for r in low.select("id", tx.normalize_text_full(F.col("text"))).collect()}
+    assert {r["id"]: r["text"] for r in models.low_rated(spark, SMALL).collect()} == want
+    shares = models.topic_shares(spark, SMALL).collect()
+    assert sorted(r["id"] for r in shares) == sorted(want)
+    for r in shares:
+        assert r["id"] >= 30 or min(r[1:]) >= 0 and sum(r[1:]) == pytest.approx(1)
+    held = {i: w for i, w in ((i, (x or "").split()) for i, x in want.items())}
+    known = {" ".join(w[k:k + 3]) for w in held.values() for k in range(len(w) - 2)}
+    terms = models.top_terms(spark, SMALL).collect()
+    for t in range(3):
+        mine = sorted((r for r in terms if r["topic"] == t), key=lambda r: r["rank"])
+        weights = [r["weight"] for r in mine]
+        assert [r["rank"] for r in mine] == list(range(1, len(mine) + 1)) and {r["term"] for r in mine} <= known
+        assert 5 < len(mine) <= 10
+        assert weights == sorted(weights, reverse=True) and min(weights) > 0
+    assert not any(re.search(r"[0-9]|\b(the|an)\b", r["term"]) for r in terms)
