@@ -52,6 +52,13 @@ def test_merges_equal_the_library():
     assert [model.decode(np.frombuffer(x, "<u4")).decode() for x in ids] == texts
 
 
+def test_long_matches_merge_alike_both_ways():
+    ranks = bpe.read_ranks(RANKS)
+    rows = ["a" * 700, "ab" * 300, "the" * 100 + "x", "\n" * 513, "abcdefgh" * 60, "aab" * 200]
+    assert all(len(x) > bpe.Bpe(ranks).long for x in rows)
+    assert list(bpe.Bpe(ranks).encode(rows)) == list(bpe.Bpe(ranks, long=1024).encode(rows))
+
+
 def test_encoded_documents(spark):
     texts = odd_texts()[:60]
     rows = bpe.encode_documents(docs(spark, texts), RANKS, P.PATTERN).collect()
