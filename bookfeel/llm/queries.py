@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import work_path
-from . import bpe, fingerprints, host_trust, html_text, mixing, near_text, near_vectors, quality, sharding, token_store
+from . import bpe, fingerprints, host_trust, html_text, mixing, near_text, near_vectors, quality, sharding, token_store, turn_repair
 from .registry import register
 
 
@@ -130,3 +130,23 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Links and components of all vectors at cosine 0.95."""
     return near_vectors.near_vectors(table(spark, folder, "embeddings"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The turns after the query's damage, with ``copies`` and ``gone``."""
+    def plain(name):
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    damage = F.crc32(F.concat(plain("conv_id"), F.lit(":"), plain("turn"))) % 20
+    text = F.when(damage == 1, "").when(damage == 2, F.regexp_replace(plain("text"), "[.!?]", "")).otherwise(plain("text"))
+    return conversations.select(
+        "conv_id", "turn", F.when(damage == 4, "user").otherwise(plain("role")).alias("role"), text.alias("text"),
+        F.when(damage == 3, 2).otherwise(1).alias("copies"), (damage == 0).alias("gone"))
+
+
+@register("op11_turn_repair")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Cheapest repair of every damaged conversation."""
+    repair = turn_repair.Repair(
+        damaged(table(spark, folder, "conversations")), copies=F.col("copies"), gone=F.col("gone"))
+    return repair.digests().withColumnRenamed("conv", "conv_id")
