@@ -90,11 +90,10 @@ def plan_bytes(df: DataFrame) -> int:
 
 def broadcast_limit(spark: SparkSession) -> int:
     """Bytes below which Spark itself broadcasts a join side; 0 when switched off."""
-    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").lower()
-    for suffix, factor in (("kb", 1 << 10), ("mb", 1 << 20), ("gb", 1 << 30), ("b", 1)):
-        if text.endswith(suffix):
-            return max(0, int(text[: -len(suffix)]) * factor)
-    return max(0, int(text))
+    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").strip().lower()
+    digits = text.rstrip("kmgtpb")
+    unit = text[len(digits):].rstrip("b")  # k and kb are one unit
+    return max(0, int(digits) << (10 * " kmgtp".index(unit or " ")))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
