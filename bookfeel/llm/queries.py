@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import work_path
-from . import bpe, fingerprints, host_trust, html_text, mixing, near_text, near_vectors, quality, sharding, token_store, turn_repair
+from . import bpe, fingerprints, host_trust, html_text, mixing, near_text, near_vectors, quality, sharding, token_store, turn_repair, word_variants
 from .registry import register
 
 
@@ -150,3 +150,27 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     repair = turn_repair.Repair(
         damaged(table(spark, folder, "conversations")), copies=F.col("copies"), gone=F.col("gone"))
     return repair.digests().withColumnRenamed("conv", "conv_id")
+
+
+RUN = "[a-zÀ-ÿ]+"
+CAPITALS, SMALL_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def misspelt_words(docs: DataFrame, least: int = 3, length: int = 5) -> DataFrame:
+    """``word, n`` of the query's runs: one in 97 loses a code point; null ids count as empty."""
+    lower = F.translate(F.col("text"), CAPITALS, SMALL_LETTERS)
+    runs = docs.select(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"),
+        F.explode(F.regexp_extract_all(lower, F.lit(RUN), F.lit(0))).alias("run"))
+    runs = runs.select("run", F.crc32(F.concat("doc", F.lit(":"), "run")).alias("h"))
+    at = (F.col("h") % F.char_length("run")).cast("int")
+    word = F.when(F.col("h") % 97 == 0, F.concat(
+        F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.char_length("run")))).otherwise(F.col("run"))
+    words = runs.select(word.alias("word")).where(F.char_length("word") >= length)
+    return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+@register("op12_word_variants")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return word_variants.variants(misspelt_words(table(spark, folder, "documents")))
