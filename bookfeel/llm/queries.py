@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import work_path
-from . import bpe, fingerprints, host_trust, html_text, mixing, near_text, near_vectors, quality, sharding, token_store, turn_repair, word_variants
+from . import bpe, fingerprints, host_trust, html_text, mixing, near_text, near_vectors, quality, repeated_bytes
+from . import sharding, token_store, turn_repair, word_variants
 from .registry import register
 
 
@@ -174,3 +175,10 @@ def misspelt_words(docs: DataFrame, least: int = 3, length: int = 5) -> DataFram
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     """Spelling variants among the words of all documents."""
     return word_variants.variants(misspelt_words(table(spark, folder, "documents")))
+
+
+@register("op13_repeated_bytes")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document that a repeated string of 200 bytes covers, and the rest."""
+    found = repeated_bytes.without_repeats(table(spark, folder, "documents"), keep=["doc_id"])
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
