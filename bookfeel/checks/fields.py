@@ -195,7 +195,8 @@ _DROP_DIGITS = r"regexp_replace({}, '[\p{{Nd}}²³¹⁰-⁹₀-₉]', '', 'g')"
 _DROP_PUNCT = """regexp_replace({}, '[!-/:-@\\[-`{{-~]', '', 'g')"""
 
 
-def _normal_sql(accents: bool) -> str:
+def normal_sql(accents: bool, verbs: dict[str, str], nouns: dict[str, str]) -> str:
+    """The normalised ``text`` as a SQL expression."""
     start = "lower(trim(text))"
     if accents:
         start = f"strip_accents({start})"
@@ -204,13 +205,15 @@ def _normal_sql(accents: bool) -> str:
     if accents:
         words = ", ".join("'" + w.replace("'", "''") + "'" for w in tx.STOP_WORDS)
         stop = f" AND w NOT IN ({words})"
-    cases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in VERBS.items())
-    nouns = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in NOUNS.items())
-    return rf"""
-    SELECT doc_id, md5(array_to_string(
-      [CASE v {nouns} ELSE v END FOR v IN
-        [CASE w {cases} ELSE w END FOR w IN regexp_split_to_array({cleaned}, '\s+') IF w <> ''{stop}]], ' ')) AS digest
-    FROM documents"""
+    verb = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in verbs.items())
+    noun = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in nouns.items())
+    return rf"""array_to_string(
+      [CASE v {noun} ELSE v END FOR v IN
+        [CASE w {verb} ELSE w END FOR w IN regexp_split_to_array({cleaned}, '\s+') IF w <> ''{stop}]], ' ')"""
+
+
+def _normal_sql(accents: bool) -> str:
+    return f"SELECT doc_id, md5({normal_sql(accents, VERBS, NOUNS)}) AS digest FROM documents"
 
 
 @check("x13_normalize_text", _normal_sql(False))

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..cluster import work_path, written
 from ..functions import text as tx
-from ..operators import joins, neighbours, scaling, topics
+from ..operators import joins, neighbours, scaling, topics, vector_index
 from ..schemas import CATEGORY_FEATURES, NUMERIC_FEATURES
 from ..sources import driver_tables as d
 from ..sources import tables
 from ..streaming.reviews import ingest_reviews
+from .fields import normal_sql
 from .groups import rollup
 from .logical import bucket
 from .registry import check
@@ -224,6 +225,29 @@ def knn_ivf_all_cells(spark, sf):
     return found.withColumn("score", F.round("score", 5))
 
 
+@check("m16_index_all_cells", _PAIRS + """
+    SELECT id, rank, neighbour, round(score, 5) AS score FROM ranked WHERE rank <= 10""")
+def index_all_cells(spark, sf):
+    """The stored tree index: all cells and true distances must give the exact answer."""
+    index = vector_index.build(d.vectors(spark, sf), leaf=20)
+    found = index.search(d.vectors(spark, sf), 10, share=1.0, shortlist=None)
+    return found.withColumn("score", F.round("score", 5))
+
+
+@check("m16_index_recall", """
+    SELECT count(*) AS vectors, 10 * count(*) AS listed, CAST(1 AS INTEGER) AS enough FROM embeddings""")
+def index_recall(spark, sf):
+    """Few cells and quantised lists: nine of ten true neighbours, half of the rows added later."""
+    vectors = d.vectors(spark, sf)
+    index = vector_index.build(vectors.where("id % 2 = 0"), leaf=20).add(vectors)
+    found = written(index.search(vectors, 10, probes=24), "found")
+    true = neighbours.knn_exact(vectors, 10, leaf=64).select("id", "neighbour")
+    hits = found.join(true, ["id", "neighbour"]).agg(F.count("*")).scalar()
+    return found.agg(
+        F.count_distinct("id").alias("vectors"), F.count("*").alias("listed"),
+    ).withColumn("enough", (hits >= 0.9 * F.col("listed")).cast("int"))
+
+
 @check("m17_semantic_search", """
     WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 7)
     SELECT vec_id AS id, round(list_dot_product(CAST(embedding AS DOUBLE[]), e), 5) AS score
@@ -296,15 +320,15 @@ def similar_books(spark, sf):
         look_up(7, [], "computed")).union(look_up(-1, [root], "stored"))
 
 
-def _grams_sql(n: int) -> str:
-    """``grams(id, term, tf)`` over the labelled texts."""
+def _grams_sql(n: int, table: str = "labelled") -> str:
+    """``grams(id, target, term, tf)`` over the texts of ``table``."""
     if n == 1:
         runs = "unnest(w)"
     else:
         parts = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
         runs = f"unnest([{parts} FOR i IN range(1, CAST(greatest(len(w) - {n - 2}, 1) AS BIGINT))])"
     return rf"""
-    words AS (SELECT id, target, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM labelled),
+    words AS (SELECT id, target, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM {table}),
     terms AS (SELECT id, target, {runs} AS term FROM words),
     grams AS (SELECT id, target, term, count(*) AS tf FROM terms GROUP BY 1, 2, 3)"""
 
@@ -391,10 +415,10 @@ def low_rated(spark, sf):
 
 
 # What must hold of any fit: every text has shares that sum to one, every topic its ten
-# (or all) words, each of them known to the vocabulary.
-_LOW = f"""WITH {_grams_sql(3)},
-    low AS (SELECT * FROM grams WHERE target = 0),
-    kept AS (SELECT term FROM low GROUP BY 1 HAVING count(*) >= 5 ORDER BY sum(tf) DESC, term LIMIT 10000)"""
+# (or all) words, each of them known to the vocabulary of the normalised texts.
+_LOW = f"""WITH low AS (SELECT id, target, {normal_sql(True, tx.VERB_LEMMAS, tx.NOUN_LEMMAS)} AS text FROM labelled WHERE target = 0),
+    {_grams_sql(3, "low")},
+    kept AS (SELECT term FROM grams GROUP BY 1 HAVING count(*) >= 5 ORDER BY sum(tf) DESC, term LIMIT 10000)"""
 
 
 @check("m20_topics", """
@@ -418,9 +442,7 @@ def topic_shares(spark, sf):
 def top_words(spark, sf):
     """Ranks and words; a word is known when the weights of ``tfidf`` hold it."""
     low = low_rated(spark, sf)
-    found = topics.top_words(topics.topics(low)[1], 10)
-    if found is None:
-        return spark.createDataFrame([], "topic int, rank int, known int")
+    found = topics.top_words(spark, topics.topics(low)[1], 10)
     known = topics.tfidf(low).select("term").distinct().withColumn("known", F.lit(1))
     return found.join(known, "term", "left").select("topic", "rank", F.coalesce("known", F.lit(0)).alias("known"))
 
@@ -429,10 +451,10 @@ def top_words(spark, sf):
 def top_terms(spark, sf):
     """The words themselves and their weights, which SQL can't fit. Where the texts have
     no vocabulary, a topic has one row without a word."""
-    found = topics.top_words(topics.topics(low_rated(spark, sf))[1], 10)
-    if found is None:
+    fitted = topics.topics(low_rated(spark, sf))[1]
+    if fitted is None:
         return spark.createDataFrame([(t, None, None, None) for t in range(3)], "topic int, rank int, term string, weight double")
-    return found
+    return topics.top_words(spark, fitted, 10)
 
 
 @check("m24_train_or_load", f"""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import written
+from . import lda
 from .joins import skew_join
 from .rollups import stable_bucket
 
@@ -177,41 +178,25 @@ def topics(
 ):
     """Topic model on the rows of :func:`tfidf`. Returns ``(mixtures, fitted)``: topic
     shares per document, and what :func:`top_words` reads. Every iteration reads every
-    text. Without a vocabulary all topics have equal shares.
+    text. A text without a known term has equal shares, all have without a vocabulary.
     """
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.linalg import Vectors
-
     kept = written(_vocabulary(df, n, min_df, max_features), "vocabulary")
-    total = df.agg(F.count("*")).scalar()
-    rows = kept.select("term", _idf(total).alias("idf")).orderBy("term").collect()  # max_features at most
+    rows = kept.select("term").orderBy("term").collect()  # max_features at most
     if not rows:
-        return df.select("id", F.array_repeat(F.lit(1.0 / k), k).alias("mixture")), (None, [])
-    # Counts by the same vocabulary, times idf, at unit length: the weights of tfidf.
-    counter = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], inputCol="_terms", outputCol="_tf")
-    counted = counter.transform(df.select("id", ngrams(F.col("text"), n).alias("_terms")))
-    weighed = ElementwiseProduct(
-        scalingVec=Vectors.dense([r["idf"] for r in rows]), inputCol="_tf", outputCol="_raw"
-    ).transform(counted)
-    vectors = Normalizer(p=2.0, inputCol="_raw", outputCol="features").transform(weighed).select("id", "features")
+        return df.select("id", F.array_repeat(F.lit(1.0 / k), k).alias("mixture")), None
+    terms = [r["term"] for r in rows]
+    places = df.sparkSession.createDataFrame(list(enumerate(terms)), "place int, term string")
+    entries = _weights(df, kept, n).join(F.broadcast(places), "term").groupBy("id").agg(  # max_features rows at most
+        F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("e"))
+    none = F.array().cast("array<double>")
+    vectors = df.select("id").join(entries, "id", "left").select(
+        "id", F.coalesce("e.place", none.cast("array<int>")).alias("terms"), F.coalesce("e.weight", none).alias("counts"))
     vectors = written(vectors, "features")  # read by every iteration
-    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0).fit(vectors)
-    mixtures = model.transform(vectors).select(
-        "id", vector_to_array("topicDistribution").alias("mixture")
-    )
-    return mixtures, (model, [r["term"] for r in rows])
-
-
-def top_words(fitted, count: int = 10) -> DataFrame | None:
-    """``(topic, rank, term, weight)``: ``count`` rows per topic; None without a model."""
-    model, vocabulary = fitted
-    if model is None:
-        return None
-    rows = model.describeTopics(count)
-    names = rows.sparkSession.createDataFrame(list(enumerate(vocabulary)), "i int, term string")
-    flat = rows.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("pos", "t"))
-    return flat.join(names, flat["t.termIndices"] == names["i"]).select(
-        "topic", (F.col("pos") + 1).alias("rank"), "term", F.col("t.termWeights").alias("weight")
-    )
+    fitted = lda.fit(vectors, terms, k, iterations, seed)
+    return lda.mixtures(vectors, fitted), fitted
+
+
+def top_words(spark, fitted, count: int = 10) -> DataFrame:
+    """``(topic, rank, term, weight)``: ``count`` rows per topic, none without a model. The
+    weight counts how often the topic gave the term."""
+    return spark.createDataFrame(fitted.top(count) if fitted else [], "topic int, rank int, term string, weight double")
