@@ -167,6 +167,40 @@ def apply_groups(spark, sf):
         rows, "book_id", inside, "review_id string, read_duration double", "review_id", quartiles)
 
 
+@check("v02_fold_groups", """
+    SELECT l_returnflag, count(*) AS n, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS suppliers, min(CAST(l_shipdate AS VARCHAR)) AS first,
+      round(var_pop(CAST(l_quantity AS DOUBLE)), 6) AS spread FROM lineitem GROUP BY 1""")
+def fold_groups(spark, sf):
+    """Groups far above the slice size: one answer each."""
+    class Spread:
+        def init(self):
+            return 0, 0.0, 0.0, set(), None  # rows, mean, squares, suppliers, least date
+
+        def update(self, state, frame):
+            v = frame["quantity"]
+            mean = v.mean()
+            return self.merge(state, (len(v), mean, ((v - mean) ** 2).sum(), set(frame["l_suppkey"]), frame["shipped"].min()))
+
+        def merge(self, a, b):
+            n = a[0] + b[0]
+            apart = b[1] - a[1]
+            least = min(x for x in (a[4], b[4]) if x is not None)
+            return n, a[1] + apart * b[0] / n, a[2] + b[2] + apart**2 * a[0] * b[0] / n, a[3] | b[3], least
+
+        def finish(self, state):
+            import pandas as pd
+
+            n, _, squares, suppliers, least = state
+            return pd.DataFrame({"n": [n], "suppliers": [len(suppliers)], "first": [least], "spread": [squares / n]})
+
+    lines = d.table(spark, sf, "lineitem").select(
+        "l_returnflag", F.col("l_quantity").cast("double").alias("quantity"), "l_suppkey", F.col("l_shipdate").cast("string").alias("shipped"),
+        F.struct("l_orderkey", "l_linenumber").cast("string").alias("line"))
+    found = custom.fold_groups(
+        lines, "l_returnflag", Spread(), "n bigint, suppliers bigint, first string, spread double", "line", size=500)
+    return found.withColumn("spread", F.round("spread", 6))
+
+
 @check("v01_apply_rows", """
     SELECT p_partkey AS book_id, length(p_name) + p_size AS v FROM part""")
 def apply_rows(spark, sf):

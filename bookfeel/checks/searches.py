@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import spread, work_path, written
-from ..operators import enrich, joins, places, search
+from ..operators import enrich, joins, places, search, word_vectors
 from ..plans import serve
 from ..sources import driver_tables as d
 from .registry import check
@@ -210,12 +210,12 @@ def filtered_books(spark, sf):
       (SELECT l_orderkey, l_returnflag, min(l_linenumber * 1000000 + l_suppkey) AS seen FROM lineitem GROUP BY 1, 2)
     GROUP BY 1""")
 def distinct_in_order(spark, sf):
-    from ..operators.rollups import collect_parts
+    from ..operators.rollups import distinct_in_order as distinct
 
     lines = d.table(spark, sf, "lineitem").select(
         "l_orderkey", (F.col("l_linenumber") * 1000000 + F.col("l_suppkey")).alias("place"), "l_returnflag")
-    lists = collect_parts(lines, "l_orderkey", "place", ["l_returnflag"], "e")
-    return lists.select("l_orderkey", F.array_join(F.array_distinct("e.l_returnflag"), ",").alias("flags"))
+    lists = distinct(lines, "l_orderkey", "l_returnflag", "place", "flags")
+    return lists.select("l_orderkey", F.array_join("flags", ",").alias("flags"))
 
 
 @check("m02_top_label", """
@@ -453,6 +453,45 @@ def _default_tasks_sql() -> str:
 
 @check("m07_default_tasks", _default_tasks_sql())
 def default_tasks(spark, sf):
-    """The built-in scorer on every book description."""
+    """The cue-word scorers on every book description."""
     books = spread(d.descriptions(spark, sf), "book_id")
-    return as_text(enrich.enrich(books, work_path(spark, "features")))
+    return as_text(enrich.enrich(books, work_path(spark, "features"), features=enrich.lexicon_features))
+
+
+@check("m01_word_pairs", r"""
+    WITH d AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\p{L}]+') AS w FROM documents),
+    t AS (SELECT doc_id, unnest(list_filter(w, lambda x: x <> '')) AS word, generate_subscripts(list_filter(w, lambda x: x <> ''), 1) AS i FROM d),
+    kept AS (SELECT word FROM t GROUP BY 1 HAVING count(*) >= 5 ORDER BY count(*) DESC, word LIMIT 500)
+    SELECT a.word AS first, b.word AS second, count(*) AS n
+    FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.i - a.i BETWEEN 1 AND 5
+    WHERE a.word IN (FROM kept) AND b.word IN (FROM kept) GROUP BY 1, 2""")
+def word_pairs(spark, sf):
+    """Pairs of words near one another, which the word vectors are made of."""
+    docs = d.documents(spark, sf)
+    words = [r["word"] for r in word_vectors.vocabulary(docs, "text", 500).collect()]
+    names = spark.createDataFrame(list(enumerate(words)), "i int, word string")
+    found = word_vectors.pairs(docs, "text", words)
+    for place, name in (("a", "first"), ("b", "second")):
+        found = found.join(F.broadcast(names.select(F.col("i").alias(place), F.col("word").alias(name))), place)
+    return found.select("first", "second", "n")
+
+
+@check("m07_corpus_tasks", """
+    SELECT p_partkey AS book_id, CAST(1 AS INTEGER) AS emotions, CAST(1 AS INTEGER) AS single, CAST(1 AS INTEGER) AS several,
+      CAST(1 AS INTEGER) AS sentiment FROM part""")
+def corpus_tasks(spark, sf):
+    """The scorer from the words of the descriptions: what must hold of any vectors."""
+    books = spread(d.descriptions(spark, sf), "book_id")
+    found = enrich.enrich(books, work_path(spark, "features"))
+
+    def known(task):
+        return F.size(F.array_except(task, F.array(*map(F.lit, enrich.TASKS[task]["labels"])))) == 0
+
+    multi = [t for t in enrich.TASKS if enrich.TASKS[t]["multi"]]
+    one = [t for t in enrich.TASKS if t not in multi]
+    emotions = F.array(*map(F.lit, enrich.EMOTIONS))
+    flags = {
+        "emotions": (F.size("emotions") > 0) & (F.size(F.array_except("emotions", emotions)) == 0),
+        "single": F.expr(" AND ".join(f"size({t}) <= 1" for t in one)) & known(one[0]) & known(one[1]) & known(one[2]),
+        "several": known(multi[0]) & known(multi[1]), "sentiment": F.col("sentiment").isin(enrich.SENTIMENTS)}
+    return found.select("book_id", *[flag.cast("int").alias(name) for name, flag in flags.items()])

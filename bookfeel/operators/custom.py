@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
+from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..cluster import written
 from .joins import skew_join
 from .rollups import deal_parts
 
@@ -25,7 +29,8 @@ def apply_groups(
     df: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
     order_by: str, context: DataFrame | None = None, size: int = 100_000,
 ) -> DataFrame:
-    """Apply ``fn`` group by group; a group above ``size`` rows comes in slices.
+    """Apply ``fn`` group by group; a group above ``size`` rows comes in slices. A function
+    of the whole group is a job for :func:`fold_groups`.
 
     What ``fn`` needs to know of the whole group (quartiles, a maximum, ...) is
     given as ``context``, one row per key, whose columns are joined on. That way
@@ -44,3 +49,64 @@ def apply_groups(
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pieces = max(least, -(-df.count() // size))
     return dealt.repartition(pieces, key, "_part").groupBy(key, "_part").applyInPandas(run, schema)
+
+
+class Fold(Protocol):
+    """A function of a whole group by states that can be merged. States are pickled, and should
+    stay small whatever the group holds."""
+
+    def init(self) -> Any:
+        """The state of no rows."""
+
+    def update(self, state: Any, frame: pd.DataFrame) -> Any:
+        """The state with the rows of ``frame`` (without the key) added."""
+
+    def merge(self, one: Any, other: Any) -> Any:
+        """The state of the rows of both, in whatever order."""
+
+    def finish(self, state: Any) -> pd.DataFrame:
+        """The group's rows of the result, without the key."""
+
+
+ROUND = 64  # states that one task merges
+
+
+def fold_groups(
+    df: DataFrame, key: str, fold: Fold, schema: str, order_by: str, size: int = 100_000,
+) -> DataFrame:
+    """One true answer per group, however many rows it has; ``schema`` describes what
+    ``finish`` gives, which comes back behind the key.
+
+    A group above ``size`` rows is folded slice by slice in as many tasks, and the states
+    are merged ``ROUND`` at a time, so no task meets the group. A null key is a group.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    columns = f"{key} {kind}, _part bigint, _state binary"
+
+    def fold_slice(keys: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = fold.init()
+        for frame in frames:  # in Arrow batches
+            state = fold.update(state, frame.drop(columns=[key, "_part"]))
+        yield pd.DataFrame({key: [keys[0]], "_part": [keys[1]], "_state": [pickle.dumps(state)]})
+
+    def merged(keys: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = None
+        for frame in frames:
+            for packed in frame["_state"]:
+                other = pickle.loads(packed)
+                state = other if state is None else fold.merge(state, other)
+        yield pd.DataFrame({key: [keys[0]], "_part": [keys[1]], "_state": [pickle.dumps(state)]})
+
+    def finished(frame: pd.DataFrame) -> pd.DataFrame:
+        out = fold.finish(pickle.loads(frame["_state"].iloc[0]))
+        out.insert(0, key, frame[key].iloc[0])
+        return out
+
+    states = deal_parts(df, key, order_by, size, "_part").groupBy(key, "_part").applyInPandas(fold_slice, columns)
+    states = written(states, "fold-states")
+    most = states.agg(F.max("_part")).first()[0] or 0
+    while most:
+        most //= ROUND
+        step = states.withColumn("_part", F.floor(F.col("_part") / ROUND))
+        states = written(step.groupBy(key, "_part").applyInPandas(merged, columns), "fold-states")
+    return states.groupBy(key).applyInPandas(finished, f"{key} {kind}, {schema}")

@@ -12,6 +12,7 @@ from ..cluster import written
 from ..functions import text as tx
 from ..schemas import SCORES
 from ..sources import tables
+from . import word_vectors
 from .joins import merge_features, only_new
 
 # The zero-shot tasks with their labels, template and label mode.
@@ -78,7 +79,11 @@ TASKS = {
 HIGH, LOW = 0.80, 0.60
 EMOTION_THRESHOLD = 0.4
 
-# Cue words of the two tasks whose label alone says too little.
+# Labels of the emotion and sentiment classifiers.
+EMOTIONS = ["anger", "disgust", "fear", "joy", "neutral", "sadness", "surprise"]
+SENTIMENTS = ["negative", "neutral", "positive"]
+
+# Cue words for ``lexicon_scorer``, a scorer that needs no corpus.
 EMOTION_CUES = {
     "anger": ["anger", "angry", "rage", "fury", "furious", "hate"],
     "disgust": ["disgust", "disgusting", "vile", "gross", "nasty"],
@@ -232,38 +237,63 @@ def select_labels(
     )
 
 
-def default_scorers() -> dict[str, Callable[[Column], Column]]:
-    """The built-in scorer of each of the seven enrichments, by name."""
+def lexicon_scorers() -> dict[str, Callable[[Column], Column]]:
+    """A cue-word scorer of each of the seven enrichments, by name."""
     zero_shot = {t: lexicon_scorer(label_cues(TASKS[t]["labels"]), TASKS[t]["multi"]) for t in TASKS}
     return {"emotions": lexicon_scorer(EMOTION_CUES), **zero_shot, "sentiment": lexicon_scorer(SENTIMENT_CUES)}
 
 
-def default_features(df: DataFrame) -> DataFrame:
-    """``book_id`` and all seven enrichments; every text is read once."""
-    text = F.coalesce(F.col("description"), F.lit(""))
-    wide = df.select("book_id", *[score(text).alias(f"_{name}") for name, score in default_scorers().items()])
+def enrichments() -> dict[str, word_vectors.Task]:
+    """Labels and template of each of the seven enrichments, by name."""
+    zero_shot = {t: word_vectors.Task(TASKS[t]["labels"], TASKS[t]["template"], TASKS[t]["multi"]) for t in TASKS}
+    return {"emotions": word_vectors.Task(EMOTIONS, "{}", False), **zero_shot,
+            "sentiment": word_vectors.Task(SENTIMENTS, "{}", False)}
+
+
+def _selected(wide: DataFrame) -> DataFrame:
+    """What is kept of the scores of all enrichments in ``_<name>``."""
     wide = top_label(select_emotions(wide, "_emotions"), "_sentiment")
     for task in TASKS:
         wide = select_labels(wide, task, f"_{task}")
-    return wide.select("book_id", *default_scorers())
+    return wide.select("book_id", *enrichments())
+
+
+def default_features(df: DataFrame, model: word_vectors.WordVectors) -> DataFrame:
+    """``book_id`` and all seven enrichments, scored by the word vectors of ``model``; every
+    text is read once."""
+    tasks = {f"_{name}": task for name, task in enrichments().items()}
+    return _selected(word_vectors.score_tasks(df, ["book_id"], F.col("description"), model, tasks))
+
+
+def lexicon_features(df: DataFrame) -> DataFrame:
+    """``book_id`` and all seven enrichments by cue words; every text is read once."""
+    text = F.coalesce(F.col("description"), F.lit(""))
+    return _selected(df.select("book_id", *[score(text).alias(f"_{name}") for name, score in lexicon_scorers().items()]))
 
 
 def enrich(
-    df: DataFrame, root: str, tasks: dict[str, Callable[[DataFrame], DataFrame]] | None = None
+    df: DataFrame, root: str, tasks: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
+    features: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Run the enrichments for books not done yet, store each under ``root``,
     and return the merged features.
 
-    The built-in ones share one pass over the texts of the books that lack any of
-    them; ``tasks`` replaces them by functions from books to ``(book_id, <name>)``.
+    The seven built-in ones share one pass over the texts of the books that lack any of
+    them. They are scored by word vectors fitted on the books of the first run and
+    stored with them, so that later books are scored alike; ``features`` scores them in
+    another way. ``tasks`` replaces them by functions from books to ``(book_id, <name>)``.
     """
     spark = df.sparkSession
-    names = list(tasks or default_scorers())
+    names = list(tasks or enrichments())
     paths = {name: f"{root}/{name}" for name in names}
     known = {name: tables.read(spark, path) for name, path in paths.items() if tables.exists(spark, path)}
     if tasks is None:
         whole = merge_features([t.select("book_id") for t in known.values()]) if len(known) == len(names) else None
-        pending = written(default_features(df if whole is None else only_new(df, whole)), "features")
+        if features is None:
+            model = word_vectors.WordVectors.of(tables.train_or_load(
+                spark, f"{root}/word_vectors", lambda: word_vectors.fit(df, "description").params()))
+            features = lambda books: default_features(books, model)
+        pending = written(features(df if whole is None else only_new(df, whole)), "features")
     for name in names:
         done = known.get(name)
         if tasks is None:

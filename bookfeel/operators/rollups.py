@@ -48,6 +48,15 @@ def collect_parts(
     return dealt.groupBy(key, "part").agg(F.array_sort(F.collect_list(entry)).alias(out))
 
 
+def distinct_in_order(df: DataFrame, key: str, value: str, order_by: str, out: str, size: int = LIST_SIZE) -> DataFrame:
+    """``key, part, out``: the distinct values of each key by their first place in ``order_by``
+    (equal places by value). Repeats go before anything is collected, over the whole key;
+    more than ``size`` distinct values come in parts, each value in one of them."""
+    first = df.groupBy(key, value).agg(F.struct(F.min(order_by).alias("at"), F.first(value).alias("value")).alias("_first"))
+    parts = collect_parts(first.drop(value), key, "_first", ["_first"], "_entries", size)
+    return parts.select(key, "part", F.transform("_entries", lambda e: e["_first"]["value"]).alias(out))
+
+
 def keyed_quantiles(df: DataFrame, key: str, value: str, probs: dict[str, float]) -> DataFrame:
     """Exact, linearly interpolated quantiles per key; nulls are skipped.
 

@@ -1,6 +1,7 @@
 """Joins and aggregations with hot keys, nulls and edge cases."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +192,41 @@ def test_apply_groups_slices_a_hot_group(spark):
     assert max(r["n"] for r in got) < 200
 
 
+def test_fold_groups_gives_one_answer(spark):
+    """A group of 250,000 rows, small ones and the null key, against pandas."""
+    class Moments:
+        """Rows, sum and largest value: a small state of any number of rows."""
+
+        def init(self):
+            return 0, 0, None
+
+        def update(self, state, frame):
+            return self.merge(state, (len(frame), int(frame["v"].sum()), frame["v"].max()))
+
+        def merge(self, one, other):
+            return one[0] + other[0], one[1] + other[1], max(x for x in (one[2], other[2]) if x is not None)
+
+        def finish(self, state):
+            return pd.DataFrame({"n": [state[0]], "mean": [state[1] / state[0]], "top": [int(state[2])]})
+
+    df = spark.range(251_000).selectExpr(
+        "CASE WHEN id < 250000 THEN 7 WHEN id % 3 > 0 THEN id % 5 END AS k", "id * 31 % 1009 AS v", "id")
+    got = custom.fold_groups(df, "k", Moments(), "n bigint, mean double, top bigint", "id", size=1000)
+    want = df.toPandas().groupby("k", dropna=False)["v"].agg(["size", "mean", "max"])
+    found = {None if r["k"] is None else r["k"]: (r["n"], pytest.approx(r["mean"]), r["top"]) for r in got.collect()}
+    assert found == {None if np.isnan(k) else k: tuple(v) for k, v in zip(want.index, want.itertuples(index=False, name=None))}
+    assert custom.fold_groups(df.limit(0), "k", Moments(), "n bigint, mean double, top bigint", "id").count() == 0
+
+
+def test_distinct_in_order_over_a_whole_key(spark):
+    df = spark.createDataFrame([(1, f"v{i * 7 % 30}", i) for i in range(900)] + [(2, "b", 5), (2, "a", 5), (2, "b", 1)],
+                               "k int, v string, at int")
+    got = rollups.distinct_in_order(df, "k", "v", "at", "values", size=1000).collect()
+    assert {r["k"]: r["values"] for r in got} == {1: [f"v{i * 7 % 30}" for i in range(30)], 2: ["b", "a"]}
+    parts = rollups.distinct_in_order(df, "k", "v", "at", "values", size=10).where("k = 1").collect()
+    assert len(parts) == 3 and sorted(v for r in parts for v in r["values"]) == sorted({f"v{i}" for i in range(30)})
+
+
 def test_quantiles_with_an_outlier(spark):
     values = [float(i % 1000) for i in range(20_000)] + [1e9]
     df = spark.createDataFrame([(v, None if v > 900 else v) for v in values], "a double, b double")

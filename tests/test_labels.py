@@ -76,7 +76,7 @@ def test_built_in_enrichments_add_only_new_books(spark):
     assert sorted(r["book_id"] for r in first.collect()) == [1, 2]
     again = enrich.enrich(books, root)
     assert sorted(r["book_id"] for r in again.collect()) == [1, 2, 3]
-    assert enrich.enrich(books, root).count() == 3 and set(again.columns) == {"book_id", *enrich.default_scorers()}
+    assert enrich.enrich(books, root).count() == 3 and set(again.columns) == {"book_id", *enrich.enrichments()}
 
 
 def test_place_names_of_several_words(spark):
