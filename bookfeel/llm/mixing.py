@@ -2,7 +2,8 @@
 
 The words of each source, its documents in shuffled order, form a stream that is cut
 into blocks of equal size. Slot ``k`` of the schedule takes the golden-ratio point
-``frac(k * phi)`` through the cumulative shares of the sources; the slots of a source
+``frac(k * phi)`` through the cumulative shares of the sources, laid out by code point
+(so that the schedule is one however the rows are partitioned); the slots of a source
 are ranked and the ``j``-th takes its ``j``-th block, going round again (in another
 order) where the target exceeds the source. Slots that the points give beyond a
 source's need stay unused, the few they fall short by are added at their ideal place.
@@ -49,12 +50,14 @@ class Mix:
 
 
 def targets(sizes: DataFrame, most: int = 3) -> DataFrame:
-    """Weight and target per row of ``_m_source, _m_source_size``, one row per source."""
+    """Number (``_m_id``, by code point, null last), weight and target per row of
+    ``_m_source, _m_source_size``, one row per source."""
     named = sizes.where("_m_source IS NOT NULL").select(F.lit(0).alias("_m_all"), "_m_source")
     codes = order_codes(named, "_m_all", "_m_source").select("_m_source", "code")
     rank = F.coalesce("code", sizes.where("_m_source IS NOT NULL").agg(F.count("*")).scalar())
     weighed = written(sizes.join(codes, "_m_source", "left").select(
-        "_m_source", "_m_source_size", (1 + rank % 3).cast("double").alias("_m_weight")), "mix-weights")
+        "_m_source", "_m_source_size", rank.cast("bigint").alias("_m_id"),
+        (1 + rank % 3).cast("double").alias("_m_weight")), "mix-weights")
     total = weighed.agg(F.coalesce(F.sum("_m_source_size"), F.lit(0))).first()[0]
     full, level, before = most * F.col("_m_source_size"), 0.0, -1.0
     while level != before:  # each round caps a source more, or ends
@@ -155,8 +158,8 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str =
     whole = F.floor(F.col("_m_take") / F.greatest(F.col("_m_source_size"), F.lit(1)))
     slots = whole * F.col("_m_blocks") + F.ceil((F.col("_m_take") - whole * F.col("_m_source_size")) / block)
     sources = written(
-        targets(sizes, most).withColumn("_m_take", take).withColumn("_m_blocks", blocks).withColumn("_m_slots", slots)
-        .withColumn("_m_id", F.monotonically_increasing_id()), "mix-sources")
+        targets(sizes, most).withColumn("_m_take", take).withColumn("_m_blocks", blocks).withColumn("_m_slots", slots),
+        "mix-sources")
     at, last = F.col("_m_at"), F.col("_m_at") + F.col("_m_size")
     streamed = _streamed(rows.where("_m_size > 0"))
     begin = F.greatest(at, F.col("_m_block") * block)
