@@ -14,22 +14,28 @@ An empty table gives an empty store. Other columns aren't read.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..cluster import written
-from .pieces import CachedEncoder, per_worker, slices
+from .pieces import per_worker, slices
+from .text_ids import of_json
 
 STEP = 256  # ids between checkpoints
 BLOCK = 1 << 18  # ids after which a block ends with its document
+TEXTS = 8 << 20  # bytes of texts encoded at once
+
+
+def binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Values after one another as a binary column of ``sizes`` values each."""
+    edges = (np.concatenate([[0], np.cumsum(sizes)]) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def code_lengths(counts: np.ndarray, limit: int = 16) -> np.ndarray:
@@ -98,34 +104,6 @@ class Codebook:
         return out.T.ravel()[:n]
 
 
-def _library_encoder(tokenizer: str) -> CachedEncoder:
-    """The tokenizers library, of a byte-level tokenizer, behind the memory of parts.
-    ``tokenizer``: its JSON."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    lib = Tokenizer.from_str(tokenizer)
-    special = [x.content for x in lib.get_added_tokens_decoder().values()]
-    opens = np.zeros(max(lib.get_vocab().values()) + 1, bool)
-    opens[[i for x, i in lib.get_vocab().items() if x.startswith("Ġ")]] = True  # holds a leading space
-
-    def whole(texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in lib.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def parts(texts: list[str]) -> list[bytes]:
-        if not texts or texts[0][:1] != " ":
-            return whole(texts)
-        out = []
-        for at in range(0, len(texts), 4096):  # joined: the ids that open with a space start the parts
-            ids = np.frombuffer(whole(["".join(texts[at:at + 4096])])[0], "<u4")
-            edges = [*(4 * np.flatnonzero(opens[ids])).tolist(), 4 * len(ids)]
-            flat = ids.tobytes()
-            out += [flat[a:b] for a, b in zip(edges, edges[1:])]
-        return out
-
-    return CachedEncoder(parts, whole, lambda text: any(x in text for x in special))
-
-
 def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 0, key: str = "doc_id",
                 text: str = "text", limit: int = 16) -> None:
     """Encode every text and write the store at ``path``, documents in order of ``key``.
@@ -139,18 +117,23 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int | None =
     vocab = json.loads(tokenizer)
     size = 1 + max([*vocab["model"]["vocab"].values(), *(x["id"] for x in vocab.get("added_tokens", []))])
     kind = "<u2" if size <= 1 << 16 else "<u4"
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = per_worker(("library", tokenizer), lambda: _library_encoder(tokenizer))
+        encoder = per_worker(("library", tokenizer), lambda: of_json(tokenizer))
         counts, keys = np.zeros(size, np.int64), None
-        for batch in slices(batches, "_text"):
-            ids = [np.frombuffer(x + end, "<u4") for x in encoder.encode(batch.column("_text").to_pylist())]
-            counts += np.bincount(np.concatenate(ids), minlength=size)
+        for batch in slices(batches, "_text", TEXTS):
+            flat, n = encoder.encode(batch.column("_text"))
+            if end_id is not None:
+                n = n + 1
+                own = np.ones(int(n.sum()), bool)
+                own[np.cumsum(n) - 1] = False
+                ended = np.full(len(own), end_id, np.uint32)
+                ended[own] = flat
+                flat = ended
+            counts += np.bincount(flat, minlength=size)
             keys = batch.column("_key")
             yield pa.RecordBatch.from_arrays([
-                keys, pa.array([x.astype(kind).tobytes() for x in ids], pa.binary()),
-                pa.nulls(len(ids), pa.list_(pa.int32())), pa.nulls(len(ids), pa.list_(pa.int64())),
+                keys, binary(flat.astype(kind), n), pa.nulls(len(n), pa.list_(pa.int32())), pa.nulls(len(n), pa.list_(pa.int64())),
             ], names=["_key", "ids", "counted", "counts"])
         if keys is not None:
             used = np.flatnonzero(counts)
@@ -179,29 +162,35 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int | None =
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book, part, start, number = Codebook(lengths), TaskContext.get().partitionId(), 0, 0
-        keys, ids, held = [], [], 0
+        keys, tokens, ids, held = [], [], [], 0  # of the block in hand
 
         def block() -> pa.RecordBatch:
-            flat = np.concatenate([np.frombuffer(x, kind) for x in ids])
-            payload, checkpoints = book.encode(flat)
+            payload, checkpoints = book.encode(np.concatenate(ids))
             return pa.RecordBatch.from_arrays([
                 pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([start], pa.int64()),
-                pa.ListArray.from_arrays([0, len(keys)], pa.concat_arrays(keys)),
-                pa.array([[len(x) // int(kind[2:]) for x in ids]], pa.list_(pa.int64())),
+                pa.ListArray.from_arrays([0, sum(map(len, keys))], pa.concat_arrays(keys)),
+                pa.array([np.concatenate(tokens)], pa.list_(pa.int64())),
                 pa.array([payload], pa.binary()), pa.array([checkpoints.tobytes()], pa.binary()),
             ], names=BLOCK_COLUMNS)
 
         for batch in batches:
             column = batch.column("ids")
-            sizes = pc.binary_length(column).to_numpy() // int(kind[2:])
-            for i in range(batch.num_rows):
-                keys.append(batch.column("_key").slice(i, 1))
-                ids.append(column[i].as_py())
-                held += int(sizes[i])
+            edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+            flat = np.frombuffer(column.buffers()[2] or b"", np.uint8)[edges[0]:edges[-1]].view(kind)
+            edges = (edges - edges[0]) // int(kind[2:])
+            at = 0
+            while at < len(column):  # up to the document that fills the block
+                to = min(len(column), int(np.searchsorted(edges, edges[at] + BLOCK - held)))
+                to = max(to, at + 1)
+                keys.append(batch.column("_key").slice(at, to - at))
+                tokens.append(np.diff(edges[at:to + 1]))
+                ids.append(flat[edges[at]:edges[to]].astype(np.int64))
+                held += int(edges[to] - edges[at])
+                at = to
                 if held >= BLOCK:
                     yield block()
-                    number, start, keys, ids, held = number + 1, start + held, [], [], 0
-        if ids:
+                    number, start, keys, tokens, ids, held = number + 1, start + held, [], [], [], 0
+        if keys:
             yield block()
 
     (
@@ -240,10 +229,10 @@ def read_store(spark: SparkSession, path: str, key: str = "doc_id", keep_ids: bo
                                    np.frombuffer(batch.column("checkpoints")[i].as_py(), "<u4"),
                                    int(tokens.sum())).astype("<u4")
                 ends = np.cumsum(tokens)
-                each = [ids[b - n:b].tobytes() for b, n in zip(ends.tolist(), tokens.tolist())]
+                crcs = [zlib.crc32(ids[b - n:b]) for b, n in zip(ends.tolist(), tokens.tolist())]
                 columns = [keys, pa.array(batch.column("start")[i].as_py() + ends - tokens, pa.int64()),
-                           pa.array(tokens, pa.int64()), pa.array([zlib.crc32(x) for x in each], pa.int64())]
-                columns += [pa.array(each, pa.binary())] * keep_ids
+                           pa.array(tokens, pa.int64()), pa.array(crcs, pa.int64())]
+                columns += [binary(ids, tokens)] if keep_ids else []
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["_key", "start", "n_tokens", "ids_crc32", *["ids"] * keep_ids]

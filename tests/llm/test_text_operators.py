@@ -6,13 +6,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from bookfeel.llm import bpe, fingerprints, near_text, quality, token_store
+from bookfeel.llm import bpe, fingerprints, near_text, quality, text_ids, token_store
 from bookfeel.llm.pieces import CachedEncoder, MatchMemory
 from bookfeel.llm.queries import vocabulary
 
@@ -99,6 +100,24 @@ def test_code_lengths(n, limit):
         assert (book.decode(payload, checkpoints, size) == ids).all()
 
 
+@pytest.mark.parametrize("split", [True, False])
+@pytest.mark.parametrize("most", [0, 2000, 80 << 20])
+def test_ids_equal_the_library(split, most):
+    """With known matches or not, with all, some or no memory, in one batch and in many."""
+    lib = Tokenizer.from_str(JSON)
+    texts = [*odd_texts(), "a<|endoftext|>b", "it's we'll 'tis '' 's x'", "naïve café 中文 字 naïve", "x" * 3000 + " y", "two words"] * 2
+    want = [x.ids for x in lib.encode_batch(texts, add_special_tokens=False)]
+    own = text_ids.TextIds(lib, split, most)
+    for step in (len(texts), 7):
+        got = []
+        for at in range(0, len(texts), step):
+            flat, sizes = own.encode(pa.array(texts).slice(at, step))
+            ends = np.cumsum(sizes)
+            got += [flat[b - n:b].tolist() for b, n in zip(ends.tolist(), sizes.tolist())]
+        assert got == want
+    assert [len(x) for x in own.encode(pa.array([], pa.string()))] == [0, 0]
+
+
 def test_token_store(spark, tmp_path, monkeypatch):
     texts = odd_texts()[-60:] + ["a<|endoftext|>b"]
     lib = Tokenizer.from_str(JSON)
