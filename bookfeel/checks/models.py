@@ -139,6 +139,22 @@ def knn_compressed(spark, sf):
     return neighbours.knn_compressed(rows, _NUM, _CAT, 10)
 
 
+@check("m13_knn_network", """
+    SELECT book_id AS id, CAST(least(10, (SELECT count(*) - 1 FROM extended)) AS BIGINT) AS listed,
+      CAST(1 AS INTEGER) AS others, CAST(1 AS INTEGER) AS rising FROM extended""", ("extended",))
+def knn_network(spark, sf):
+    """Neighbours by a trained bottleneck: what must hold of any fit."""
+    rows = written(extended(spark, sf), "extended")
+    found = neighbours.knn_compressed(rows, _NUM, _CAT, 10, trained=True)
+    lists = found.groupBy("id").agg(
+        F.count("*").alias("listed"), F.count_distinct("neighbour").alias("different"),
+        F.max((F.col("neighbour") == F.col("id")).cast("int")).alias("itself"),
+        F.array_sort(F.collect_list(F.struct("rank", "score"))).alias("e"))
+    return lists.select(
+        "id", "listed", ((F.col("different") == F.col("listed")) & (F.col("itself") == 0)).cast("int").alias("others"),
+        (F.array_sort("e.score") == F.col("e.score")).cast("int").alias("rising"))
+
+
 _TAIL = [*_NUM, "flag"]
 
 

@@ -19,7 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TERMS = 1024  # terms of a block that one row carries
+from . import partials
+
 TINY = np.finfo(np.float64).eps
 
 
@@ -103,8 +104,8 @@ def _added(texts: DataFrame, table: np.ndarray, prior: float) -> np.ndarray:
     """What all texts add to the weights, topics by terms."""
     v, k = table.shape
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((v, k))
+    def part(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        total = np.zeros((k, v))
         for batch in batches:
             sizes, terms, counts = _entries(batch)
             if not len(terms):
@@ -114,28 +115,10 @@ def _added(texts: DataFrame, table: np.ndarray, prior: float) -> np.ndarray:
             norm = np.einsum("ij,ij->i", own, table[terms]) + TINY
             own *= (counts / norm)[:, None]
             for topic in range(k):
-                total[:, topic] += np.bincount(terms, own[:, topic], v)
-        if total.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(0, v, TERMS), pa.int32()),
-                 pa.array([total[i:i + TERMS].ravel() for i in range(0, v, TERMS)], pa.list_(pa.float64()))],
-                ["block", "sums"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, block in enumerate(batch.column("block").to_pylist()):
-                new = np.asarray(batch.column("sums")[i].values)
-                sums[block] = sums[block] + new if block in sums else new
-        if sums:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sums, pa.int32()), pa.array(sums.values(), pa.list_(pa.float64()))], ["block", "sums"])
+                total[topic] += np.bincount(terms, own[:, topic], v)
+        return total.ravel() if total.any() else None
 
-    schema = "block int, sums array<double>"
-    out = np.zeros((v, k))
-    for row in texts.mapInArrow(run, schema).repartition("block").mapInArrow(meet, schema).collect():  # as many numbers as the table
-        out[row["block"]:row["block"] + TERMS] = np.array(row["sums"]).reshape(-1, k)
-    return table.T * out.T
+    return table.T * partials.summed(texts, k * v, part).reshape(k, v)
 
 
 def fit(texts: DataFrame, terms: list[str], k: int, rounds: int = 100, seed: int = 0, tolerance: float = 1e-4) -> Topics:

@@ -358,10 +358,14 @@ def compressed_vectors(
 
 def knn_compressed(
     features: DataFrame, numeric: list[str], categories: list[str], k: int = 10, dims: int = 32,
-    asking: DataFrame | None = None,
+    asking: DataFrame | None = None, trained: bool = False,
 ) -> DataFrame:
-    """Neighbours on the compressed vectors, Euclidean."""
-    return knn_exact(compressed_vectors(features, numeric, categories, dims), k, "euclidean", asking=asking)
+    """Neighbours on the compressed vectors, Euclidean: principal components, or, if
+    ``trained``, the bottleneck of a network."""
+    from .bottleneck import network_vectors
+
+    vectors = (network_vectors if trained else compressed_vectors)(features, numeric, categories, dims)
+    return knn_exact(vectors, k, "euclidean", asking=asking)
 
 
 def knn_ivf(

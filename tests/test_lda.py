@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from conftest import SMALL
 
-from bookfeel.operators import lda, topics
+from bookfeel.operators import lda, partials, topics
 
 
 def psi(x: float) -> float:
@@ -76,7 +76,7 @@ def test_against_plain_numpy(spark, k):
 
 
 def test_blocks_of_terms(spark, monkeypatch):
-    monkeypatch.setattr(lda, "TERMS", 4)
+    monkeypatch.setattr(partials, "BLOCK", 4)
     df = spark.createDataFrame([(i, [i % 9, 9], [1.0, 0.5]) for i in range(30)], "id long, terms array<int>, counts array<double>")
     table = lda.expectations(lda.start_weights([str(i) for i in range(10)], 3, 0))
     added = lda._added(df.repartition(4), table, 1 / 3)
