@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import spread, work_path, written
-from ..operators import enrich, joins, places, search, word_vectors
+from ..operators import enrich, joins, places, recogniser, search, word_vectors
 from ..plans import serve
 from ..sources import driver_tables as d
 from .registry import check
@@ -320,6 +320,36 @@ def known_places(spark, sf):
     return found.filter("size(places) > 0").select("doc_id", F.size("places").cast("long").alias("places"))
 
 
+@check("m06_recogniser", """
+    SELECT count(*) AS sentences, CAST(1 AS INTEGER) AS precise, CAST(1 AS INTEGER) AS complete FROM customer""")
+def recognise_places(spark, sf):
+    """A recogniser trained on sentences about customers of four nations in five finds all nations in all of them."""
+    nation = F.col("n_name")
+    said = F.array(
+        F.array(F.lit("Clerk"), F.concat(F.lit("C"), F.col("c_custkey")), F.lit("lives"), F.lit("in"), nation, F.lit(".")),
+        F.array(F.lit("They"), F.lit("sold"), F.col("c_mktsegment"), F.lit("near"), nation, F.lit("and"), F.lit("left"), F.lit(".")),
+        F.array(F.lit("The"), F.lit("customer"), F.lit("came"), F.lit("from"), nation, F.lit("with"), F.col("c_mktsegment"), F.lit(".")),
+        F.array(F.lit("No"), F.lit("place"), F.lit("for"), F.col("c_mktsegment"), F.lit("was"), F.lit("named"), F.lit(".")))
+    rows = d.table(spark, sf, "customer").join(
+        d.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "c_custkey", "n_nationkey", nation, (F.col("c_custkey") % 4).alias("kind"),
+        F.flatten(F.transform(F.get(said, (F.col("c_custkey") % 4).cast("int")), lambda w: F.split(w, " "))).alias("words"))
+    name = F.split(nation, " ")
+    first = F.array_position("words", F.get(name, 0)).cast("int")
+    tags = F.transform("words", lambda w, i: F.when(F.col("kind") == 3, 0).when(i + 1 == first, 1).when(
+        (i + 1 > first) & (i + 1 < first + F.size(name)), 2).otherwise(0))
+    rows = written(rows.withColumn("tags", tags), "sentences")
+    field = recogniser.fit(rows.where("n_nationkey % 5 > 0 AND c_custkey < 3000"))
+    texts = rows.select("c_custkey", F.when(F.col("kind") != 3, nation).alias("true"), F.array_join("words", " ").alias("text"))
+    found = written(places.extract_entities(texts, "text", recogniser.entity_model(field), "c_custkey"), "recognised")
+    both = found.join(texts, "c_custkey").select(
+        F.size("entities").alias("n"), F.col("true").isNotNull().cast("int").alias("wanted"),
+        F.exists("entities", lambda e: F.coalesce(e["word"] == F.col("true"), F.lit(False))).cast("int").alias("hit"))
+    return both.agg(
+        F.count("*").alias("sentences"), (F.sum("hit") >= 0.95 * F.sum("n")).cast("int").alias("precise"),
+        (F.sum("hit") >= 0.95 * F.sum("wanted")).cast("int").alias("complete"))
+
+
 @check("m06_extract_entities", r"""
     SELECT doc_id, regexp_extract(text, '[^\s]+') AS first_word FROM documents
     WHERE regexp_matches(text, '[^\s]') AND regexp_matches(regexp_extract(text, '[^\s]+'), '^[A-Z]')""")
