@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..cluster import written
 from ..functions import fields as fx
 from ..functions import text as tx
-from ..operators import filters, metadata
+from ..operators import filters, lemmas, metadata
 from ..schemas import SHELVES
 from ..sources import driver_tables as d
 from .registry import check
@@ -228,6 +229,40 @@ def normalize_text_full(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(clean).alias("digest"))
 
 
+def _rules_sql(endings) -> str:
+    return ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(endings))
+
+
+def _bases_sql(name: str, words: str, rules: str, exceptions: dict[str, str]) -> str:
+    """``<name>(word, base)`` of the words that have an exception or a candidate in the vocabulary."""
+    listed = ", ".join(f"('{a}', '{b}')" for a, b in exceptions.items())
+    return f"""
+    {name}_c AS (SELECT word, place, substr(word, 1, length(word) - length(ending)) || new AS base
+      FROM {words}, (VALUES {rules}) r(place, ending, new) WHERE ends_with(word, ending) AND length(word) + length(new) > length(ending)),
+    {name}_r AS (SELECT word, arg_min(base, place) AS base FROM {name}_c WHERE base IN (SELECT word FROM vocabulary) GROUP BY 1),
+    {name} AS (SELECT w.word, coalesce(e.base, r.base, w.word) AS base FROM {words} w
+      LEFT JOIN {name}_r r ON r.word = w.word LEFT JOIN (VALUES {listed}) e(word, base) ON e.word = w.word)"""
+
+
+@check("x14_lemmatized", f"""
+    WITH texts AS (SELECT doc_id, string_split({normal_sql(True, {"": ""}, {"": ""})}, ' ') AS w FROM documents),
+    placed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM texts),
+    vocabulary AS (SELECT DISTINCT word FROM placed WHERE word <> ''),
+    {_bases_sql("verb", "vocabulary", _rules_sql(lemmas.VERB_ENDINGS), VERBS)},
+    verbs AS (SELECT DISTINCT base AS word FROM verb),
+    {_bases_sql("noun", "verbs", _rules_sql(lemmas.NOUN_ENDINGS), NOUNS)}
+    SELECT doc_id, md5(string_agg(noun.base, ' ' ORDER BY i)) AS digest
+    FROM placed JOIN verb ON verb.word = placed.word JOIN noun ON noun.word = verb.base GROUP BY 1
+    UNION ALL SELECT doc_id, md5('') FROM texts WHERE w = [''] """)
+def lemmatized(spark, sf):
+    """Normalised texts with base forms by rules; the exceptions are tables."""
+    rows = docs(spark, sf)
+    verbs, nouns = (spark.createDataFrame(list(x.items()), "word string, base string") for x in (VERBS, NOUNS))
+    table = written(lemmas.lemma_table(rows, "text", True, tx.STOP_WORDS, verbs, nouns), "lemmas")
+    found = lemmas.lemmatized(rows, "doc_id", "text", table, True, tx.STOP_WORDS)
+    return found.select("doc_id", F.md5("text").alias("digest"))
+
+
 @check("x15_joined_categories", """
     SELECT book_id, concat(title, ' | ', publisher, ' | ', coalesce(image_url, 'nan')) AS text
     FROM book_facts""", ("book_facts",))
