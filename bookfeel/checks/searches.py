@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import spread, work_path, written
-from ..operators import enrich, joins, places, recogniser, search, word_vectors
+from ..operators import enrich, joins, places, recogniser, search, text_index, word_vectors
 from ..plans import serve
 from ..sources import driver_tables as d
+from ..sources import tables
 from .registry import check
 
 # Thresholds at which the test scores fall on both sides.
@@ -88,6 +89,35 @@ def search_title(spark, sf):
     return hits.select("book_id", "title", "average_rating", "total_shelves_count")
 
 
+@check("f08_search_title_index", _TITLE + " LIMIT 10", ("base",))
+def search_title_index(spark, sf):
+    """The same answer from the trigram index."""
+    base = written(d.base(spark, sf), "base")
+    index = text_index.build(base, work_path(spark, "titles"), "book_id", "title", base.columns)
+    hits = search.search_title(base, "RED", index=index)
+    return hits.select("book_id", "title", "average_rating", "total_shelves_count")
+
+
+@check("f08_contains_texts", """
+    SELECT p.pattern, doc_id FROM documents, (VALUES ('tion '), ('er%the'), ('hou'), ('q_u'), ('zz'), ('no such text')) p(pattern)
+    WHERE lower(text) LIKE '%' || p.pattern || '%'""")
+def contains_texts(spark, sf):
+    """Patterns with and without wildcards, common and rare, in all documents."""
+    index = text_index.build(d.documents(spark, sf), work_path(spark, "texts"), "doc_id", "text")
+    return reduce(DataFrame.union, [
+        index.search(p).select(F.lit(p).alias("pattern"), "doc_id") for p in ("tion ", "er%the", "hou", "q_u", "zz", "no such text")])
+
+
+@check("f06_get_books_stored", """
+    SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey IN (7, 1, 33) OR o_orderkey = -5""")
+def get_stored(spark, sf):
+    """Rows by key from a table stored in its order."""
+    orders = d.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    stored_ = tables.write_keyed(orders, work_path(spark, "orders"), "o_orderkey")
+    keys = spark.createDataFrame([(7,), (1,), (33,), (-5,)], "o_orderkey long")
+    return tables.look_up(stored_, "o_orderkey", keys)
+
+
 @check("w02_dedupe_editions", _TITLE, ("base",))
 def dedupe_editions(spark, sf):
     hits = search.search_title(d.base(spark, sf), "RED", n=None)

@@ -74,9 +74,11 @@ def dedupe_editions_guarded(df: DataFrame, n: int | None = 10) -> DataFrame:
     return kept if n is None else kept.limit(n)
 
 
-def search_title(base: DataFrame, title: str, n: int | None = 10) -> DataFrame:
-    """Books whose title contains the text, one per cluster, best first."""
-    hits = dedupe_editions(base.filter(contains(F.col("title"), title)))
+def search_title(base: DataFrame, title: str, n: int | None = 10, index=None) -> DataFrame:
+    """Books whose title contains the text, one per cluster, best first. An ``index``
+    (:class:`.text_index.TextIndex` of the titles, with the columns of ``base``) spares the scan."""
+    found = base.filter(contains(F.col("title"), title)) if index is None else index.search(title)
+    hits = dedupe_editions(found)
     ranked = hits.orderBy(F.desc("total_shelves_count"), F.desc("average_rating"), F.asc("book_id"))
     return ranked if n is None else ranked.limit(n)
 
@@ -99,11 +101,15 @@ def _with_cover(features: DataFrame, base: DataFrame) -> DataFrame:
 
 def ids_by_feature(
     features: DataFrame, base: DataFrame, feature: str, value: str,
-    n: int | None = 10, descending: bool = False,
+    n: int | None = 10, descending: bool = False, index=None,
 ) -> DataFrame:
     """Ids of books whose feature contains the text and that have a cover,
-    least shelved first unless ``descending``."""
-    matching = features.filter(contains(as_text(features, feature), value)).select("book_id")
+    least shelved first unless ``descending``. An ``index`` of the feature as text
+    spares the scan of ``features``."""
+    if index is None:
+        matching = features.filter(contains(as_text(features, feature), value)).select("book_id")
+    else:
+        matching = index.search(value).select("book_id")
     hits = _with_cover(matching, base)
     direction = F.desc if descending else F.asc
     ranked = hits.orderBy(

@@ -44,6 +44,27 @@ def write_table(df: DataFrame, path: str, mode: str = "replace", partition_by: s
     return True
 
 
+def write_keyed(df: DataFrame, path: str, key: str, group_bytes: int = 4 << 20, mode: str = "replace") -> DataFrame:
+    """Store a table in the order of ``key``, in small row groups that carry the range of their keys and,
+    by page, too, so that a look-up of a key reads the group that can hold it and skips the others."""
+    (df.repartitionByRange(F.col(key)).sortWithinPartitions(key).write.mode(MODES[mode])
+     .option("parquet.block.size", group_bytes).option("parquet.page.row.count.limit", 1000)
+     .option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path))
+    return read(df.sparkSession, path)
+
+
+LISTED = 1000  # keys that a filter names; more are joined
+
+
+def look_up(table: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of a ``write_keyed`` table whose key is among the distinct ``keys``. Few keys go into the scan's
+    filter, many meet the table in a join; the rows are the same."""
+    few = [r[0] for r in keys.select(key).limit(LISTED + 1).collect()]  # LISTED + 1 values at most
+    if len(few) <= LISTED:
+        return table.filter(F.col(key).isin(few))
+    return table.join(keys.select(key), key, "left_semi").select(*table.columns)
+
+
 def append_unique(df: DataFrame, path: str, key: str = "book_id") -> DataFrame:
     """Append rows whose key is not stored yet; creates the table when absent.
 
