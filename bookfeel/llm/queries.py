@@ -177,7 +177,21 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     return word_variants.variants(misspelt_words(table(spark, folder, "documents")))
 
 
-@register("op13_repeated_bytes")
+@register("op13_repeated_bytes", """
+    WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+    w AS (SELECT doc_id, i, md5(b[i:i + 199]) AS h FROM d, unnest(range(1, n - 198)) u(i)),
+    twice AS (SELECT h FROM w GROUP BY 1 HAVING count(*) > 1),
+    hit AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 1 ELSE 0 END AS fresh
+            FROM w SEMI JOIN twice USING (h)),
+    run AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hit),
+    span AS (SELECT doc_id, min(i) AS a, max(i) + 199 AS z FROM run GROUP BY doc_id, r),
+    cut AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM span),
+    gone AS (SELECT doc_id, sum(z - a + 1) AS removed, count(*) AS spans, max(z) AS last FROM span GROUP BY 1),
+    piece AS (SELECT doc_id, a AS place, hex(b[before + 1:a - 1]) AS p FROM cut JOIN d USING (doc_id) WHERE a > before + 1
+              UNION ALL SELECT doc_id, n + 1, hex(b[coalesce(last, 0) + 1:n]) FROM d LEFT JOIN gone USING (doc_id) WHERE n > coalesce(last, 0)),
+    kept AS (SELECT doc_id, string_agg(p, '' ORDER BY place) AS p FROM piece GROUP BY 1)
+    SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+      sha256(unhex(coalesce(p, ''))) AS kept_sha256 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)""")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes of every document that a repeated string of 200 bytes covers, and the rest."""
     found = repeated_bytes.without_repeats(table(spark, folder, "documents"), keep=["doc_id"])
