@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import written
 from ..functions import fields, text
 from .joins import skew_join
 
@@ -21,10 +22,11 @@ def deal_parts(df: DataFrame, key: str, order_by: str, size: int, out: str) -> D
     """Add the part of its group that a row falls into: 0 for a group of up to
     ``size`` rows, else one of ``ceil(rows / size)`` by a hash of ``order_by``.
 
-    The long groups are joined like any table, hot keys salted, however many they are.
+    The long groups are stored, so that their true size decides how they are joined: mostly
+    they are few and broadcast, otherwise hot keys are salted.
     """
     parts = F.ceil(F.col("_rows") / size)
-    sizes = df.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > size)
+    sizes = written(df.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > size), "long-groups")
     keyless = sizes.filter(F.col(key).isNull()).agg(F.max(parts)).scalar()  # null matches no key
     dealt = skew_join(df, sizes.select(key, parts.alias("_parts")), key, "left", [order_by])
     parts = F.when(F.col(key).isNull(), keyless).otherwise(F.col("_parts"))
