@@ -7,7 +7,8 @@ links; distrust is the same from the hosts of blocked pages against the links (w
 links to a bad host is suspect). Edges are the links between hosts, a relative link
 being one to the own host, and one from each host to its parent domain and back, so that
 a domain's hosts share their name. A host is blocked where it has distrust and that
-exceeds ``margin`` times its trust, however many hosts share a seed's distrust.
+exceeds ``margin`` times its trust, however many hosts share a seed's distrust. Both sum to
+one over all hosts, and weight is moved until hardly any is under way, over any number of links.
 
 A null url, or one without ``://``, has an empty host and path; an empty host has no
 links. Seeds weigh by their pages. Null pages count as pages without links. Everything
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from ..cluster import written
 
-DAMPING, ROUNDS, WRITE_EVERY = 0.85, 12, 4
+DAMPING, WRITE_EVERY = 0.85, 8
+REST = 1e-5  # share of all weight that may still be under way at the end
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -65,10 +67,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return inside.union(outside).union(up).union(up.select("b", "a", "n")).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rest: float = REST) -> DataFrame:
     """``host, trust, distrust`` from ``seeds`` (``host, good, bad``: start weights).
 
-    Hosts without links on hand their weight to no one; that scales all scores alike.
+    Rounds end when at most ``rest`` of each vector is still to come (what a round adds shrinks by
+    ``DAMPING``) and no host has been reached for the first time. Weight that
+    hosts without links on would hand out returns to the seeds: the fixed point with that
+    return is the one without it, scaled to the sum of the seeds. So both are scaled to
+    one sum and can be compared.
     """
     forward = edges.groupBy("a").agg(F.sum("n").alias("all")).join(edges, "a").select(
         F.col("a").alias("host"), F.col("b").alias("to"), (F.col("n") / F.col("all")).alias("good_w"), F.lit(0.0).alias("bad_w"))
@@ -76,17 +82,27 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
         F.col("b").alias("host"), F.col("a").alias("to"), F.lit(0.0).alias("good_w"), (F.col("n") / F.col("all")).alias("bad_w"))
     steps = written(forward.union(backward).groupBy("host", "to").agg(
         F.sum("good_w").alias("good_w"), F.sum("bad_w").alias("bad_w")), "host-steps")
-    start = written(seeds, "host-seeds")
-    base = start.select("host", ((1 - DAMPING) * F.col("good")).alias("trust"), ((1 - DAMPING) * F.col("bad")).alias("distrust"))
-    rank = base
-    for k in range(1, rounds + 1):
-        moved = rank.join(steps, "host").select(
-            F.col("to").alias("host"), (DAMPING * F.col("trust") * F.col("good_w")).alias("trust"),
-            (DAMPING * F.col("distrust") * F.col("bad_w")).alias("distrust"))
-        rank = base.union(moved).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if k % WRITE_EVERY == 0:
-            rank = written(rank, "host-ranks")
-    return rank
+    base = written(seeds.groupBy("host").agg(F.sum("good").cast("double").alias("trust"), F.sum("bad").cast("double").alias("distrust"))
+                   .where("trust > 0 OR distrust > 0"), "host-seeds")
+    sums = [F.coalesce(F.sum(c), F.lit(0.0)) for c in ("trust", "distrust")]
+    good, bad, reached = base.agg(*sums, F.count("*")).first()
+    # Of what some rounds have added, the last one added at most this share; a multiple of it is to come.
+    coming = DAMPING / (1 - DAMPING) / sum(DAMPING**-k for k in range(WRITE_EVERY))
+    rank, before = base, (good, bad)
+    while True:
+        for _ in range(WRITE_EVERY):
+            moved = rank.join(steps, "host").select(
+                F.col("to").alias("host"), (DAMPING * F.col("trust") * F.col("good_w")).alias("trust"),
+                (DAMPING * F.col("distrust") * F.col("bad_w")).alias("distrust"))
+            rank = base.union(moved).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")) \
+                .where("trust > 0 OR distrust > 0")
+        rank = written(rank, "host-ranks")
+        trust, distrust, hosts = rank.agg(*sums, F.count("*")).first()
+        if hosts == reached and (trust - before[0]) * coming <= rest * trust and (distrust - before[1]) * coming <= rest * distrust:
+            break
+        before, reached = (trust, distrust), hosts
+    return rank.select("host", (F.col("trust") * (good / (trust or 1.0))).alias("trust"),
+                       (F.col("distrust") * (bad / (distrust or 1.0))).alias("distrust"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id",),

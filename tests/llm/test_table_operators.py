@@ -290,21 +290,47 @@ def test_many_hosts_share_a_seeds_distrust(spark):
     assert verdict[-2] == verdict[-3] == verdict[1000] == "allow"
 
 
-def test_propagation_equals_power_iteration(spark):
-    draw = np.random.default_rng(2)
-    edges = sorted({(int(a), int(b)) for a, b in draw.integers(0, 12, (40, 2))})
-    weights = {e: float(draw.integers(1, 5)) for e in edges}
-    good, bad = draw.dirichlet(np.ones(12)), draw.dirichlet(np.ones(12))
-    m = np.zeros((12, 12))
+def by_equations(weights, good, bad, damping=0.85):
+    """Trust and distrust by linear equations; weight without a way on returns to the seeds."""
+    m = np.zeros((len(good), len(good)))
     for (a, b), n in weights.items():
         m[a, b] = n
-    trust, distrust, d = 0.15 * good, 0.15 * bad, 0.85
-    forward = m / np.maximum(m.sum(axis=1, keepdims=True), 1e-9)
-    backward = m / np.maximum(m.sum(axis=0, keepdims=True), 1e-9)
-    for _ in range(host_trust.ROUNDS):
-        trust, distrust = 0.15 * good + d * trust @ forward, 0.15 * bad + d * backward @ distrust
+    out = []
+    for links, seed in ((m, good), (m.T, bad)):
+        all_out = links.sum(axis=1)
+        step = np.where(all_out[:, None] > 0, links / np.maximum(all_out, 1e-9)[:, None], seed[None, :])
+        out.append(np.linalg.solve(np.eye(len(seed)) - damping * step.T, (1 - damping) * seed))
+    return out
+
+
+@pytest.mark.parametrize("shape", ["random", "path", "dead ends"])
+def test_propagation_equals_equations(spark, shape):
+    draw = np.random.default_rng(2)
+    n = 12 if shape == "random" else 40
+    if shape == "path":
+        weights = {(i, i + 1): 1.0 for i in range(n - 1)}  # far more links than a few rounds reach
+    else:
+        weights = {(int(a), int(b)): float(draw.integers(1, 5)) for a, b in draw.integers(0, n, (40, 2))}
+    good, bad = draw.dirichlet(np.ones(n)), draw.dirichlet(np.ones(n))
+    if shape == "path":
+        good, bad = np.eye(n)[0], np.eye(n)[n - 1]
+    trust, distrust = by_equations(weights, good, bad)
     table = spark.createDataFrame([(f"h{a}", f"h{b}", n) for (a, b), n in weights.items()], "a string, b string, n double")
-    seeds = spark.createDataFrame([(f"h{i}", float(good[i]), float(bad[i])) for i in range(12)], "host string, good double, bad double")
-    for r in host_trust.propagate(table, seeds).collect():
-        i = int(r["host"][1:])
-        assert r["trust"] == pytest.approx(trust[i]) and r["distrust"] == pytest.approx(distrust[i])
+    seeds = spark.createDataFrame([(f"h{i}", float(good[i]), float(bad[i])) for i in range(n)], "host string, good double, bad double")
+    found = {int(r["host"][1:]): r for r in host_trust.propagate(table, seeds).collect()}
+    assert set(found) == {i for i in range(n) if trust[i] > 0 or distrust[i] > 0}
+    for i, r in found.items():
+        assert r["trust"] == pytest.approx(trust[i], abs=2e-5) and r["distrust"] == pytest.approx(distrust[i], abs=2e-5)
+    assert sum(r["trust"] for r in found.values()) == pytest.approx(1) == sum(r["distrust"] for r in found.values())
+
+
+def test_verdicts_far_from_the_seeds(spark):
+    # A chain of forty links ends at a blocked page: the first host in it is as suspect as the last.
+    pages = [(i, f"http://h{i}.org/", f'<a href="http://h{i + 1}.org/">x</a>') for i in range(40)]
+    pages += [(40, "http://h40.org/", '<a href="http://bad.net/">x</a>'), (41, "http://bad.net/es/", None), (42, "http://z.org/", None)]
+    found = host_trust.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES).collect()
+    verdict = {r["page_id"]: r["verdict"] for r in found}
+    assert {verdict[i] for i in range(42)} == {"block"} and verdict[42] == "allow"
+    none = host_trust.propagate(spark.createDataFrame([], "a string, b string, n double"),
+                                spark.createDataFrame([("a", 0.0, 0.0)], "host string, good double, bad double"))
+    assert none.count() == 0
