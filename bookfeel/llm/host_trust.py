@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..cluster import written
 
-DAMPING, WRITE_EVERY = 0.85, 8
+DAMPING, WRITE_EVERY = 0.85, 4
 REST = 1e-5  # share of all weight that may still be under way at the end
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -80,14 +80,20 @@ def propagate(edges: DataFrame, seeds: DataFrame, rest: float = REST) -> DataFra
         F.col("a").alias("host"), F.col("b").alias("to"), (F.col("n") / F.col("all")).alias("good_w"), F.lit(0.0).alias("bad_w"))
     backward = edges.groupBy("b").agg(F.sum("n").alias("all")).join(edges, "b").select(
         F.col("b").alias("host"), F.col("a").alias("to"), F.lit(0.0).alias("good_w"), (F.col("n") / F.col("all")).alias("bad_w"))
-    steps = written(forward.union(backward).groupBy("host", "to").agg(
-        F.sum("good_w").alias("good_w"), F.sum("bad_w").alias("bad_w")), "host-steps")
+    pairs = written(forward.union(backward).groupBy("host", "to").agg(
+        F.sum("good_w").alias("good_w"), F.sum("bad_w").alias("bad_w")), "host-pairs")
+    # What a host hands to itself round after round is summed up at once, as a geometric series.
+    loops = pairs.where("host = to").select("host", (1 - DAMPING * F.col("good_w")).alias("good_on"), (1 - DAMPING * F.col("bad_w")).alias("bad_on"))
+    steps = written(pairs.where("host <> to").join(loops, "host", "left").select(
+        "host", "to", (F.col("good_w") / F.coalesce("good_on", F.lit(1.0))).alias("good_w"),
+        (F.col("bad_w") / F.coalesce("bad_on", F.lit(1.0))).alias("bad_w")), "host-steps")
     base = written(seeds.groupBy("host").agg(F.sum("good").cast("double").alias("trust"), F.sum("bad").cast("double").alias("distrust"))
                    .where("trust > 0 OR distrust > 0"), "host-seeds")
     sums = [F.coalesce(F.sum(c), F.lit(0.0)) for c in ("trust", "distrust")]
     good, bad, reached = base.agg(*sums, F.count("*")).first()
-    # Of what some rounds have added, the last one added at most this share; a multiple of it is to come.
-    coming = DAMPING / (1 - DAMPING) / sum(DAMPING**-k for k in range(WRITE_EVERY))
+    # Of what some rounds have added, the last one added at most this share; a multiple of it is to
+    # come, and the series of a loop can raise that once more.
+    coming = DAMPING / (1 - DAMPING) ** 2 / sum(DAMPING**-k for k in range(WRITE_EVERY))
     rank, before = base, (good, bad)
     while True:
         for _ in range(WRITE_EVERY):
@@ -101,8 +107,12 @@ def propagate(edges: DataFrame, seeds: DataFrame, rest: float = REST) -> DataFra
         if hosts == reached and (trust - before[0]) * coming <= rest * trust and (distrust - before[1]) * coming <= rest * distrust:
             break
         before, reached = (trust, distrust), hosts
-    return rank.select("host", (F.col("trust") * (good / (trust or 1.0))).alias("trust"),
-                       (F.col("distrust") * (bad / (distrust or 1.0))).alias("distrust"))
+    whole = written(rank.join(loops, "host", "left").select(
+        "host", (F.col("trust") / F.coalesce("good_on", F.lit(1.0))).alias("trust"),
+        (F.col("distrust") / F.coalesce("bad_on", F.lit(1.0))).alias("distrust")), "host-ranks")
+    trust, distrust = whole.agg(*sums).first()
+    return whole.select("host", (F.col("trust") * (good / (trust or 1.0))).alias("trust"),
+                        (F.col("distrust") * (bad / (distrust or 1.0))).alias("distrust"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id",),
