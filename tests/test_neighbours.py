@@ -238,3 +238,31 @@ def test_topics_are_fitted_on_normalised_texts(spark, monkeypatch):
         assert 5 < len(mine) <= 10
         assert weights == sorted(weights, reverse=True) and min(weights) > 0
     assert not any(re.search(r"[0-9]|\b(the|an)\b", r["term"]) for r in terms)
+
+
+@pytest.mark.parametrize("metric", ["dot", "euclidean"])
+def test_tiles_in_many_parts_without_shuffled_pairs(spark, monkeypatch, metric):
+    monkeypatch.setattr(nb, "BLOCK", 16)
+    monkeypatch.setattr(nb, "PART_BYTES", 4000)
+    monkeypatch.setattr(nb, "TILES", 2)
+    m = clustered(3)
+    m[100:160] = m[40]  # more copies than neighbours, in several tiles
+    found = nb.knn_exact(vectors(spark, m), 5, metric, leaf=20)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "hashpartitioning(cell" not in plan
+    assert lists(found) == brute(m, 5, metric)
+    assert lists(nb.knn_ivf(vectors(spark, m), 5, leaf=20, probe=1.0, metric=metric)) == brute(m, 5, metric)
+
+
+def test_best_rows_are_kept_while_more_come():
+    draw = np.random.default_rng(6)
+    keys = draw.integers(0, 20, (7, 300)).astype(float)
+    best = nb._Best(7, 4)
+    for low in range(0, 300, 25):
+        row, col = nb._smallest(keys[:, low:low + 25], 4, best.most)
+        best.add(row, low + col, keys[row, low + col] * 2, keys[row, low + col])
+        assert best.size <= 4 * 4 * 7 + 7 * 25
+    row, ids, score, key = best.settle()
+    for i in range(7):
+        assert list(ids[row == i]) == sorted(range(300), key=lambda j: (keys[i, j], j))[:4]
+    assert (score == 2 * key).all()
