@@ -70,20 +70,31 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40))))
 
 
+def _counted(rows: list[np.ndarray], which: np.ndarray, at_once: int = 256) -> np.ndarray:
+    """How many of the rows have each slot."""
+    counts = np.zeros(SIZE, np.int64)
+    for low in range(0, len(which), at_once):
+        counts += np.bincount(np.concatenate([rows[i] for i in which[low:low + at_once]]), minlength=SIZE)
+    return counts
+
+
 def _hinge_by_dual_ascent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: np.ndarray,
                           rounds: int = 12) -> tuple[np.ndarray, float]:
     """Weights over ``ratio``-scaled indicator rows, and the intercept."""
-    values = [ratio[x] / np.sqrt(len(x)) if len(x) else ratio[x] for x in rows]
-    norms = np.array([v @ v + 1 for v in values])
+    def value(x: np.ndarray) -> np.ndarray:  # made anew each time: all at once are many times the slots
+        return ratio[x] / np.sqrt(len(x)) if len(x) else ratio[x]
+
+    norms = np.array([v @ v + 1 for v in map(value, rows)])
     w, intercept, alpha = np.zeros(SIZE), 0.0, np.zeros(len(rows))
     draw = np.random.default_rng(7)
     for _ in range(rounds):
         for i in draw.permutation(len(rows)):
-            gap = y[i] * (values[i] @ w[rows[i]] + intercept) - 1
+            own = value(rows[i])
+            gap = y[i] * (own @ w[rows[i]] + intercept) - 1
             new = min(max(alpha[i] - gap / norms[i], 0.0), cost[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
-                w[rows[i]] += step * values[i]
+                w[rows[i]] += step * own
                 intercept += step
                 alpha[i] = new
     return w, intercept
@@ -113,8 +124,7 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, aside: np.ndarray, smoo
     if not (good & fit).any() or not (~good & fit).any():
         share = np.clip(good.mean() if len(good) else 0.5, 1e-6, 1 - 1e-6)
         return Model(np.zeros(SIZE), 0.0, 0.0, float(np.log(share / (1 - share))))
-    counts = [smooth + np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(fit & side)]), minlength=SIZE)
-              for side in (good, ~good)]
+    counts = [smooth + _counted(rows, np.flatnonzero(fit & side)) for side in (good, ~good)]
     ratio = np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
     index = np.flatnonzero(fit)
     y = np.where(good[index], 1.0, -1.0)
@@ -150,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "do
         .select("*", (F.crc32(F.col("_key").cast("string")) % 5 == 1).alias("aside")).collect()
     )
     rows.sort(key=lambda r: (r["_key"], r["slots"]))
-    return fit_rows([np.frombuffer(r["slots"], "<u2").astype(np.int64) for r in rows],
+    return fit_rows([np.frombuffer(r["slots"], "<u2") for r in rows],
                     np.array([r["_label"] for r in rows], int), np.array([r["aside"] for r in rows], bool))
 
 
