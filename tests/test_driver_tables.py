@@ -55,3 +55,19 @@ def test_editions_are_grouped_by_a_short_key(spark):
     keys = [r[0] for r in lists.select(search.list_key(F.col("s"))).collect()]
     assert len(set(keys)) == 5 and keys[-1] is None
     assert {len(k) for k in keys[:-1]} == {64}
+
+
+def test_no_key_of_a_large_table_is_broadcast(spark, tmp_path):
+    """Orders under the reviews and parts under the descriptions: their files are small, their keys in memory are not."""
+    parts(spark, tmp_path)
+    spark.range(9).selectExpr("id AS doc_id", "concat('text ', id) AS text", "'en' AS lang").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(40).selectExpr(
+        "id % 12 AS l_orderkey", "id % 5 AS l_partkey", "id AS l_suppkey", "CAST(id % 7 + 1 AS INT) AS l_linenumber",
+        "CAST(id AS DOUBLE) AS l_quantity", "DATE'1995-03-05' AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(10).selectExpr("id AS o_orderkey", "id AS o_custkey", "DATE'1995-03-01' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    few = d.reviews(spark, str(tmp_path), text=False).select("book_id", "rating")
+    described = d.descriptions(spark, str(tmp_path))
+    for df in (few, described):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert few.count() == sum(i % 12 < 10 for i in range(40))
+    assert sorted(r["book_id"] for r in described.collect()) == [1, 2, 2, 3, 4, 5, 6, 7, 7, 8, 9]
