@@ -15,6 +15,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,11 @@ SLOTS = 1 << 16  # of hashed features
 NEVER = -1e4  # an I that follows no name
 WORD = re.compile(r"\w+|[^\w\s]")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
-LONG = 400  # words decoded at once; longer sentences are cut there
+LONG = 400  # words decoded in one run; longer sentences are cut there
+MANY = 4096  # words whose sentences are decoded side by side, at least one sentence
 
 
+@lru_cache(1 << 16)
 def _shape(word: str) -> str:
     kind = re.sub(r"[^\W\d_]", lambda m: "X" if m[0].isupper() else "x", word)
     return re.sub(r"(.)\1+", r"\1+", re.sub(r"\d", "d", kind))
@@ -40,14 +43,23 @@ def features(words: list[str]) -> np.ndarray:
     shapes = ["<", *map(_shape, words), ">"]
     lower = ["<", *(w.lower() for w in words), ">"]
     out = np.empty((len(words), 10), np.int64)
-    for i, word in enumerate(words):
+    for i in range(len(words)):
         k = i + 1
-        texts = (f"w{lower[k]}", f"s{shapes[k]}", f"p{lower[k][:3]}", f"e{lower[k][-3:]}", f"b{lower[k - 1]}", f"a{lower[k + 1]}",
-                 f"B{shapes[k - 1]}{shapes[k]}", f"A{shapes[k]}{shapes[k + 1]}", f"f{i == 0}{shapes[k]}", f"2{lower[k - 1]}|{shapes[k]}")
-        out[i] = [zlib.crc32(t.encode("utf-8", "surrogatepass")) % SLOTS for t in texts]
+        texts = (f"b{lower[k - 1]}", f"a{lower[k + 1]}", f"B{shapes[k - 1]}{shapes[k]}", f"A{shapes[k]}{shapes[k + 1]}",
+                 f"f{i == 0}{shapes[k]}", f"2{lower[k - 1]}|{shapes[k]}")
+        out[i] = (*_own_slots(lower[k], shapes[k]), *map(_slot, texts))
     return out
 
 
+def _slot(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) % SLOTS
+
+
+@lru_cache(1 << 16)
+def _own_slots(lower: str, shape: str) -> tuple[int, int, int, int]:
+    return _slot(f"w{lower}"), _slot(f"s{shape}"), _slot(f"p{lower[:3]}"), _slot(f"e{lower[-3:]}")
+
+
 def _sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis, keepdims=True)
     return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
@@ -80,17 +92,41 @@ class Field:
 
     def decode(self, slots: np.ndarray) -> np.ndarray:
         """The best tags (Viterbi)."""
-        own, steps = self.parts(slots)
-        best, back = own[0], np.zeros((len(own), 3), np.int64)
-        for i in range(1, len(own)):
-            ways = best[:, None] + steps
-            back[i] = ways.argmax(0)
-            best = ways.max(0) + own[i]
-        tags = np.empty(len(own), np.int64)
-        tags[-1] = best.argmax()
-        for i in range(len(own) - 1, 0, -1):
-            tags[i - 1] = back[i, tags[i]]
-        return tags
+        return self.decode_all([slots])[0][0]
+
+    def decode_all(self, sentences: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The best tags of each sentence and their probabilities. All sentences go forward side by side,
+        longest first, so that those with an i-th word are the first ones."""
+        sizes = np.array([len(s) for s in sentences])
+        order = np.argsort(-sizes, kind="stable")
+        first = (np.cumsum(sizes) - sizes)[order]
+        last = first + sizes[order] - 1
+        longest = int(sizes.max())
+        live = [int((sizes > i).sum()) for i in range(longest)]
+        own = self.weights[np.concatenate(sentences)].sum(1)
+        own[first] += self.start
+        own[first, INSIDE] += NEVER
+        steps = self.steps.copy()
+        steps[OUTSIDE, INSIDE] += NEVER
+        best, back, tags = own[first], np.zeros((len(own), 3), np.int64), np.empty(len(own), np.int64)
+        forward, backward = own.copy(), np.zeros_like(own)
+        for i in range(1, longest):
+            n, at = live[i], first[:live[i]] + i
+            ways = best[:n, :, None] + steps
+            back[at] = ways.argmax(1)
+            best[:n] = ways.max(1) + own[at]
+            forward[at] += _sum(forward[at - 1][:, :, None] + steps, 1)
+        tags[last] = best.argmax(1)
+        for i in range(longest - 1, 0, -1):
+            at = first[:live[i]] + i
+            tags[at - 1] = back[at, tags[at]]
+            backward[at - 1] = _sum(steps + (own[at] + backward[at])[:, None, :], 2)
+        whole = np.empty(len(sizes))
+        whole[order] = _sum(forward[last], 1)
+        words = np.arange(len(own))
+        chances = np.exp(forward[words, tags] + backward[words, tags] - np.repeat(whole, sizes))
+        edges = np.cumsum(sizes)[:-1]
+        return list(zip(np.split(tags, edges), np.split(chances, edges)))
 
     def marginals(self, slots: np.ndarray):
         """Log of the sum over all taggings, probabilities of tags by word and of steps in all."""
@@ -142,25 +178,40 @@ def fit(sentences: DataFrame, rounds: int = 8, rate: float = 0.2) -> Field:
 
 def recognise(field: Field, text: str) -> list[dict]:
     """Entities of a whole text in order: ``entity_group``, ``score``, ``word`` (as it stands in the text)."""
-    out = []
-    for sentence in SENTENCE.split(text):
-        found = list(WORD.finditer(sentence))
-        for low in range(0, len(found), LONG):
-            part = found[low:low + LONG]
-            slots = features([m[0] for m in part])
-            tags = field.decode(slots)
-            if not tags.any():
-                continue
-            chances = field.marginals(slots)[1][np.arange(len(tags)), tags]
-            for i in np.flatnonzero(tags == BEGIN).tolist():
-                j = i + 1
-                while j < len(tags) and tags[j] == INSIDE:
-                    j += 1
-                out.append({"entity_group": "LOC", "score": float(chances[i:j].min()),
-                            "word": sentence[part[i].start():part[j - 1].end()]})
+    return recognise_all(field, [text])[0]
+
+
+def recognise_all(field: Field, texts: list[str]) -> list[list[dict]]:
+    """:func:`recognise` for each of the texts, some ``MANY`` words of them at a time."""
+    out: list[list[dict]] = [[] for _ in texts]
+    held: list[tuple[int, str, list[re.Match], np.ndarray]] = []
+
+    def tell() -> None:
+        for (i, sentence, part, _), (tags, chances) in zip(held, field.decode_all([h[3] for h in held])):
+            for low in np.flatnonzero(tags == BEGIN).tolist():
+                high = low + 1
+                while high < len(tags) and tags[high] == INSIDE:
+                    high += 1
+                out[i].append({"entity_group": "LOC", "score": float(chances[low:high].min()),
+                               "word": sentence[part[low].start():part[high - 1].end()]})
+        held.clear()
+
+    words = 0
+    for i, text in enumerate(texts):
+        for sentence in SENTENCE.split(text):
+            found = list(WORD.finditer(sentence))
+            for low in range(0, len(found), LONG):
+                part = found[low:low + LONG]
+                held.append((i, sentence, part, features([m[0] for m in part])))
+                words += len(part)
+                if words >= MANY:
+                    tell()
+                    words = 0
+    if held:
+        tell()
     return out
 
 
 def entity_model(field: Field) -> Callable[[], Callable[[list[str]], list[list[dict]]]]:
     """A loader for ``extract_entities``; the weights travel with the tasks."""
-    return lambda: lambda texts: [recognise(field, text) for text in texts]
+    return lambda: lambda texts: recognise_all(field, texts)

@@ -120,3 +120,28 @@ def test_trie_against_all_runs(spark):
         {r["book_id"]: [tuple(e) for e in r["entities"]] for r in places.known_place_entities(df, "t", listed, name_words=n).collect()}
         for n in (1000, 3))
     assert held == joined and any(held.values()) and held[99] == held[98] == []
+
+
+def test_texts_are_decoded_side_by_side(monkeypatch):
+    """A batch gives what each text gives alone, and what each sentence's own marginals say, in few steps."""
+    draw, field = random.Random(3), some_field(2)
+    texts = [" ".join(draw.choice(["Oslo", "went", "to", "New", "York", "x7", "It."]) for _ in range(draw.randrange(0, 40))) for _ in range(60)]
+    texts += ["", " \n", "Lima " * 900, "One. Two\nThree"]
+    decoded, real = [], rc.Field.decode_all
+
+    def counted(self, sentences):
+        decoded.append(len(sentences))
+        return real(self, sentences)
+
+    monkeypatch.setattr(rc.Field, "decode_all", counted)
+    monkeypatch.setattr(rc, "MANY", 1000)
+    together = rc.entity_model(field)()(texts)
+    assert len(decoded) <= 4 and sum(decoded) > 100
+    for text, found in zip(texts, together):
+        alone = rc.recognise(field, text)
+        assert [e["word"] for e in alone] == [e["word"] for e in found]
+        assert [e["score"] for e in alone] == pytest.approx([e["score"] for e in found])
+    slots = rc.features("Ann left New York for Oslo".split())
+    tags, chances = real(field, [slots[:2], slots, slots[:1]])[1]
+    assert tags.tolist() == field.decode(slots).tolist()
+    assert chances.tolist() == pytest.approx(field.marginals(slots)[1][np.arange(6), tags].tolist())
