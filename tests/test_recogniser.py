@@ -6,7 +6,9 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from conftest import SMALL
 
+from bookfeel.checks import searches
 from bookfeel.operators import places, recogniser as rc
 from bookfeel.operators.name_trie import NameTrie, free_spans
 
@@ -145,3 +147,15 @@ def test_texts_are_decoded_side_by_side(monkeypatch):
     tags, chances = real(field, [slots[:2], slots, slots[:1]])[1]
     assert tags.tolist() == field.decode(slots).tolist()
     assert chances.tolist() == pytest.approx(field.marginals(slots)[1][np.arange(6), tags].tolist())
+
+
+def test_sentences_of_a_small_file_are_read_on_all_cores(spark, monkeypatch):
+    parts, real = [], places.extract_entities
+
+    def extract(df, *rest):
+        parts.append(df.rdd.getNumPartitions())
+        return real(df, *rest)
+
+    monkeypatch.setattr(places, "extract_entities", extract)
+    assert tuple(searches.recognise_places(spark, SMALL).first())[1:] == (1, 1)
+    assert parts[0] >= spark.sparkContext.defaultParallelism
