@@ -54,7 +54,8 @@ def lemmatized(df: DataFrame, key: str, text: str, table: DataFrame, accents: bo
     """``key, text``: the normalised texts with the lemmas of ``table``; rows are told apart by ``key``. Only the
     places of words that change travel; a text without words is empty."""
     cleaned = tx.normalize_words(F.col(text), accents=accents, stop_words=stop_words, verbs={}, nouns={})
-    rows = df.select(key, F.coalesce(cleaned, F.array().cast("array<string>")).alias("_words"))
+    # Read twice below, so the texts are normalised only once.
+    rows = written(df.select(key, F.coalesce(cleaned, F.array().cast("array<string>")).alias("_words")), "normal-words")
     places = rows.select(key, F.posexplode("_words").alias("_at", "word"))
     changed = skew_join(places, table, "word", "inner", [key, "_at"])
     swaps = changed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_at", "lemma"))).alias("_swaps"))

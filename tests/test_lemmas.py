@@ -29,3 +29,11 @@ def test_candidates_must_be_known(spark):
     got = {r["word"]: r["base"] for r in lemmas.base_forms(words, lemmas.VERB_ENDINGS, known).collect()}
     assert got == {"sing": "s", "as": "a"}
     assert lemmas.base_forms(words.limit(0), lemmas.NOUN_ENDINGS, known).count() == 0
+
+
+def test_texts_are_normalised_once(spark):
+    df = spark.createDataFrame([(1, "Walks, walked!"), (1, "walk"), (None, "walks")], "id int, text string")
+    table = lemmas.lemma_table(df, "text")
+    found = lemmas.lemmatized(df.where("id is null or text <> 'walk'"), "id", "text", table)
+    assert "regexp" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["id"]: r["text"] for r in found.collect()}[1] == "walk walk"
