@@ -50,6 +50,19 @@ def test_lists_of_editions_are_joined_by_group_and_last(spark, tmp_path):
     assert "_g_name" in joins[0] and not any("_g_name" in line for line in joins[1:])
 
 
+def test_a_base_stored_for_feature_searches_holds_no_lists_of_editions(spark, tmp_path):
+    """Rows as in the base, repeated keys too, in as much space a book however large its group."""
+    from bookfeel.checks import searches
+
+    folder = parts(spark, tmp_path)
+    spark.createDataFrame([(1, "N")], "l_partkey long, l_returnflag string").write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(8, "view", 2.0)], "event_id long, event_type string, value double").write.parquet(f"{folder}/events.parquet")
+    _, base = searches.stored(spark, folder)
+    assert "array<bigint>" not in dict(base.dtypes).values()
+    want = d.base(spark, folder).drop("similar_books")
+    assert base.columns == want.columns and sorted(map(repr, base.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_editions_are_grouped_by_a_short_key(spark):
     lists = spark.createDataFrame([([*range(5000)],), ([*range(5001)],), ([7],), ([],), (None,)], "s array<long>")
     keys = [r[0] for r in lists.select(search.list_key(F.col("s"))).collect()]
