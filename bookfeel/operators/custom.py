@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import pickle
 from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..cluster import written
 from .joins import skew_join
@@ -39,16 +42,66 @@ def apply_groups(
     own = [c for c in df.columns if c != key]
     if context is not None:
         df = skew_join(df, context, key, "left", own)
+    columns = df.columns
+    # A null makes a column of whole numbers or flags another kind of column, in its own group
+    # only: it travels as a mark, so that the other groups of a batch keep theirs.
+    marked = {f"_null_{f.name}": f for f in df.schema.fields if f.nullable and isinstance(f.dataType, (T.IntegralType, T.BooleanType))}
+    plain = {f.name: f.dataType for f in marked.values()}
     dealt = deal_parts(df, key, order_by, size, "_part")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return fn(frame.drop(columns=["_part"]))
+    def own_kind(frame: pd.DataFrame) -> pd.DataFrame:
+        missing = {m: frame.pop(m).to_numpy() for m in marked}
+        for mark, f in marked.items():
+            if missing[mark].any():
+                wide = frame[f.name].astype("float64" if isinstance(f.dataType, T.IntegralType) else object)
+                frame[f.name] = wide.mask(missing[mark], None)
+        return frame
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # rows of the group at hand, from the batches before
+        for frame in frames:
+            starts = np.flatnonzero(frame.pop("_first").to_numpy())
+            odd = any(frame[m].any() for m in marked)
+            whole = frame if odd else frame.drop(columns=list(marked))
+            done: list[pd.DataFrame] = []
+            at = 0
+            for edge in starts:
+                if edge > at:
+                    held.append(whole.iloc[at:edge])
+                if held:
+                    done.append(answer(held))
+                held, at = [], edge
+            if len(whole) > at:
+                held.append(whole.iloc[at:])
+            yield from joined(done)
+        if held:
+            yield from joined([answer(held)])
+
+    def answer(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        if len(parts) > 1 and len({len(p.columns) for p in parts}) > 1:  # marks in some batches only
+            parts = [p if marked.keys() <= set(p.columns) else p.assign(**dict.fromkeys(marked, False)) for p in parts]
+        group = pd.concat(parts) if len(parts) > 1 else parts[0].copy(deep=False)
+        group.index = pd.RangeIndex(len(group))
+        return fn(own_kind(group) if len(group.columns) > len(columns) else group)
+
+    def joined(results: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Results of one kind in one frame: a kind of its own stays apart, as no value may change."""
+        results = [r for r in results if len(r)]
+        for _, alike in itertools.groupby(results, lambda r: [*zip(r.columns, r.dtypes)]):
+            alike = list(alike)
+            yield pd.concat(alike, ignore_index=True) if len(alike) > 1 else alike[0]
 
     # The function's cost does not show in the data size, so the partition count
     # is given: adaptive execution would merge small data into few tasks.
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pieces = max(least, -(-df.count() // size))
-    return dealt.repartition(pieces, key, "_part").groupBy(key, "_part").applyInPandas(run, schema)
+    # Groups follow one another in a partition, many to an Arrow batch: a batch for each
+    # costs far more than most functions do.
+    first = F.row_number().over(Window.partitionBy(key, "_part").orderBy("_part")) == 1
+    filled = [F.coalesce(c, F.lit(0).cast(plain[c])).alias(c) if c in plain else c for c in columns]
+    rows = dealt.repartition(pieces, key, "_part").withColumn("_first", first).select(
+        *filled, *[F.col(f.name).isNull().alias(m) for m, f in marked.items()], "_first")
+    return rows.mapInPandas(run, schema)
 
 
 class Fold(Protocol):

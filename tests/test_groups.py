@@ -192,6 +192,33 @@ def test_apply_groups_slices_a_hot_group(spark):
     assert max(r["n"] for r in got) < 200
 
 
+def test_apply_groups_hands_over_many_groups_at_once(spark):
+    """Equal to a call a group through Spark, kinds of columns included, without an Arrow batch for each group."""
+    df = spark.range(3000).selectExpr(
+        "CASE WHEN id % 7 > 0 THEN id DIV 3 END AS k", "id AS i",
+        "CASE WHEN id % 50 > 0 THEN id + 9007199254740993 END AS big", "CASE WHEN id % 60 > 0 THEN id % 2 = 0 END AS flag",
+        "CASE WHEN id % 40 > 0 THEN CAST(id AS DOUBLE) END AS x", "CASE WHEN id % 30 > 0 THEN concat('s', id) END AS s")
+
+    def told(frame):
+        if frame["i"].sum() % 5 == 0:
+            return frame.head(0).assign(said="", first=0)[["k", "i", "said", "first"]]
+        ordered = frame.sort_values("i")
+        said = repr([str(t) for t in frame.dtypes]) + repr(ordered.values.tolist()) + str(sorted(frame.index) == list(range(len(frame))))
+        return frame.assign(said=said, first=int(frame["i"].min()))[["k", "i", "said", "first"]]
+
+    schema = "k long, i long, said string, first long"
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = bag(df.groupBy("k").applyInPandas(told, schema))
+    try:
+        for rows in ("10000", "7"):  # groups within a batch, and across several
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            got = custom.apply_groups(df, "k", told, schema, "i")
+            assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+            assert bag(got) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def test_fold_groups_gives_one_answer(spark):
     """A group of 250,000 rows, small ones and the null key, against pandas."""
     class Moments:
