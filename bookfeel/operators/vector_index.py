@@ -38,6 +38,8 @@ WORDS = 256  # entries of a code book
 ROUNDS = 12  # of fitting a code book
 PART = 4096  # rows of a list that one task holds
 ROWS = 1024  # rows that stream by at once
+TILE = 16_384  # rows of lists, or queries, that meet in one task
+CHUNK = 128  # queries whose distances to a tile are held at once
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -220,11 +222,15 @@ class VectorIndex:
             self.spark.createDataFrame([(json.dumps(self.facts),)], "facts string").coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/facts")
         self._listed(assigned).write.mode("append").parquet(f"{self.path}/lists")
 
-    def _probed(self, queries: DataFrame, probes: int | None, share: float | None) -> DataFrame:
-        """``id, cell, vec`` of the cells that each query (lifted) looks at."""
+    def _wanted(self, probes: int | None, share: float | None) -> tuple[np.ndarray, int]:
+        """The cells of each root, and how many cells a query looks at."""
         counts = {r["root"]: r["n"] for r in self._table("cells").groupBy("root").agg(F.count("*").alias("n")).collect()}  # a row per root
         held = np.array([counts.get(i, 0) for i in range(len(self.roots))])
-        wanted = probes if share is None else max(1, int(np.ceil(share * held.sum())))
+        return held, probes if share is None else max(1, int(np.ceil(share * held.sum())))
+
+    def _probed(self, queries: DataFrame, probes: int | None, share: float | None) -> DataFrame:
+        """``id, cell, vec`` of the cells that each query (lifted) looks at."""
+        held, wanted = self._wanted(probes, share)
         roots = self.roots
 
         def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,6 +262,24 @@ class VectorIndex:
         nearest = Window.partitionBy("id").orderBy("away", "cell")
         return found.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= wanted).select("id", "cell")
 
+    def _tiled(self, kept: DataFrame, lifted: DataFrame, probes: int | None, share: float | None) -> tuple[DataFrame, DataFrame]:
+        """Lists and queries by ``tile, salt``: many lists share a tile, and a query comes to a tile once, with the
+        names of its cells there. One that looks at all cells needs none of them named. A tile has a copy for each
+        salt of the queries."""
+        held, wanted = self._wanted(probes, share)
+        least = int(np.ceil((2 * self.spark.sparkContext.defaultParallelism) ** 0.5))  # so that all cores take part
+        tiles, salts = (max(least, -(-df.count() // TILE)) for df in (kept, lifted))
+        kept = kept.withColumn("tile", F.pmod(F.xxhash64("cell", "part"), F.lit(tiles)).cast("int"))
+        if wanted >= held.sum():
+            streamed = lifted.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumn("extra", F.lit(None).cast("binary"))
+        else:
+            at = kept.select("cell", "tile").distinct()  # more than one for a list in parts
+            asks = self._probed(lifted, probes, share).join(at, "cell").groupBy("id", "tile").agg(
+                F.array_join(F.collect_list(F.col("cell").cast("string")), " ").cast("binary").alias("extra"))
+            streamed = asks.join(lifted, "id")
+        kept = kept.withColumn("extra", F.col("cell").cast("string").cast("binary")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return kept.select("tile", "salt", "id", "vec", "extra"), streamed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+
     def search(self, queries: DataFrame, k: int = 10, probes: int | None = 32, share: float | None = None,
                shortlist: int | None = 100, key: str = "id", vector: str = "embedding", itself: bool = False) -> DataFrame:
         """``id, rank, neighbour, score`` for rows of ``queries``: the ``probes`` nearest cells (or that
@@ -264,14 +288,10 @@ class VectorIndex:
         of its own id unless ``itself``."""
         asked = written(_points(queries, key, vector), "asked")
         lifted = self._lifted(asked, query=True)
-        probed = self._probed(lifted, probes, share)
         dot, top, books = self.facts["metric"] == "dot", self.facts["longest"], self.books
         lists = self._table("lists")
         parts = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("_rows") / PART))).cast("int")
         sizes = lists.groupBy("cell").agg(F.count("*").alias("_rows"))
-        probe_rows = written(probed.join(lifted, "id"), "cell-probes")
-        streamed = probe_rows.join(sizes, "cell").withColumn(
-            "part", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_rows") / PART) - 1).cast("int"))))
         kept = lists.join(sizes, "cell").withColumn("part", parts)
 
         def ranked(ids, near, own_ids, score, rank, n):
@@ -281,12 +301,21 @@ class VectorIndex:
             row, col = np.nonzero((rank <= limit) & np.isfinite(rank))
             return [own_ids[row], ids[col], score[row, col], rank[row, col]]
 
-        def exact(ids, rows, _, own_ids, own, __):
-            plain = own[:, :-1] if dot else own
-            unit = 1e-9 * np.maximum(np.sqrt((plain * plain).sum(1) * top) if dot else (plain * plain).sum(1) + top, 1e-300)
-            score = plain @ rows.T if dot else distances(plain, rows)
-            rank = np.round((-score if dot else score) / unit[:, None])
-            return ranked(ids, rows, own_ids, score if dot else np.sqrt(score), rank, k)
+        def exact(ids, rows, cells, own_ids, own, wanted):
+            """Rows of the cells that a query names (null: of all), a few queries at a time."""
+            names, place = np.unique(cells, return_inverse=True)
+            out = []
+            for low in range(0, len(own), CHUNK):
+                at = slice(low, low + CHUNK)
+                plain = own[at, :-1] if dot else own[at]
+                unit = 1e-9 * np.maximum(np.sqrt((plain * plain).sum(1) * top) if dot else (plain * plain).sum(1) + top, 1e-300)
+                score = plain @ rows.T if dot else distances(plain, rows)
+                rank = np.round((-score if dot else score) / unit[:, None])
+                if any(w is not None for w in wanted[at]):
+                    asks = np.stack([np.isin(names, w.split()) if w is not None else np.ones(len(names), bool) for w in wanted[at]])
+                    rank = np.where(asks[:, place], rank, np.inf)
+                out.append(ranked(ids, rows, own_ids[at], score if dot else np.sqrt(score), rank, min(k, len(ids))))
+            return [np.concatenate(c) for c in zip(*out)]
 
         def rough(ids, centre, codes, own_ids, own, __):
             rows = centre + books.decode(np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1))
@@ -295,8 +324,11 @@ class VectorIndex:
 
         schema = "id bigint, neighbour bigint, score double, key double"
         if shortlist is None:
-            found = _meet(kept, streamed, ["cell", "part"], exact, schema)
+            found = _meet(*self._tiled(kept, lifted, probes, share), ["tile", "salt"], exact, schema)
         else:
+            probe_rows = written(self._probed(lifted, probes, share).join(lifted, "id"), "cell-probes")
+            streamed = probe_rows.join(sizes, "cell").withColumn(
+                "part", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_rows") / PART) - 1).cast("int"))))
             centres = self._table("cells").select(F.col("id").alias("cell"), F.col("vec").alias("centre"))
             coded = kept.select("cell", "part", "id", F.col("codes").alias("extra")).join(centres, "cell")
             near = _meet(coded.withColumnRenamed("centre", "vec"), streamed, ["cell", "part"], rough, schema)

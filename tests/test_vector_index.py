@@ -52,6 +52,33 @@ def test_recall_and_exact_search(spark, metric):
     assert r["score"] == pytest.approx(score if metric == "dot" else (-score) ** 0.5)
 
 
+@pytest.mark.parametrize("share", [1.0, 0.4])
+def test_exact_search_meets_by_tiles(spark, monkeypatch, share):
+    """Small tiles and a list in parts: the rows of the probed cells as by brute force, and with all
+    cells no table with a row per query and cell."""
+    monkeypatch.setattr(vi, "TILE", 150)
+    monkeypatch.setattr(vi, "PART", 16)
+    rows = clustered(900, seed=5)
+    index = vi.build(frame(spark, rows), leaf=10, parts=4)
+    sizes, real = [], vi.written
+    monkeypatch.setattr(vi, "written", lambda df, name: sizes.append(real(df, name).count()) or real(df, name))
+    some = frame(spark, rows).where("id % 9 = 0")
+    found = {}
+    for r in index.search(some, 5, share=share, shortlist=None).collect():
+        found.setdefault(r["id"], []).append((r["rank"], r["neighbour"]))
+    held, wanted = index._wanted(None, share)
+    assert share < 1.0 or (wanted == held.sum() and sizes == [100])
+    cell_of = {r["id"]: r["cell"] for r in index._table("lists").collect()}
+    looked = {}
+    for r in index._probed(index._lifted(vi._points(some, "id", "embedding"), query=True), None, share).collect():
+        looked.setdefault(r["id"], set()).add(r["cell"])
+    for q in range(0, 900, 9):
+        assert len(looked[q]) == wanted
+        score = rows @ rows[q]
+        score[[i for i in range(900) if i == q or cell_of[i] not in looked[q]]] = -np.inf
+        assert [n for _, n in sorted(found[q])] == np.argsort(-score, kind="stable")[:5].tolist()
+
+
 def test_adding_rows(spark):
     rows = clustered(3000, seed=3)
     path = work_path(spark, "index")
