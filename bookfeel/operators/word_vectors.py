@@ -38,9 +38,16 @@ SHARPNESS = 0.1  # of cosines in scores
 CODES = 1 << 20  # pairs counted at once
 
 
+def _tokens(df: DataFrame, text: str) -> Column:
+    """The words of a text column; a column of words as it is."""
+    if df.schema[text].dataType.simpleString() == "array<string>":
+        return F.col(text)
+    return tx.tokens(F.coalesce(F.col(text), F.lit("")))
+
+
 def vocabulary(df: DataFrame, text: str, most: int = VOCABULARY, least: int = LEAST) -> DataFrame:
     """``word, n``: the most frequent words of at least ``least`` occurrences, at most ``most`` of them."""
-    words = df.select(F.explode(tx.tokens(F.col(text))).alias("word"))
+    words = df.select(F.explode(_tokens(df, text)).alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return counts.orderBy(F.desc("n"), "word").limit(most)
 
@@ -77,7 +84,7 @@ def pairs(df: DataFrame, text: str, words: list[str], window: int = WINDOW) -> D
         if total:
             yield counted()
 
-    found = df.select(tx.tokens(F.coalesce(F.col(text), F.lit(""))).alias("words")).mapInArrow(run, "a int, b int, n bigint")
+    found = df.select(_tokens(df, text).alias("words")).mapInArrow(run, "a int, b int, n bigint")
     return found.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
@@ -123,9 +130,11 @@ def product(matrix: DataFrame, dense: np.ndarray, turned: bool = False) -> np.nd
                 ["i", "sums"])
 
     total = np.zeros((size, dims))
-    # Sorted by row when stored, so that a task sees few rows: together about as many as the vocabulary has.
-    for r in matrix.mapInArrow(run, "i int, sums array<double>").toLocalIterator():
-        total[r["i"]] += np.asarray(r["sums"])
+    # Dealt by row when stored, so that a task sees few rows: together about as many as the vocabulary has.
+    found = matrix.mapInArrow(run, "i int, sums array<double>").toArrow()
+    if len(found):
+        at, sums = found["i"].to_numpy(), found["sums"].combine_chunks().flatten().to_numpy().reshape(len(found), -1)
+        np.add.at(total, at, sums)
     return total
 
 
@@ -196,7 +205,8 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 def fit(df: DataFrame, text: str, most: int = VOCABULARY, dims: int = DIMS, window: int = WINDOW, least: int = LEAST,
         seed: int = 0) -> WordVectors:
-    """Vectors of the words of all texts."""
+    """Vectors of the words of all texts, which are cut into words once."""
+    df, text = written(df.select(_tokens(df, text).alias("words")), "words"), "words"
     rows = vocabulary(df, text, most, least).collect()  # at most ``most`` rows
     words, counts = [r["word"] for r in rows], np.array([r["n"] for r in rows], dtype=np.float64)
     if not words:
@@ -214,7 +224,7 @@ def fit(df: DataFrame, text: str, most: int = VOCABULARY, dims: int = DIMS, wind
             total, n = total + found.sum(0), n + len(found)
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([n])], ["sums", "n"])
 
-    parts = df.select(tx.tokens(F.coalesce(F.col(text), F.lit("")))).mapInArrow(run, "sums array<double>, n bigint").collect()  # a row per task
+    parts = df.mapInArrow(run, "sums array<double>, n bigint").collect()  # a row per task
     model.centre = np.sum([r["sums"] for r in parts], axis=0) / max(1, sum(r["n"] for r in parts))
     return model
 
@@ -228,8 +238,8 @@ class Task:
     multi: bool
 
 
-def cosines(model: WordVectors, lists: pa.ListArray, labels: np.ndarray) -> np.ndarray:
-    found = model.means(lists)
+def cosines(model: WordVectors, found: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Of texts, given by their means, to the labels."""
     known = (found * found).sum(1) > 0
     return np.where(known[:, None], unit(unit(found) - model.centre), 0.0) @ labels.T
 
@@ -248,10 +258,10 @@ def score_tasks(df: DataFrame, keys: list[str], text: Column, model: WordVectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = batch.column(batch.num_columns - 1)
+            means = model.means(batch.column(batch.num_columns - 1))  # for all tasks
             columns = list(batch.columns[:-1])
             for name, task in tasks.items():
-                score = np.round(scores_of(cosines(model, words, labels[name]), task.multi), 12)  # rounding noise settles no tie
+                score = np.round(scores_of(cosines(model, means, labels[name]), task.multi), 12)  # rounding noise settles no tie
                 names = np.array(task.labels, dtype=object)
                 rank = np.argsort(np.argsort(names.astype(str)))
                 order = np.lexsort((np.broadcast_to(rank, score.shape), -score), axis=1)

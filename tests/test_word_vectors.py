@@ -48,6 +48,28 @@ def test_pairs_against_a_loop(spark, monkeypatch):
     assert got == want and len(words) == 12
 
 
+def test_texts_are_cut_once_and_a_product_is_one_job(spark, monkeypatch):
+    df = spark.createDataFrame(stories(60), "id int, theme string, text string").repartition(5)
+    cut, tokens = [], wv.tx.tokens
+    monkeypatch.setattr(wv.tx, "tokens", lambda c: cut.append(1) or tokens(c))
+    wv.fit(df, "text", 20, 4)
+    assert len(cut) == 1
+    rows = [(i, i * 7 % 20, float(i)) for i in range(20)] + [(3, 3, 0.5)]
+    matrix = spark.createDataFrame(rows, "a int, b int, value double").repartition(6)
+    tall = np.random.default_rng(0).normal(size=(20, 3))
+    want = np.zeros((20, 20))
+    for a, b, value in rows:
+        want[a, b] += value
+    spark.sparkContext.setJobGroup("product", "product")
+    try:
+        assert np.allclose(wv.product(matrix, tall), want @ tall)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("product")) <= 2
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert np.allclose(wv.product(matrix, tall, True), want.T @ tall)
+    assert not wv.product(matrix.limit(0), tall).any()
+
+
 def test_information_and_singular_vectors(spark):
     df = spark.createDataFrame(stories(), "id int, theme string, text string")
     words = [r["word"] for r in wv.vocabulary(df, "text").collect()]
