@@ -177,11 +177,11 @@ class WordVectors:
         weight = (RARE / (RARE + share))[place] * known if len(self.words) else np.zeros(len(place))
         row = np.repeat(np.arange(len(sizes)), sizes)
         out = np.zeros((len(sizes), self.vectors.shape[1]))
-        for low in range(0, len(place), 1 << 16):
-            r, w, p = row[low:low + (1 << 16)], weight[low:low + (1 << 16)], place[low:low + (1 << 16)]
-            if len(self.words):
-                first = np.flatnonzero(np.diff(r, prepend=-1))
-                out[r[first]] += np.add.reduceat(self.vectors[p] * w[:, None], first, axis=0)
+        ends = np.cumsum(sizes)
+        for i in np.flatnonzero(sizes) if len(self.words) else []:
+            for low in range(ends[i] - sizes[i], ends[i], 1 << 16):
+                at = slice(low, min(low + (1 << 16), ends[i]))
+                out[i] += weight[at] @ self.vectors[place[at]]
         return out / np.maximum(np.bincount(row, weight, len(sizes)), 1e-300)[:, None]
 
     def labels(self, labels: list[str], template: str) -> np.ndarray:
