@@ -1,7 +1,7 @@
 """``LIKE '%text%'`` by an inverted index of trigrams.
 
-Postings list the keys of every three neighbouring characters (lower case) in parts of at
-most ``PART`` keys, stored in the order of the trigrams; the texts are stored in the order
+Postings list the keys of every three neighbouring characters (lower case) by blocks of at
+most ``PART`` texts, stored in the order of the trigrams; the texts are stored in the order
 of their keys. A question reads the postings of its rarest trigrams, the keys that have
 all of them are looked up, and ``LIKE`` verifies each text. A pattern without three
 characters in a row (wildcards cut it) is answered by a scan of the texts; ``plan`` says
@@ -11,22 +11,55 @@ which way a pattern takes.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import written
 from ..sources import tables
-from .rollups import deal_parts
 from .search import contains
 
 PART = 4096  # keys of one posting row
+CHARS = 8 << 20  # characters after which a block ends, too
 ASKED = 4  # trigrams that a question reads
 
 
-def _trigrams(c: Column) -> Column:
-    """All of a text, overlapping ones too, in one walk through it."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("(?s)(?=(...))"), F.lit(1)))
+def _codes(text: str) -> np.ndarray:
+    """The different trigrams of a text as numbers, 21 bits a character, ascending."""
+    c = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+    return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
+
+
+def _spelled(codes: np.ndarray) -> list[str]:
+    whole = np.stack([codes >> 42, codes >> 21 & 0x1FFFFF, codes & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le")
+    return [whole[i:i + 3] for i in range(0, len(whole), 3)]
+
+
+def _postings(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``gram, keys`` of each block of texts, made where the texts are read: only lists move on."""
+    part, kind = PART, texts.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows = batch.column(0), batch.column(1).to_pylist()
+            low = 0
+            while low < len(rows):
+                found, chars, at = [], 0, low
+                while at < len(rows) and at - low < part and chars < CHARS:
+                    found.append(_codes(rows[at]))
+                    chars, at = chars + len(rows[at]), at + 1
+                code, row = np.concatenate(found), np.repeat(np.arange(low, at), [len(f) for f in found])
+                low, order = at, np.argsort(code, kind="stable")
+                code = code[order]
+                first = np.flatnonzero(np.diff(code, prepend=-1))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(code)), pa.int32()), keys.take(pa.array(row[order])))
+                yield pa.RecordBatch.from_arrays([pa.array(_spelled(code[first]), pa.string()), lists], ["gram", "keys"])
+
+    return texts.where(F.length(text) > 2).where(F.col(key).isNotNull()).select(key, F.lower(text)).mapInArrow(
+        run, f"gram string, keys array<{kind}>")
 
 
 def pattern_trigrams(text: str) -> list[str]:
@@ -72,8 +105,6 @@ def build(df: DataFrame, path: str, key: str, text: str, keep: list[str] | None
     """An index of ``df`` under ``path``: ``key`` (distinct), ``text`` and the columns ``keep``. A null text has
     no trigrams and matches nothing."""
     texts = tables.write_keyed(df.select(key, text, *[c for c in keep or [] if c not in (key, text)]), f"{path}/texts", key)
-    grams = written(texts.select(key, F.explode(_trigrams(F.col(text))).alias("gram")), "trigrams")
-    parts = deal_parts(grams, "gram", key, PART, "part").groupBy("gram", "part").agg(F.sort_array(F.collect_list(key)).alias("keys"))
-    postings = tables.write_keyed(parts, f"{path}/postings", "gram")
+    postings = tables.write_keyed(written(_postings(texts, key, text), "postings"), f"{path}/postings", "gram")
     tables.write_keyed(postings.groupBy("gram").agg(F.sum(F.size("keys")).cast("long").alias("n")), f"{path}/counts", "gram")
     return TextIndex(df.sparkSession, path, key, text)

@@ -41,6 +41,22 @@ def test_patterns_against_a_scan(spark, monkeypatch):
     assert empty.search("abc").count() == 0
 
 
+def test_postings_are_lists_where_the_texts_are_read(spark, monkeypatch):
+    monkeypatch.setattr(text_index, "PART", 7)
+    monkeypatch.setattr(text_index, "CHARS", 60)
+    rows = [(f"k{i}", t) for i, t in enumerate(["Abcabc", "ab", None, "", "é\U0001F600x\U0001F600", "ABC abc", "a\nb\u0000c"] * 5 + ["x" * 200])] + [(None, "abc")]
+    df = spark.createDataFrame(rows, "k string, t string").repartition(2)
+    found = text_index._postings(df, "k", "t")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    want, got = set(), []
+    for k, t in rows:
+        want |= {((t or "").lower()[i:i + 3], k) for i in range(len(t or "") - 2) if k}
+    for r in found.collect():
+        assert 0 < len(r["keys"]) <= 7
+        got += [(r["gram"], k) for k in r["keys"]]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_a_question_reads_its_postings_only(spark):
     df = spark.range(60_000).selectExpr("id", "concat('title ', md5(CAST(id AS STRING))) AS t")
     index = text_index.build(df, work_path(spark, "index"), "id", "t")
