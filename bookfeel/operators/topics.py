@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cluster import written
@@ -38,12 +38,13 @@ def term_counts(df: DataFrame, text: str = "text", n: int = 1, keep: tuple[str,
 _CLASSES = ("d0", "d1", "k0", "k1")  # documents and tokens of both classes
 
 
-def _class_counts() -> list[Column]:
+def _class_sums() -> list[Column]:
     neg, pos = F.col("target") == 0, F.col("target") == 1
-    return [
-        F.sum(F.when(neg, F.col("tf")).otherwise(0)).alias("n0"),
-        F.sum(F.when(pos, F.col("tf")).otherwise(0)).alias("n1"),
-    ]
+    return [F.sum(F.when(neg, F.col("tf")).otherwise(0)), F.sum(F.when(pos, F.col("tf")).otherwise(0))]
+
+
+def _class_counts(name: str = "n") -> list[Column]:
+    return [c.alias(f"{name}{i}") for i, c in enumerate(_class_sums())]
 
 
 def polarity_scores(df: DataFrame, n: int, folds: Column, held: Column | None = None) -> DataFrame:
@@ -52,40 +53,45 @@ def polarity_scores(df: DataFrame, n: int, folds: Column, held: Column | None =
     fold ``held`` (its own one by default). The vocabulary is that of all texts,
     however large.
 
-    Counts are kept per term, in all and per fold, so that the model without any
-    one fold is a subtraction and all folds are scored in one pass.
+    Terms move once: a term's counts, in all and per fold, are summed next to its rows, so
+    that the model without any one fold is a subtraction and all folds are scored in one
+    pass. A document has one row a term, which bounds a term's share of the rows.
     """
     placed = df.select("id", "text", F.col("target"), folds.alias("fold"))
     placed = placed.withColumn("held", F.col("fold") if held is None else held)
     docs = placed.select("id", "target", "fold", "held")
-    # Read four times below, so the texts are cut into words only once.
+    # Read three times below, so the texts are cut into words only once.
     grams = written(term_counts(placed, "text", n, ("target", "fold", "held")), "grams")
-    per_fold = grams.groupBy("term", "fold").agg(*_class_counts())
-    terms = per_fold.groupBy("term").agg(
-        F.sum("n0").alias("t0"), F.sum("n1").alias("t1"),
-        F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n0", "n1")))).alias("in_fold"),
-    )
     # A few numbers per fold, as one map.
     sizes = docs.groupBy("fold").agg(
         F.count_if(F.col("target") == 0).alias("d0"), F.count_if(F.col("target") == 1).alias("d1")
     ).join(
-        per_fold.groupBy("fold").agg(F.sum("n0").alias("k0"), F.sum("n1").alias("k1")), "fold", "left"
+        grams.groupBy("fold").agg(*_class_counts("k")), "fold", "left"
     ).fillna(0)
     totals = sizes.agg(F.struct(*[F.sum(c).alias(c) for c in _CLASSES]).alias("t")).scalar()
     by_fold = sizes.agg(
         F.map_from_entries(F.collect_list(F.struct("fold", F.struct(*_CLASSES)))).alias("m")
     ).scalar()
-    vocabulary = terms.agg(F.count("*")).scalar()
+    vocabulary = grams.agg(F.count_distinct("term")).scalar()
 
     def outside(name: str) -> Column:
         inside = F.try_element_at(by_fold, F.col("held"))[name]
         return totals[name] - F.coalesce(inside, F.lit(0))
 
+    in_fold, in_all = Window.partitionBy("term", "fold"), Window.partitionBy("term")
+    # All folds first: rows dealt by term serve both.
+    counted = grams.withColumns({f"t{i}": c.over(in_all) for i, c in enumerate(_class_sums())})
+    counted = counted.withColumns({f"n{i}": c.over(in_fold) for i, c in enumerate(_class_sums())})
+    if held is not None:  # the fold left out is another than the row's own: a few numbers per fold of the term
+        counted = counted.withColumn("_folds", F.map_from_entries(
+            F.collect_set(F.struct("fold", F.struct("n0", "n1"))).over(in_all)))
+        inside = F.try_element_at("_folds", F.col("held"))
+        counted = counted.withColumns({c: F.coalesce(inside[c], F.lit(0)) for c in ("n0", "n1")})
+
     def logp(i: int) -> Column:
-        inside = F.coalesce(F.try_element_at("in_fold", F.col("held"))[f"n{i}"], F.lit(0))
-        return F.log((F.col(f"t{i}") - inside + 1) / (outside(f"k{i}") + vocabulary))
+        return F.log((F.col(f"t{i}") - F.col(f"n{i}") + 1) / (outside(f"k{i}") + vocabulary))
 
-    evidence = skew_join(grams, terms, "term", "inner", ["id"]).groupBy("id").agg(
+    evidence = counted.groupBy("id").agg(
         F.sum(F.col("tf") * (logp(1) - logp(0))).alias("evidence")
     )
     prior = F.log(outside("d1") / outside("d0"))
