@@ -270,13 +270,24 @@ class VectorIndex:
         least = int(np.ceil((2 * self.spark.sparkContext.defaultParallelism) ** 0.5))  # so that all cores take part
         tiles, salts = (max(least, -(-df.count() // TILE)) for df in (kept, lifted))
         kept = kept.withColumn("tile", F.pmod(F.xxhash64("cell", "part"), F.lit(tiles)).cast("int"))
+
+        def named(some: DataFrame) -> DataFrame:
+            """A row for each tile; ids that repeat look at a cell as often as they are paired with it."""
+            at = kept.select("cell", "tile").distinct()  # more than one for a list in parts
+            asks = self._probed(some, probes, share).groupBy("id", "cell").agg(F.count("*").cast("int").alias("_n"))
+            asks = asks.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).join(at, "cell")
+            return asks.groupBy("id", "tile", "_copy").agg(
+                F.array_join(F.collect_list(F.col("cell").cast("string")), " ").cast("binary").alias("extra")
+            ).join(some, "id").select("tile", "id", "vec", "extra")
+
         if wanted >= held.sum():
-            streamed = lifted.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumn("extra", F.lit(None).cast("binary"))
+            often = written(lifted.groupBy("id").count().where("count > 1").select("id"), "repeated")
+            streamed = lifted.join(often, "id", "left_anti").select(
+                F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), "id", "vec", F.lit(None).cast("binary").alias("extra"))
+            if not often.isEmpty():
+                streamed = streamed.unionByName(named(lifted.join(often, "id", "left_semi")))
         else:
-            at = kept.select("cell", "tile").distinct()  # more than one for a list in parts
-            asks = self._probed(lifted, probes, share).join(at, "cell").groupBy("id", "tile").agg(
-                F.array_join(F.collect_list(F.col("cell").cast("string")), " ").cast("binary").alias("extra"))
-            streamed = asks.join(lifted, "id")
+            streamed = named(lifted)
         kept = kept.withColumn("extra", F.col("cell").cast("string").cast("binary")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         return kept.select("tile", "salt", "id", "vec", "extra"), streamed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
 
