@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from bookfeel.cluster import work_path
-from bookfeel.operators import enrich, places
+from bookfeel.operators import enrich, joins, places
 
 SCORES = "id int, scores array<struct<label: string, score: double>>"
 
@@ -119,3 +119,12 @@ def test_place_names_of_many_words(spark):
     assert found(names) == {1: ["Saint Vincent and the Grenadines", "united states of America"],
                             2: ["United States", "America", "Congo"], 3: [], 4: []}
     assert found(names.limit(0)) == {1: [], 2: [], 3: [], 4: []}
+
+
+def test_features_are_merged_not_broadcast(spark):
+    """Stored labels are a small file of many rows, which a driver has no room for."""
+    made = [spark.range(50).selectExpr("id AS book_id", f"'x' AS f{i}") for i in range(3)]
+    found = joins.merge_features(made)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") >= 2
+    assert found.count() == 50 and found.columns == ["book_id", "f0", "f1", "f2"]
