@@ -1,9 +1,10 @@
 """Place names recognised in free text: a linear-chain conditional random field.
 
 Words carry hashed features of themselves and their neighbours; a name is a word tagged
-``B`` and the ``I`` words behind it. A round of training broadcasts the weights, every
-partition takes them through its sentences by stochastic gradients, and the results are
-averaged by sentences (summed block by block in tasks, see :mod:`.partials`). Decoding
+``B`` and the ``I`` words behind it. The features are made once and stored. A round of training
+broadcasts the weights, every partition takes them through its sentences by stochastic gradients,
+and the results are averaged by sentences (summed block by block in tasks, see :mod:`.partials`).
+Where a partition has many sentences, some are taken side by side. Decoding
 is Viterbi's; an entity's score is the least probability of its tags.
 
 ``entity_model`` makes a loader for :func:`.places.extract_entities`.
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..cluster import written
 from . import partials
 
 OUTSIDE, BEGIN, INSIDE = range(3)
@@ -30,6 +32,7 @@ WORD = re.compile(r"\w+|[^\w\s]")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 LONG = 400  # words decoded in one run; longer sentences are cut there
 MANY = 4096  # words whose sentences are decoded side by side, at least one sentence
+ALONE, SIDE = 256, 64  # a step takes one sentence for each ALONE that a batch holds, at most SIDE
 
 
 @lru_cache(1 << 16)
@@ -156,20 +159,78 @@ class Field:
         self.start -= rate * tag[0]
 
 
+    def step_all(self, slots: np.ndarray, tags: np.ndarray, sizes: np.ndarray, rate: float) -> None:
+        """One step for sentences side by side (their words one after another): every weight goes down
+        the mean of its slopes in those of the sentences that hold it."""
+        if len(sizes) == 1:
+            return self.step(slots, tags, rate)
+        order = np.argsort(-sizes, kind="stable")
+        first = (np.cumsum(sizes) - sizes)[order]
+        last, longest = first + sizes[order] - 1, int(sizes.max())
+        live = [int((sizes > i).sum()) for i in range(longest)]
+        own = self.weights[slots].sum(1)
+        own[first] += self.start
+        own[first, INSIDE] += NEVER
+        steps = self.steps.copy()
+        steps[OUTSIDE, INSIDE] += NEVER
+        forward, backward = own.copy(), np.zeros_like(own)
+        for i in range(1, longest):
+            at = first[:live[i]] + i
+            forward[at] += _sum(forward[at - 1][:, :, None] + steps, 1)
+        for i in range(longest - 1, 0, -1):
+            at = first[:live[i]] + i
+            backward[at - 1] = _sum(steps + (own[at] + backward[at])[:, None, :], 2)
+        whole = np.empty(len(sizes))
+        whole[order] = _sum(forward[last], 1)
+        each = np.repeat(whole, sizes)[:, None]
+        tag = np.exp(forward + backward - each)
+        tag[np.arange(len(tags)), tags] -= 1
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        inner = np.flatnonzero(row[1:] == row[:-1])  # words with another behind them
+        if len(inner):
+            pairs = np.exp(forward[inner, :, None] + steps + (own + backward)[inner + 1, None, :] - each[inner, :, None]).sum(0)
+            np.subtract.at(pairs, (tags[inner], tags[inner + 1]), 1)
+            self.steps -= rate * pairs / (sizes > 1).sum()
+        # A slot's slopes, and the sentences that hold it.
+        known, place = np.unique(slots.ravel(), return_inverse=True)
+        slopes = np.stack([np.bincount(place, np.repeat(tag[:, k], slots.shape[1]), len(known)) for k in range(3)], 1)
+        held = np.unique(place.astype(np.int64) * len(sizes) + np.repeat(row, slots.shape[1])) // len(sizes)
+        self.weights[known] -= rate * slopes / np.bincount(held, minlength=len(known))[:, None]
+        self.start -= rate * tag[first].mean(0)
+
+
+def _coded(sentences: DataFrame) -> DataFrame:
+    """``slots`` (ten a word, one after another) and ``tags`` of each sentence with words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [(w, t) for w, t in zip(batch.column("words").to_pylist(), batch.column("tags").to_pylist()) if w]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([features(w).ravel().astype(np.int32) for w, _ in kept], pa.list_(pa.int32())),
+                pa.array([t for _, t in kept], pa.list_(pa.int32()))], ["slots", "tags"])
+
+    return written(sentences.select("words", "tags").mapInArrow(run, "slots array<int>, tags array<int>"), "coded")
+
+
 def fit(sentences: DataFrame, rounds: int = 8, rate: float = 0.2) -> Field:
-    """Trained on stored rows of ``words`` and ``tags`` (0 outside, 1 begins, 2 inside a name)."""
-    flat = np.zeros(SLOTS * 3 + 12)
+    """Trained on stored rows of ``words`` and ``tags`` (0 outside, 1 begins, 2 inside a name), all of them in each round."""
+    flat, coded = np.zeros(SLOTS * 3 + 12), _coded(sentences)
     for turn in range(rounds):
         def part(batches: Iterator[pa.RecordBatch], flat=flat, turn=turn) -> np.ndarray | None:
             field, n = Field.of(flat), 0
             for batch in batches:
-                for words, tags in zip(batch.column("words").to_pylist(), batch.column("tags").to_pylist()):
-                    if words:
-                        field.step(features(words), np.array(tags), rate / (1 + turn))
-                        n += 1
+                sizes = np.asarray(batch.column("tags").value_lengths()).astype(np.int64)
+                tags = np.asarray(batch.column("tags").flatten()).astype(np.int64)
+                slots = np.asarray(batch.column("slots").flatten()).astype(np.int64).reshape(len(tags), -1)
+                edges = np.concatenate([[0], np.cumsum(sizes)])
+                side = min(SIDE, max(1, len(sizes) // ALONE))
+                for low in range(0, len(sizes), side):
+                    high = min(low + side, len(sizes))
+                    a, b = edges[low], edges[high]
+                    field.step_all(slots[a:b], tags[a:b], sizes[low:high], rate / (1 + turn))
+                n += len(sizes)
             return np.append(field.flat() * n, n) if n else None
 
-        total = partials.summed(sentences.select("words", "tags"), len(flat) + 1, part)
+        total = partials.summed(coded, len(flat) + 1, part)
         if not total[-1]:
             break
         flat = total[:-1] / total[-1]

@@ -159,3 +159,30 @@ def test_sentences_of_a_small_file_are_read_on_all_cores(spark, monkeypatch):
     monkeypatch.setattr(places, "extract_entities", extract)
     assert tuple(searches.recognise_places(spark, SMALL).first())[1:] == (1, 1)
     assert parts[0] >= spark.sparkContext.defaultParallelism
+
+
+def test_sentences_side_by_side_take_the_mean_step_of_each_weight():
+    texts = ["Ann left Oslo", "She went to New York .", "Bo", "They left Oslo for Cape Town", "x"]
+    tagged = [[0, 0, 1], [0, 0, 0, 1, 2, 0], [0], [0, 0, 1, 0, 1, 2], [1]]
+    coded, before, after = [rc.features(t.split()) for t in texts], some_field(4), some_field(4)
+    after.step_all(np.concatenate(coded), np.concatenate(tagged), np.array([len(t) for t in tagged]), 0.5)
+    slopes, held = np.zeros_like(before.weights), np.zeros(rc.SLOTS)
+    steps, start = np.zeros((3, 3)), np.zeros(3)
+    for slots, tags in zip(coded, tagged):
+        alone = some_field(4)
+        alone.step(slots, np.array(tags), 0.5)
+        slopes += before.weights - alone.weights
+        held[np.unique(slots)] += 1
+        steps, start = steps + before.steps - alone.steps, start + before.start - alone.start
+    assert np.allclose(before.weights - after.weights, slopes / np.maximum(held, 1)[:, None])
+    assert np.allclose(before.steps - after.steps, steps / 3) and np.allclose(before.start - after.start, start / 5)
+
+
+def test_the_recogniser_is_trained_on_all_customers(spark, tmp_path, monkeypatch):
+    customers = [(k, "HOUSEHOLD", k % 7) for k in range(2990, 3010)]
+    spark.createDataFrame(customers, "c_custkey long, c_mktsegment string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k, f"NATION {k}") for k in range(7)], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    seen, real = [], rc.fit
+    monkeypatch.setattr(rc, "fit", lambda rows: seen.append({r["c_custkey"] for r in rows.collect()}) or real(rows))
+    assert searches.recognise_places(spark, str(tmp_path)).first()["sentences"] == 20
+    assert seen == [{k for k, _, nation in customers if nation % 5}]
