@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from bookfeel.checks import searches
 from bookfeel.cluster import work_path
 from bookfeel.operators import search, text_index
 from bookfeel.sources import tables
@@ -81,3 +82,21 @@ def test_look_up_reads_one_group(spark):
     assert sorted(r["book_id"] for r in tables.look_up(stored, "book_id", few).collect()) == [7, 1_399_993]
     many = spark.range(3000).selectExpr("id * 14 AS book_id")
     assert tables.look_up(stored, "book_id", many).count() == 3000
+
+
+def test_the_title_index_holds_no_lists_of_editions(spark, tmp_path, monkeypatch):
+    """Two groups of editions, one of them found by its titles, and single books."""
+    parts = [(k, f"{'bored' if k % 2 else 'grey'} book", "Brand#1", "type", k) for k in range(60)]
+    parts += [(100 + k, f"Red {k}", "Brand#2", "type", k) for k in range(4)] + [(200, None, None, None, 1), (None, "red none", "Brand#3", "type", 1)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(k, flag) for k in (1, 3, 3, 101, 102, 102, 102) for flag in "AN"]
+    spark.createDataFrame(lines, "l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    kept, real = [], text_index.build
+    monkeypatch.setattr(searches.text_index, "build", lambda df, *rest: kept.append(df.columns) or real(df, *rest))
+    found = searches.search_title_index(spark, str(tmp_path))
+    rows = [tuple(r) for r in found.collect()]
+    assert kept and "similar_books" not in kept[0]
+    # The group of the odd books once, all books that stand alone as one cluster.
+    assert [r[0] for r in rows] == [102, 3]
+    scanned = [tuple(r) for r in searches.search_title(spark, str(tmp_path)).collect()]
+    assert [r for r in scanned if r[0] is not None] == rows
