@@ -186,3 +186,21 @@ def test_the_recogniser_is_trained_on_all_customers(spark, tmp_path, monkeypatch
     monkeypatch.setattr(rc, "fit", lambda rows: seen.append({r["c_custkey"] for r in rows.collect()}) or real(rows))
     assert searches.recognise_places(spark, str(tmp_path)).first()["sentences"] == 20
     assert seen == [{k for k, _, nation in customers if nation % 5}]
+
+
+def test_runs_of_words_move_a_few_times_only(spark):
+    texts = [(i, f"Common words, all alike; {'Rare' if i % 20 < 3 else 'odd'}{i // 20} end") for i in range(60)]
+    texts += [(0, "common Again"), (None, "again nobody"), (None, "rare0"), (61, ""), (62, None), (63, "one")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    got = [(r["doc_id"], r["name"]) for r in places.word_runs(df, "text", "doc_id", 3, 4).collect()]
+    want = {}
+    for key, text in texts:
+        words = text.lower().replace(",", "").replace(";", "").split() if text else []
+        for n in (1, 2, 3):
+            for i in range(len(words) - n + 1):
+                want.setdefault(" ".join(words[i:i + n]), set()).add(key)
+    assert len(got) == len(set(got))
+    for name, keys in want.items():
+        mine = {k for k, x in got if x == name}
+        assert mine <= keys and len(mine) == min(4, len(keys)), name
+    assert {x for _, x in got} == set(want) and len(want["common words"]) == 60
