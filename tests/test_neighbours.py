@@ -266,3 +266,13 @@ def test_best_rows_are_kept_while_more_come():
     for i in range(7):
         assert list(ids[row == i]) == sorted(range(300), key=lambda j: (keys[i, j], j))[:4]
     assert (score == 2 * key).all()
+
+
+def test_whole_vectors_are_made_once(spark, monkeypatch):
+    kept, real = [], nb.written
+    monkeypatch.setattr(nb, "written", lambda df, name, *rest: kept.append((name, real(df, name, *rest))) or kept[-1][1])
+    df = spark.createDataFrame([(i, float(i % 7), f"a{i % 5}") for i in range(60)], "book_id long, pages double, author string")
+    found = nb.compressed_vectors(df, ["pages"], ["author"], 3, 32)
+    assert [name for name, _ in kept] == ["whole-vectors"] and kept[0][1].columns == ["book_id", "_all"]
+    assert "HashingTF" not in found._jdf.queryExecution().optimizedPlan().toString() and found.inputFiles() == kept[0][1].inputFiles()
+    assert {r["id"]: len(r["embedding"]) for r in found.collect()} == {i: 3 for i in range(60)}
